@@ -58,12 +58,12 @@ def spark_type(type_name: Column) -> Column:
     is_array = name.endswith("[]") | name.startswith("_")
     element = F.trim(F.regexp_replace(name, r"^_|(\[\])+$", ""))
     base = F.trim(F.regexp_replace(element, r"\s*\([^)]*\)", ""))
-    sizes = r"^(?:numeric|decimal)\s*\((\d+)\s*(?:,\s*(\d+)\s*)?\)$"
-    precision, scale = F.regexp_extract(element, sizes, 1), F.regexp_extract(element, sizes, 2)
+    sizes = r"^(?:numeric|decimal)\s*\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)$"
+    scale = F.coalesce(F.regexp_extract(element, sizes, 2).try_cast("int"), F.lit(0))
+    precision = F.greatest(F.regexp_extract(element, sizes, 1).try_cast("int"), scale)
     known = F.create_map(*[F.lit(x) for pair in SOURCE_TYPES.items() for x in pair])
     mapped = F.when(
-        precision.try_cast("int") <= 38,
-        F.concat(F.lit("decimal("), precision, F.lit(","), F.when(scale == "", "0").otherwise(scale), F.lit(")")),
+        F.regexp_like(element, F.lit(sizes)) & (precision <= 38), F.format_string("decimal(%d,%d)", precision, scale)
     ).otherwise(F.coalesce(F.try_element_at(known, base), F.lit("string")))
     return F.when(is_array, F.concat(F.lit("array<"), mapped, F.lit(">"))).otherwise(mapped)
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Keys of up to this many changes are broadcast: some tens of megabytes.
+BROADCAST_RECORDS = 500_000
+
+
 def unwrap(df: DataFrame, key: str = "key", after: str = "after", meta: Sequence[str] = ("op", "lsn", "ts")) -> DataFrame:
     """Envelope to flat record. A delete stays, with no image."""
     keys = df.schema[key].dataType.names
@@ -81,18 +85,25 @@ def drop_deleted(df: DataFrame) -> DataFrame:
     return df.filter(F.col("op") != "d")
 
 
-def apply_changes(state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def apply_changes(
+    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], change_count: int | None = None
+) -> DataFrame:
     """The state after the changes, deletes kept as tombstones.
 
-    ``state`` holds one record per key and both sides have the same columns. The state is never
-    aggregated: after reducing the changes to one record per key it is only filtered by them, without
-    a shuffle as long as Spark finds them small enough to broadcast, with a sort-merge join on unique
-    keys beyond that. A change older than the state's record of its key is ignored.
+    ``state`` holds one record per key and both sides have the same columns. A change older than the
+    state's record of its key is ignored. The state is never aggregated, only filtered by the keys of
+    the changes. If the caller knows the number of changes and it is small, those keys are broadcast
+    and the state is not shuffled at all; otherwise Spark joins on keys that are unique on both sides.
     """
     newest = latest_per_key(changes.select(*state.columns), keys, order)
-    mark = newest.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*order).alias("_new"))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # The newest place per key is aggregated apart: it needs no row images, only keys and order.
+    mark = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(place).alias("_newest"))
+    # Both the marks and the late keys number at most ``change_count``.
+    small = F.broadcast if change_count is not None and change_count <= BROADCAST_RECORDS else lambda df: df
     same_key = [F.col(k) == F.col(f"_{k}") for k in keys]
-    old = F.struct(*order)
-    kept = state.join(mark, [*same_key, F.col("_new") >= old], "left_anti")
-    late = state.select(*keys, *order).join(mark, [*same_key, F.col("_new") < old], "left_semi").select(*keys)
-    return kept.unionByName(newest.join(late, list(keys), "left_anti"))
+    mark = small(mark)
+    replaced = place.isNull() | F.coalesce(F.col("_newest") >= place, F.lit(False))
+    kept = state.join(mark, [*same_key, replaced], "left_anti")
+    late = state.select(*keys, *order).join(mark, [*same_key, ~replaced], "left_semi").select(*keys)
+    return kept.unionByName(newest.join(small(late), list(keys), "left_anti"))

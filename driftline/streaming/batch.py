@@ -28,7 +28,7 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
     spark = df.sparkSession
     version = (current_version(spark, path) or 0) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    commit(spark, f"{path}/_versions", [(version,)], _VERSIONS)
+    commit(spark, f"{path}/_versions", version=[version])
     return version
 
 

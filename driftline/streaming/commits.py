@@ -7,14 +7,14 @@ number.
 
 from __future__ import annotations
 
-from typing import Any
-
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
-def commit(spark: SparkSession, path: str, rows: list[tuple[Any, ...]], schema: str) -> None:
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+def commit(spark: SparkSession, path: str, **columns: list) -> None:
+    """Append rows, given by column, as one file."""
+    spark.createDataFrame(pa.table(columns)).coalesce(1).write.mode("append").parquet(path)
 
 
 def committed(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

@@ -29,5 +29,6 @@ def quarantine(raw: DataFrame, schema: T.StructType, column: str = "value") -> t
 
 def write_quarantined(batch: DataFrame, batch_id: int, schema: T.StructType, path: str, column: str = "value") -> None:
     """Both sides of a micro-batch under ``path``, from one pass; a replayed batch replaces itself."""
-    records = parsed(batch, schema, column).withColumn("bad", F.col(CORRUPT).isNotNull())
-    records.write.mode("overwrite").partitionBy("bad").parquet(f"{path}/batch={batch_id}")
+    side = F.when(F.col(CORRUPT).isNull(), "good").otherwise("bad")
+    records = parsed(batch, schema, column).withColumn("side", side)
+    records.write.mode("overwrite").partitionBy("side").parquet(f"{path}/batch={batch_id}")

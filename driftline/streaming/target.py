@@ -27,7 +27,7 @@ from driftline.operators.schema import conform
 from driftline.streaming.commits import commit, committed
 
 _BATCHES = "batch bigint, records bigint, schema string"
-_BUCKETS = "bucket int, version bigint, through bigint, schema string"
+_BUCKETS = "bucket bigint, version bigint, through bigint, schema string"
 _NONE = -1
 
 
@@ -48,17 +48,18 @@ class KeyedTarget:
     def buffer(self, changes: DataFrame, batch_id: int) -> None:
         """Keep the last change per key of one batch; a batch id that is already in is skipped."""
         spark = changes.sparkSession
-        if batch_id <= self._through(spark) or batch_id in {b for b, _, _ in self._pending_batches(spark)}:
+        through = self._through(spark)
+        if batch_id <= through or batch_id in {b for b, _, _ in self._pending_batches(spark, through)}:
             return
         newest = latest_per_key(changes, self.keys, self.order)
         newest = conform(newest, relax(newest.schema))
         where = f"{self.path}/delta/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
         records = spark.read.schema(newest.schema).parquet(where).count()
-        commit(spark, f"{self.path}/_batches", [(batch_id, records, newest.schema.json())], _BATCHES)
+        commit(spark, f"{self.path}/_batches", batch=[batch_id], records=[records], schema=[newest.schema.json()])
 
     def pending_records(self, spark: SparkSession) -> int:
-        return sum(n for _, n, _ in self._pending_batches(spark))
+        return sum(n for _, n, _ in self._pending_batches(spark, self._through(spark)))
 
     def merge(self, spark: SparkSession, forget_below: Column | None = None) -> None:
         """Fold the buffered batches into the buckets they touch.
@@ -66,7 +67,7 @@ class KeyedTarget:
         Tombstones stay, so that a late older change cannot revive a deleted key; ``forget_below`` is
         a condition under which they may go, for instance on ``ts``.
         """
-        batches = self._pending_batches(spark)
+        batches = self._pending_batches(spark, self._through(spark))
         changes = self._changes(spark, batches)
         if changes is None:
             return
@@ -74,7 +75,7 @@ class KeyedTarget:
         touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}
         manifest = self._manifest(spark)
         state = self._base(spark, [row for row in manifest if row[0] in touched])
-        merged = self._apply(state, changes)
+        merged = self._apply(state, changes, batches)
         if forget_below is not None:
             merged = merged.filter(~((F.col("op") == "d") & forget_below))
         merged = conform(merged, relax(merged.schema))
@@ -87,19 +88,26 @@ class KeyedTarget:
             .partitionBy("bucket")
             .parquet(f"{self.path}/base/version={version}")
         )
-        through = max(b for b, _, _ in batches)
-        schema = merged.schema.json()
-        commit(spark, f"{self.path}/_buckets", [(b, version, through, schema) for b in sorted(touched)], _BUCKETS)
+        n = len(touched)
+        commit(
+            spark,
+            f"{self.path}/_buckets",
+            bucket=sorted(touched),
+            version=[version] * n,
+            through=[max(b for b, _, _ in batches)] * n,
+            schema=[merged.schema.json()] * n,
+        )
 
     # -- reading ---------------------------------------------------------------------------------
 
     def records(self, spark: SparkSession) -> DataFrame:
         """Latest record of every key, tombstones included."""
-        changes = self._changes(spark, self._pending_batches(spark))
+        batches = self._pending_batches(spark, self._through(spark))
+        changes = self._changes(spark, batches)
         base = self._base(spark, self._manifest(spark))
         if changes is None and base is None:
             raise ValueError(f"nothing committed under {self.path}")
-        return base if changes is None else self._apply(base, changes)
+        return base if changes is None else self._apply(base, changes, batches)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table: latest record of every key that is not deleted."""
@@ -122,24 +130,27 @@ class KeyedTarget:
 
     def _bucket(self) -> Column:
         # Hashed as text, so that a key column that widens keeps its bucket.
-        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets))
 
-    def _apply(self, state: DataFrame | None, changes: DataFrame) -> DataFrame:
+    def _apply(
+        self, state: DataFrame | None, changes: DataFrame, batches: list[tuple[int, int, str]]
+    ) -> DataFrame:
         if state is None:
             return latest_per_key(changes, self.keys, self.order)
         schema = merged_schema(state.schema, changes.schema)
-        return apply_changes(conform(state, schema), conform(changes, schema), self.keys, self.order)
+        records = sum(n for _, n, _ in batches)
+        return apply_changes(conform(state, schema), conform(changes, schema), self.keys, self.order, records)
 
     def _through(self, spark: SparkSession) -> int:
         log = committed(spark, f"{self.path}/_buckets", _BUCKETS)
         return _NONE if log is None else log.agg(F.max("through")).first()[0]
 
-    def _pending_batches(self, spark: SparkSession) -> list[tuple[int, int, str]]:
+    def _pending_batches(self, spark: SparkSession, through: int) -> list[tuple[int, int, str]]:
+        """Batches not merged yet; their number is bounded by the merge cadence."""
         log = committed(spark, f"{self.path}/_batches", _BATCHES)
         if log is None:
             return []
-        rows = log.filter(F.col("batch") > self._through(spark)).distinct().orderBy("batch").collect()
-        return [tuple(r) for r in rows]
+        return sorted({tuple(r) for r in log.filter(F.col("batch") > through).collect()})
 
     def _manifest(self, spark: SparkSession) -> list[tuple[int, int, str]]:
         """Current version of every bucket: as many rows as the table has buckets."""
@@ -147,7 +158,8 @@ class KeyedTarget:
         if log is None:
             return []
         last = log.groupBy("bucket").agg(F.max(F.struct("version", "schema")).alias("m"))
-        return [tuple(r) for r in last.select("bucket", "m.version", "m.schema").orderBy("m.version").collect()]
+        rows = last.select("bucket", "m.version", "m.schema").collect()
+        return sorted((tuple(r) for r in rows), key=lambda r: (r[1], r[0]))
 
     def _changes(self, spark: SparkSession, batches: list[tuple[int, int, str]]) -> DataFrame | None:
         return _read(spark, [(f"{self.path}/delta/batch={b}", schema) for b, _, schema in batches])

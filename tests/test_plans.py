@@ -1,0 +1,144 @@
+from __future__ import annotations
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.plans import health, routes, state, sync
+
+TABLE = "database string, schema string, tbl string"
+ANNOTATION = "annotation struct<enabled:boolean,target_schema:string,target_table:string>"
+
+
+def test_names_and_incomplete_targets(spark):
+    tables = spark.createDataFrame(
+        [("d", "s", "t", (True, "wh", "t")), ("d", "s", "u", (True, "wh", None)), ("d", "s", "v", None)],
+        f"{TABLE}, {ANNOTATION}",
+    )
+    rows = {r.tbl: r for r in routes.routes(tables).collect()}
+    t = rows["t"]
+    assert (t.server, t.topic) == ("yb_d_s_t", "yb_d_s_t.s.t")
+    assert (t.source_pipeline, t.sink_pipeline) == ("yb-source-d-s-t", "bq-sink-d-t")
+    assert (t.status, t.error) == ("ok", None)
+    assert rows["u"].status == rows["v"].status == "failed"
+    assert rows["u"].error == routes.INCOMPLETE
+
+
+def test_equal_names_in_two_schemas_collide(spark):
+    tables = spark.createDataFrame(
+        [("d", "public", "testtable", None), ("d", "test_schema", "testtable", None), ("e", "public", "testtable", None)],
+        f"{TABLE}, {ANNOTATION}",
+    )
+    plan = routes.routes(tables)
+    assert [tuple(r) for r in routes.collisions(plan).collect()] == [("bq-sink-d-testtable", 2)]
+    assert routes.collisions(plan, "source_pipeline").count() == 0
+
+
+def test_mixed_stream_is_written_per_target(spark, tmp_path):
+    plan = routes.routes(
+        spark.createDataFrame(
+            [("d", "s", "t", (True, "wh", "t")), ("d", "s", "u", (True, "wh", "u")), ("d", "s", "v", (True, "wh", None))],
+            f"{TABLE}, {ANNOTATION}",
+        )
+    )
+    changes = spark.range(30).select(
+        F.lit("d").alias("database"), F.lit("s").alias("schema"), F.expr("element_at(array('t','u','v'), cast(id % 3 + 1 as int))").alias("tbl"), "id"
+    )
+    routes.write_routed(routes.route(changes, plan).select("target_schema", "target_table", "id"), f"{tmp_path}/r")
+    assert spark.read.parquet(f"{tmp_path}/r/target_schema=wh/target_table=u").count() == 10
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 20
+
+
+def test_one_bad_row_does_not_stop_the_rest(spark):
+    df = spark.createDataFrame([(1,), (0,), (None,)], "n int")
+    got = routes.with_outcome(df, {"no number": F.col("n").isNotNull(), "zero": F.col("n") != 0})
+    assert {r.n: (r.status, r.error) for r in got.collect()} == {
+        1: ("ok", None),
+        0: ("failed", "zero"),
+        None: ("failed", "no number"),
+    }
+
+
+def plan_by_hand(enabled, source, sink, target, count):
+    if not enabled:
+        return ("skip", False, False, False)
+    action = {(0, 0): "full_setup", (1, 0): "add_sink", (0, 1): "add_source", (1, 1): "ok"}[(int(source), int(sink))]
+    return (
+        action,
+        action == "full_setup" and target,
+        action in ("full_setup", "add_source") and count > 0,
+        action == "full_setup" and count > 0,
+    )
+
+
+def test_sync_plan_over_all_cases(spark):
+    cases = list(itertools.product([True, False, None], *[[True, False]] * 3, [0, 4]))
+    rows = [
+        (str(i), None if e is None else (e, "wh", "t"), so, si, ta, n) for i, (e, so, si, ta, n) in enumerate(cases)
+    ]
+    tables = spark.createDataFrame(
+        rows,
+        f"tbl string, {ANNOTATION}, source_exists boolean, sink_exists boolean, target_exists boolean, source_count bigint",
+    )
+    got = {int(r.tbl): (r.action, r.needs_backfill, r.needs_snapshot, r.capture_count) for r in sync.sync_plan(tables).collect()}
+    assert got == {i: plan_by_hand(*case) for i, case in enumerate(cases)}
+
+
+def test_setup_without_target_is_a_problem(spark):
+    tables = spark.createDataFrame(
+        [("a", (True, None, None), False, False, False, 1), ("b", (False, None, None), False, False, False, 1)],
+        f"tbl string, {ANNOTATION}, source_exists boolean, sink_exists boolean, target_exists boolean, source_count bigint",
+    )
+    assert {r.tbl: r.problem for r in sync.sync_plan(tables).collect()} == {"a": "target_incomplete", "b": None}
+
+
+def test_retirement_lists_what_is_there_target_first(spark):
+    tables = spark.createDataFrame(
+        [("d", "s", "off", (False, "w", "t"), True, False, True), ("d", "s", "none", None, False, True, False),
+         ("d", "s", "on", (True, "w", "t"), True, True, True), ("d", "s", "gone", None, False, False, False)],
+        f"{TABLE}, {ANNOTATION}, target_exists boolean, source_exists boolean, sink_exists boolean",
+    )
+    steps = sync.retire_plan(tables).orderBy("tbl", "step")
+    assert [(r.tbl, r.object) for r in steps.collect()] == [("none", "source"), ("off", "target"), ("off", "sink")]
+
+
+STATUS = f"{TABLE}, connector struct<state:string>, tasks array<struct<id:int,state:string,trace:string>>"
+
+
+@pytest.fixture
+def reports(spark):
+    traces = ["BigQuery schema quota", "Invalid SCHEMA", "avro rate", "QUOTA", "generated", "bigquery down", None]
+    return spark.createDataFrame(
+        [("d", "s", "a", ("RUNNING",), [(i, "FAILED", t) for i, t in enumerate(traces)] + [(9, "RUNNING", "BigQuery")]),
+         ("d", "s", "b", None, None), ("d", "s", "c", (None,), [(0, None, None)])],
+        STATUS,
+    )
+
+
+def test_failures(reports):
+    got = {r.task_id: r.failure for r in health.classify(reports).collect()}
+    assert got == {0: "bigquery", 1: "schema", 2: "schema", 3: "quota", 4: "quota", 5: "general", 6: "general"}
+
+
+def test_rollup(reports):
+    got = {r.tbl: (r.state, r.tasks, r.running, r.failed, r.unknown) for r in health.status_rollup(reports).collect()}
+    assert got == {"a": ("RUNNING", 8, 1, 7, 0), "b": ("UNKNOWN", 0, 0, 0, 0), "c": ("UNKNOWN", 1, 0, 0, 1)}
+
+
+def test_health(spark):
+    tables = spark.createDataFrame([("d", "s", x) for x in "abc"], TABLE)
+    status = spark.createDataFrame([("d", "s", "a", "RUNNING"), ("d", "s", "b", "FAILED")], f"{TABLE}, state string")
+    topics = spark.createDataFrame([("yb_d_s_a.s.a",), ("yb_d_s_a.s.a",)], "topic string")
+    got = {r.tbl: (r.action, r.topic_missing) for r in health.health_plan(tables, status, topics).collect()}
+    assert got == {"a": ("ok", False), "b": ("restart", True), "c": ("create", True)}
+
+
+def test_diff(spark):
+    schema = f"{TABLE}, {ANNOTATION}"
+    on, off, moved = (True, "w", "t"), (False, "w", "t"), (True, "w2", "t")
+    old = spark.createDataFrame([("d", "s", t, a) for t, a in [("same", on), ("on", off), ("off", on), ("cfg", on), ("gone", on), ("none", None)]], schema)
+    new = spark.createDataFrame([("d", "s", t, a) for t, a in [("same", on), ("on", on), ("off", off), ("cfg", moved), ("new", None), ("none", None)]], schema)
+    assert {r.tbl: r.change for r in state.state_diff(old, new).collect()} == {
+        "same": "same", "on": "enabled", "off": "disabled", "cfg": "changed", "gone": "removed", "new": "added", "none": "same",
+    }

@@ -154,7 +154,7 @@ def sql_query(spark, sf_dir):
 
 
 def change_stream(spark, sf_dir):
-    events = read_changes(spark, f"{sf_dir}/events.parquet", EVENTS_SCHEMA, max_bytes=16 << 30)
+    events = read_changes(spark, f"{sf_dir}/events.parquet*", EVENTS_SCHEMA, max_bytes=16 << 30)
     return spark.sql(rel.CHANGES, events=events)
 
 
