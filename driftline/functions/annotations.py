@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.once import once
+
 # JSON texts that count as "not enabled" besides every spelling of zero.
 FALSY = ("false", "null", '""', "[]", "{}")
 
@@ -54,4 +56,4 @@ def parse_annotations(df: DataFrame, comment_col: str = "comment") -> DataFrame:
             part(2).alias("target_table"),
         ),
     )
-    return staged.withColumn("annotation", annotation).drop("_root", "_boot", "_enabled", "_target", "_parts")
+    return once(staged, "annotation", annotation).drop("_root", "_boot", "_enabled", "_target", "_parts")

@@ -70,16 +70,30 @@ def unexpected_records(df: DataFrame, types: dict[str, str], key: str = "id") ->
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last record of every key.
+    """The last record of every key by ``order``.
 
-    ``max_by`` reduces each key to one record per task before the shuffle, so a key that holds a third
-    of the log costs one record per task. ``order`` must be total within a key.
+    An aggregate rather than a window: each task reduces a key to one record before the shuffle, so a
+    key that holds a third of the log costs one record per task. Records that tie in ``order`` are told
+    apart by their other columns, so that a replay gives the same result; columns that cannot be
+    compared (maps, variants) leave such a tie open.
     """
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order))
+    place = [c for c in order if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in place]
+    if any(_incomparable(df.schema[c].dataType) for c in rest):
+        newest = F.max_by(F.struct(*place, *rest), F.struct(*place))
+    else:
+        newest = F.max(F.struct(*place, *rest))
     return df.groupBy(*keys).agg(newest.alias("_newest")).select(*keys, "_newest.*").select(*df.columns)
 
 
+def _incomparable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_incomparable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _incomparable(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def drop_deleted(df: DataFrame) -> DataFrame:
     """Without the keys whose last record is a delete."""
     return df.filter(F.col("op") != "d")

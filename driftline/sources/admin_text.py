@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.once import once
+
 # Shapes of the lines.
 STREAM_ID = r"(?i)CDC Stream ID:\s*([0-9a-f]{32})"
 STREAM_TABLE = r'^\s*table_id:\s*"([0-9a-fA-F]+)"'
@@ -27,8 +29,9 @@ def parse_stream_info(lines: DataFrame) -> DataFrame:
 def parse_table_listing(lines: DataFrame) -> DataFrame:
     """``ysql.<database>.<table> [ysql_schema=<schema>] [<id>] [...]``; shorter lines are skipped."""
     inner = lambda i: F.expr(f"substring(_p[{i}], 2, greatest(length(_p[{i}]) - 2, 0))")
+    words = F.split(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
     parts = (
-        lines.withColumn("_p", F.split(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
+        once(lines, "_p", words)
         .filter(F.size("_p") >= 4)
         .select(F.col("_p")[0].alias("_name"), inner(1).alias("_schema"), inner(2).alias("table_id"))
         .filter(F.col("_name").rlike(r"^ysql\.[^.]+\.") & F.col("_schema").startswith(SCHEMA_TAG))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftline.streaming.commits import commit, committed
+from driftline.streaming.commits import commit, committed, latest
 
-_VERSIONS = "version bigint"
+_VERSIONS = "complete boolean, version bigint"
 
 
 def append(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -28,13 +27,12 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
     spark = df.sparkSession
     version = (current_version(spark, path) or 0) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    commit(spark, f"{path}/_versions", version=[version])
+    commit(spark, f"{path}/_versions", "version", version, complete=[True])
     return version
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    log = committed(spark, f"{path}/_versions", _VERSIONS)
-    return None if log is None else log.agg(F.max("version")).first()[0]
+    return latest(committed(spark, f"{path}/_versions", _VERSIONS), "version")
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Which written versions count: a small Parquet log beside the data.
+"""Which written versions count: small Parquet folders beside the data.
 
-A version's files are written first and named here afterwards by appending one single-row-group file,
-so a reader sees a version entirely or not at all and a crashed attempt can be repeated under the same
-number.
+A version's files are written first. Then one file is written that names them, into a folder of its own
+(``<log>/<number column>=<n>``). A reader sees that file or does not, so it sees a version entirely or
+not at all, and a crashed attempt is simply repeated under the same number.
 """
 
 from __future__ import annotations
@@ -10,18 +10,23 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def commit(spark: SparkSession, path: str, **columns: list) -> None:
-    """Append rows, given by column, as one file."""
-    spark.createDataFrame(pa.table(columns)).coalesce(1).write.mode("append").parquet(path)
+def commit(spark: SparkSession, log: str, number: str, n: int, **columns: list) -> None:
+    """Write entry ``n``, its rows given by column, as one file."""
+    spark.createDataFrame(pa.table(columns)).coalesce(1).write.mode("overwrite").parquet(f"{log}/{number}={n}")
 
 
-def committed(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """The log, or None before the first commit."""
+def committed(spark: SparkSession, log: str, schema: str) -> DataFrame | None:
+    """All entries, or None before the first commit."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(log)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+
+
+def latest(entries: DataFrame | None, number: str) -> int | None:
+    return None if entries is None else entries.agg(F.max(number)).first()[0]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.once import once
+
 CORRUPT = "_corrupt"
 
 
@@ -14,7 +16,7 @@ def parsed(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataF
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     others = [c for c in raw.columns if c != column]
-    record = raw.withColumn("_record", F.from_json(column, with_corrupt, options))
+    record = once(raw, "_record", F.from_json(column, with_corrupt, options))
     return record.select(*others, "_record.*")
 
 

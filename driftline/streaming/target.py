@@ -4,7 +4,8 @@ Changes are buffered per batch and folded into the base from time to time:
 
 ``delta/batch=<n>``                 one record per key of batch ``n``
 ``base/version=<v>/bucket=<b>``     latest record per key, tombstones included
-``_batches``, ``_buckets``          which batches and which version of each bucket count
+``_batches/batch=<n>``              a batch that counts, its records and schema
+``_manifests/version=<v>``          for every bucket the version that holds it
 
 A merge reads and rewrites only the buckets that the buffered changes touch. Readers see the base with
 the buffered changes applied, so buffering delays nothing. Both steps write files first and commit them
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,28 @@ from pyspark.sql import types as T
 from driftline.functions.lattice import merged_schema, relax
 from driftline.operators.changes import apply_changes, drop_deleted, latest_per_key
 from driftline.operators.schema import conform
-from driftline.streaming.commits import commit, committed
+from driftline.streaming.commits import commit, committed, latest
 
-_BATCHES = "batch bigint, records bigint, schema string"
-_BUCKETS = "bucket bigint, version bigint, through bigint, schema string"
-_NONE = -1
+_BATCHES = "records bigint, schema string, batch bigint"
+_MANIFESTS = "bucket bigint, data bigint, through bigint, schema string, version bigint"
+
+
+_TABLE = -1  # manifest row of the table as a whole, which may have no bucket left
+
+
+class Manifest(NamedTuple):
+    """``buckets`` maps a bucket to the version that holds it and the schema of its files."""
+
+    version: int
+    through: int
+    schema: str
+    buckets: dict[int, tuple[int, str]]
+
+
+class Batch(NamedTuple):
+    batch: int
+    records: int
+    schema: str
 
 
 class KeyedTarget:
@@ -48,18 +67,19 @@ class KeyedTarget:
     def buffer(self, changes: DataFrame, batch_id: int) -> None:
         """Keep the last change per key of one batch; a batch id that is already in is skipped."""
         spark = changes.sparkSession
-        through = self._through(spark)
-        if batch_id <= through or batch_id in {b for b, _, _ in self._pending_batches(spark, through)}:
+        through = self._manifest(spark).through
+        if batch_id <= through or batch_id in {b.batch for b in self._pending(spark, through)}:
             return
         newest = latest_per_key(changes, self.keys, self.order)
         newest = conform(newest, relax(newest.schema))
         where = f"{self.path}/delta/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
         records = spark.read.schema(newest.schema).parquet(where).count()
-        commit(spark, f"{self.path}/_batches", batch=[batch_id], records=[records], schema=[newest.schema.json()])
+        schema = newest.schema.json()
+        commit(spark, f"{self.path}/_batches", "batch", batch_id, records=[records], schema=[schema])
 
     def pending_records(self, spark: SparkSession) -> int:
-        return sum(n for _, n, _ in self._pending_batches(spark, self._through(spark)))
+        return sum(b.records for b in self._pending(spark, self._manifest(spark).through))
 
     def merge(self, spark: SparkSession, forget_below: Column | None = None) -> None:
         """Fold the buffered batches into the buckets they touch.
@@ -67,64 +87,81 @@ class KeyedTarget:
         Tombstones stay, so that a late older change cannot revive a deleted key; ``forget_below`` is
         a condition under which they may go, for instance on ``ts``.
         """
-        batches = self._pending_batches(spark, self._through(spark))
+        manifest = self._manifest(spark)
+        batches = self._pending(spark, manifest.through)
         changes = self._changes(spark, batches)
         if changes is None:
             return
         # At most one row per bucket.
-        touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}
-        manifest = self._manifest(spark)
-        state = self._base(spark, [row for row in manifest if row[0] in touched])
+        touched = sorted(r[0] for r in changes.select(self._bucket()).distinct().collect())
+        state = self._base(spark, {b: manifest.buckets[b] for b in touched if b in manifest.buckets})
         merged = self._apply(state, changes, batches)
         if forget_below is not None:
             merged = merged.filter(~((F.col("op") == "d") & forget_below))
         merged = conform(merged, relax(merged.schema))
-        version = max((v for _, v, _ in manifest), default=0) + 1
+        version = manifest.version + 1
+        # Rebalancing gives a bucket one file, or several if it is large.
         (
-            merged.withColumn("_bucket", self._bucket())
-            .hint("rebalance", F.col("_bucket"))
-            .withColumnRenamed("_bucket", "bucket")
+            merged.withColumn("bucket", self._bucket())
+            .hint("rebalance", F.col("bucket"))
             .write.mode("overwrite")
             .partitionBy("bucket")
             .parquet(f"{self.path}/base/version={version}")
         )
-        n = len(touched)
+        schema = merged.schema.json()
+        buckets = {**manifest.buckets, **dict.fromkeys(touched, (version, schema))}
+        if forget_below is not None:
+            left = spark.read.schema("bucket bigint").parquet(f"{self.path}/base/version={version}")
+            for gone in set(touched) - {r.bucket for r in left.distinct().collect()}:
+                del buckets[gone]
+        rows = {_TABLE: (version, schema), **buckets}
         commit(
             spark,
-            f"{self.path}/_buckets",
-            bucket=sorted(touched),
-            version=[version] * n,
-            through=[max(b for b, _, _ in batches)] * n,
-            schema=[merged.schema.json()] * n,
+            f"{self.path}/_manifests",
+            "version",
+            version,
+            bucket=list(rows),
+            data=[data for data, _ in rows.values()],
+            through=[max(b.batch for b in batches)] * len(rows),
+            schema=[kind for _, kind in rows.values()],
         )
 
     # -- reading ---------------------------------------------------------------------------------
 
     def records(self, spark: SparkSession) -> DataFrame:
         """Latest record of every key, tombstones included."""
-        batches = self._pending_batches(spark, self._through(spark))
+        manifest = self._manifest(spark)
+        batches = self._pending(spark, manifest.through)
         changes = self._changes(spark, batches)
-        base = self._base(spark, self._manifest(spark))
-        if changes is None and base is None:
+        base = self._base(spark, manifest.buckets)
+        if changes is not None:
+            return self._apply(base, changes, batches)
+        if base is not None:
+            return base
+        if manifest.version == 0:
             raise ValueError(f"nothing committed under {self.path}")
-        return base if changes is None else self._apply(base, changes, batches)
+        return spark.createDataFrame([], T.StructType.fromJson(json.loads(manifest.schema)))
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The table: latest record of every key that is not deleted."""
         return drop_deleted(self.records(spark))
 
     def obsolete(self, spark: SparkSession) -> list[str]:
-        """Folders no reader needs any more."""
-        log = committed(spark, f"{self.path}/_buckets", _BUCKETS)
+        """Folders that no new reader needs, for whatever cleans up the storage."""
+        manifest = self._manifest(spark)
+        log = committed(spark, f"{self.path}/_manifests", _MANIFESTS)
         batches = committed(spark, f"{self.path}/_batches", _BATCHES)
-        if log is None:
+        if log is None or batches is None:
             return []
-        current = {(b, v) for b, v, _ in self._manifest(spark)}
-        written = {(r.bucket, r.version) for r in log.select("bucket", "version").distinct().collect()}
-        merged = batches.filter(F.col("batch") <= self._through(spark)).select("batch").distinct().collect()
-        return [f"{self.path}/base/version={v}/bucket={b}" for b, v in sorted(written - current)] + [
-            f"{self.path}/delta/batch={r.batch}" for r in merged
-        ]
+        current = {(b, data) for b, (data, _) in manifest.buckets.items()}
+        named = log.filter(F.col("bucket") != _TABLE).select("bucket", "data").distinct()
+        written = {(r.bucket, r.data) for r in named.collect()}
+        merged = [r.batch for r in batches.filter(F.col("batch") <= manifest.through).select("batch").collect()]
+        return (
+            [f"{self.path}/base/version={data}/bucket={b}" for b, data in sorted(written - current)]
+            + [f"{self.path}/_manifests/version={v}" for v in range(1, manifest.version)]
+            + [f"{self.path}/{kind}/batch={b}" for b in sorted(merged) for kind in ("delta", "_batches")]
+        )
 
     # -- parts -----------------------------------------------------------------------------------
 
@@ -132,40 +169,38 @@ class KeyedTarget:
         # Hashed as text, so that a key column that widens keeps its bucket.
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets))
 
-    def _apply(
-        self, state: DataFrame | None, changes: DataFrame, batches: list[tuple[int, int, str]]
-    ) -> DataFrame:
+    def _apply(self, state: DataFrame | None, changes: DataFrame, batches: list[Batch]) -> DataFrame:
         if state is None:
             return latest_per_key(changes, self.keys, self.order)
         schema = merged_schema(state.schema, changes.schema)
-        records = sum(n for _, n, _ in batches)
+        records = sum(b.records for b in batches)
         return apply_changes(conform(state, schema), conform(changes, schema), self.keys, self.order, records)
 
-    def _through(self, spark: SparkSession) -> int:
-        log = committed(spark, f"{self.path}/_buckets", _BUCKETS)
-        return _NONE if log is None else log.agg(F.max("through")).first()[0]
-
-    def _pending_batches(self, spark: SparkSession, through: int) -> list[tuple[int, int, str]]:
-        """Batches not merged yet; their number is bounded by the merge cadence."""
+    def _manifest(self, spark: SparkSession) -> Manifest:
+        """The current manifest: as many rows as the table has buckets."""
+        log = committed(spark, f"{self.path}/_manifests", _MANIFESTS)
+        version = latest(log, "version")
+        if version is None:
+            return Manifest(0, -1, "", {})
+        rows = sorted(log.filter(F.col("version") == version).collect(), key=lambda r: (r.data, r.bucket))
+        buckets = {r.bucket: (r.data, r.schema) for r in rows}
+        _, schema = buckets.pop(_TABLE)
+        return Manifest(version, rows[0].through, schema, buckets)
+
+    def _pending(self, spark: SparkSession, through: int) -> list[Batch]:
+        """Batches not merged yet; the merge cadence bounds their number."""
         log = committed(spark, f"{self.path}/_batches", _BATCHES)
         if log is None:
             return []
-        return sorted({tuple(r) for r in log.filter(F.col("batch") > through).collect()})
-
-    def _manifest(self, spark: SparkSession) -> list[tuple[int, int, str]]:
-        """Current version of every bucket: as many rows as the table has buckets."""
-        log = committed(spark, f"{self.path}/_buckets", _BUCKETS)
-        if log is None:
-            return []
-        last = log.groupBy("bucket").agg(F.max(F.struct("version", "schema")).alias("m"))
-        rows = last.select("bucket", "m.version", "m.schema").collect()
-        return sorted((tuple(r) for r in rows), key=lambda r: (r[1], r[0]))
+        rows = log.filter(F.col("batch") > through).select("batch", "records", "schema").collect()
+        return sorted(Batch(*r) for r in rows)
 
-    def _changes(self, spark: SparkSession, batches: list[tuple[int, int, str]]) -> DataFrame | None:
-        return _read(spark, [(f"{self.path}/delta/batch={b}", schema) for b, _, schema in batches])
+    def _changes(self, spark: SparkSession, batches: list[Batch]) -> DataFrame | None:
+        return _read(spark, [(f"{self.path}/delta/batch={b.batch}", b.schema) for b in batches])
 
-    def _base(self, spark: SparkSession, manifest: list[tuple[int, int, str]]) -> DataFrame | None:
-        return _read(spark, [(f"{self.path}/base/version={v}/bucket={b}", schema) for b, v, schema in manifest])
+    def _base(self, spark: SparkSession, buckets: dict[int, tuple[int, str]]) -> DataFrame | None:
+        files = [(f"{self.path}/base/version={data}/bucket={b}", schema) for b, (data, schema) in buckets.items()]
+        return _read(spark, files)
 
 
 def _read(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,13 @@ def test_tombstones_go_when_told(spark, tmp_path):
     target.buffer(spark.createDataFrame([(1, "d", 3, None), (2, "d", 9, None), (3, "c", 1, "c")], LOG), 0)
     target.merge(spark, forget_below=F.col("lsn") < 5)
     assert {r.id for r in target.records(spark).collect()} == {2, 3}
+    target.buffer(spark.createDataFrame([(3, "d", 12, None)], LOG), 1)
+    target.buffer(spark.createDataFrame([(2, "d", 13, None)], LOG), 2)
+    target.merge(spark, forget_below=F.col("lsn") < 20)
+    assert target.records(spark).count() == 0
+    assert target.read(spark).columns == ["id", "op", "lsn", "v"]
+    target.buffer(spark.createDataFrame([(2, "d", 13, None)], LOG), 2)
+    assert target.pending_records(spark) == 0
 
 
 def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
@@ -138,12 +146,19 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
     target.merge(spark)
     target.buffer(spark.createDataFrame([(3, "u", 1, "new")], LOG), 1)
     target.merge(spark)
-    versions = [v for _, v, _ in target._manifest(spark)]
+    versions = [data for data, _ in target._manifest(spark).buckets.values()]
     assert sorted(versions) == [1] * 7 + [2]
     assert target.read(spark).count() == 200
     stale = target.obsolete(spark)
     assert len([p for p in stale if "/base/" in p]) == 1
     assert len([p for p in stale if "/delta/" in p]) == 2
+    for path in stale:
+        shutil.rmtree(path)
+    assert target.read(spark).count() == 200
+    target.buffer(spark.createDataFrame([(4, "d", 2, None)], LOG), 1)
+    target.buffer(spark.createDataFrame([(4, "d", 2, None)], LOG), 2)
+    target.merge(spark)
+    assert target.read(spark).count() == 199
 
 
 def test_schema_drifts_between_batches(spark, tmp_path):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def fields(sql: str) -> set[str]:
@@ -16,8 +17,18 @@ def fields(sql: str) -> set[str]:
 
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in fields(sql)}
-    return spark.sql(sql, **tables)
+    return spark.sql(sql, **{name: given(spark, sf_dir, name) for name in fields(sql)})
+
+
+_schemas: dict[str, T.StructType] = {}
+
+
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is read from the files once, not for every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def text(sql: str) -> str:
