@@ -105,19 +105,31 @@ def apply_changes(
     """The state after the changes, deletes kept as tombstones.
 
     ``state`` holds one record per key and both sides have the same columns. A change older than the
-    state's record of its key is ignored. The state is never aggregated, only filtered by the keys of
-    the changes. If the caller knows the number of changes and it is small, those keys are broadcast
-    and the state is not shuffled at all; otherwise Spark joins on keys that are unique on both sides.
+    state's record of its key is ignored. See ``kept_and_fresh`` for what ``change_count`` does.
+    """
+    kept, fresh = kept_and_fresh(state, changes, keys, order, change_count)
+    return kept.unionByName(fresh)
+
+
+def kept_and_fresh(
+    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], change_count: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The state's records that stay, and the changes that take effect.
+
+    The state is never aggregated, only filtered by the keys of the changes. If the caller knows the
+    number of changes and it is small, those keys are broadcast and the state is not shuffled at all;
+    otherwise Spark joins on keys that are unique on both sides.
     """
     newest = latest_per_key(changes.select(*state.columns), keys, order)
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     # The newest place per key is aggregated apart: it needs no row images, only keys and order.
     mark = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(place).alias("_newest"))
     # Both the marks and the late keys number at most ``change_count``.
-    small = F.broadcast if change_count is not None and change_count <= BROADCAST_RECORDS else lambda df: df
+    few = change_count is not None and change_count <= BROADCAST_RECORDS
+    small = F.broadcast if few else lambda df: df
     same_key = [F.col(k) == F.col(f"_{k}") for k in keys]
     mark = small(mark)
     replaced = place.isNull() | F.coalesce(F.col("_newest") >= place, F.lit(False))
     kept = state.join(mark, [*same_key, replaced], "left_anti")
     late = state.select(*keys, *order).join(mark, [*same_key, ~replaced], "left_semi").select(*keys)
-    return kept.unionByName(newest.join(small(late), list(keys), "left_anti"))
+    return kept, newest.join(small(late), list(keys), "left_anti")

@@ -19,10 +19,14 @@ def stream_apply(
     target: KeyedTarget,
     every: str | None = MERGE_INTERVAL,
     merge_records: int = 0,
+    compact_every: int = 20,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Buffer each micro-batch and merge once ``merge_records`` changes have gathered.
 
+    A merge reads and writes every bucket it touches, which for changes spread over all keys is the
+    whole table: let ``merge_records`` grow with it. Every ``compact_every``-th batch compacts as well.
+
     ``every`` is the interval of the micro-batches; None works off what is there and stops. The target
     is created by its first batch, with that batch's schema. ``prepare`` runs on the micro-batch, for
     what a stream's fixed schema cannot express. A failed micro-batch is repeated from the checkpoint
@@ -33,7 +37,7 @@ def stream_apply(
         spark = batch.sparkSession
         target.buffer(prepare(batch) if prepare else batch, batch_id)
         if target.pending_records(spark) >= max(merge_records, 1):
-            target.merge(spark)
+            target.merge(spark, compact=(batch_id + 1) % compact_every == 0)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint")
     trigger = {"availableNow": True} if every is None else {"processingTime": every}

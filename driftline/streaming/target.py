@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.lattice import merged_schema, relax
-from driftline.operators.changes import apply_changes, drop_deleted, latest_per_key
+from driftline.operators.changes import (
+    BROADCAST_RECORDS,
+    drop_deleted,
+    kept_and_fresh,
+    latest_per_key,
+)
 from driftline.operators.schema import conform
 from driftline.streaming.commits import commit, committed, latest
 
@@ -79,13 +84,15 @@ class KeyedTarget:
         commit(spark, f"{self.path}/_batches", "batch", batch_id, records=[records], schema=[schema])
 
     def pending_records(self, spark: SparkSession) -> int:
-        return sum(b.records for b in self._pending(spark, self._manifest(spark).through))
+        return _records(self._pending(spark, self._manifest(spark).through))
 
-    def merge(self, spark: SparkSession, forget_below: Column | None = None) -> None:
+    def merge(self, spark: SparkSession, forget_below: Column | None = None, compact: bool = False) -> None:
         """Fold the buffered batches into the buckets they touch.
 
-        Tombstones stay, so that a late older change cannot revive a deleted key; ``forget_below`` is
-        a condition under which they may go, for instance on ``ts``.
+        Few changes leave the kept records in the tasks that read them, so a merge adds a file to each
+        bucket it touches; ``compact`` shuffles the touched buckets once and gives each one file, or
+        several if it is large. Tombstones stay, so that a late older change cannot revive a deleted
+        key; ``forget_below`` is a condition under which they may go, for instance on ``ts``.
         """
         manifest = self._manifest(spark)
         batches = self._pending(spark, manifest.through)
@@ -95,20 +102,17 @@ class KeyedTarget:
         # At most one row per bucket.
         touched = sorted(r[0] for r in changes.select(self._bucket()).distinct().collect())
         state = self._base(spark, {b: manifest.buckets[b] for b in touched if b in manifest.buckets})
-        merged = self._apply(state, changes, batches)
+        kept, fresh = self._apply(state, changes, batches)
+        if kept is None or compact or _records(batches) > BROADCAST_RECORDS:
+            merged = self._balanced(fresh if kept is None else kept.unionByName(fresh))
+        else:
+            merged = kept.withColumn("bucket", self._bucket()).unionByName(self._balanced(fresh))
         if forget_below is not None:
             merged = merged.filter(~((F.col("op") == "d") & forget_below))
         merged = conform(merged, relax(merged.schema))
         version = manifest.version + 1
-        # Rebalancing gives a bucket one file, or several if it is large.
-        (
-            merged.withColumn("bucket", self._bucket())
-            .hint("rebalance", F.col("bucket"))
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(f"{self.path}/base/version={version}")
-        )
-        schema = merged.schema.json()
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/version={version}")
+        schema = merged.drop("bucket").schema.json()
         buckets = {**manifest.buckets, **dict.fromkeys(touched, (version, schema))}
         if forget_below is not None:
             left = spark.read.schema("bucket bigint").parquet(f"{self.path}/base/version={version}")
@@ -135,7 +139,8 @@ class KeyedTarget:
         changes = self._changes(spark, batches)
         base = self._base(spark, manifest.buckets)
         if changes is not None:
-            return self._apply(base, changes, batches)
+            kept, fresh = self._apply(base, changes, batches)
+            return fresh if kept is None else kept.unionByName(fresh)
         if base is not None:
             return base
         if manifest.version == 0:
@@ -169,12 +174,17 @@ class KeyedTarget:
         # Hashed as text, so that a key column that widens keeps its bucket.
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets))
 
-    def _apply(self, state: DataFrame | None, changes: DataFrame, batches: list[Batch]) -> DataFrame:
+    def _balanced(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket"))
+
+    def _apply(
+        self, state: DataFrame | None, changes: DataFrame, batches: list[Batch]
+    ) -> tuple[DataFrame | None, DataFrame]:
         if state is None:
-            return latest_per_key(changes, self.keys, self.order)
+            return None, latest_per_key(changes, self.keys, self.order)
         schema = merged_schema(state.schema, changes.schema)
-        records = sum(b.records for b in batches)
-        return apply_changes(conform(state, schema), conform(changes, schema), self.keys, self.order, records)
+        state, changes = conform(state, schema), conform(changes, schema)
+        return kept_and_fresh(state, changes, self.keys, self.order, _records(batches))
 
     def _manifest(self, spark: SparkSession) -> Manifest:
         """The current manifest: as many rows as the table has buckets."""
@@ -203,6 +213,10 @@ class KeyedTarget:
         return _read(spark, files)
 
 
+def _records(batches: list[Batch]) -> int:
+    return sum(b.records for b in batches)
+
+
 def _read(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame | None:
     """Folders written under different schemas as one relation under their union."""
     by_schema: dict[str, list[str]] = {}

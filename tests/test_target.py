@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import shutil
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from driftline.operators.changes import drop_deleted, latest_per_key
 from driftline.sources.changes import read_changes
 from driftline.streaming.apply import expand_json, stream_apply
 from driftline.streaming.batch import append, current, current_version, replace_all
+from driftline.streaming.expiry import expirations
 from driftline.streaming.quarantine import quarantine, write_quarantined
 from driftline.streaming.target import KeyedTarget
 
@@ -161,6 +163,19 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
     assert target.read(spark).count() == 199
 
 
+def test_compaction_leaves_one_file_per_bucket(spark, tmp_path):
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)
+    rows = log_rows(300, 50, 11)
+    for i in range(4):
+        target.buffer(spark.createDataFrame(rows[i * 75 : (i + 1) * 75], LOG), i)
+        target.merge(spark, compact=i == 3)
+    assert table(target, spark) == final(rows)
+    manifest = target._manifest(spark)
+    for bucket, (data, _) in manifest.buckets.items():
+        files = list((tmp_path / "t" / "base" / f"version={data}" / f"bucket={bucket}").glob("*.parquet"))
+        assert len(files) == 1
+
+
 def test_schema_drifts_between_batches(spark, tmp_path):
     target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=4)
     target.buffer(spark.createDataFrame([(1, "c", 1, 10), (2, "c", 2, 20)], "id int, op string, lsn bigint, v int"), 0)
@@ -221,6 +236,31 @@ def test_append_matches_by_name(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "y")]
 
 
+def test_entries_expire_as_the_stream_moves_on(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    batches = [
+        [("a", at(0), 60), ("b", at(0), None), ("c", at(0), 0), ("d", at(0), 900)],
+        [("a", at(50), 60), ("e", at(700), 60)],
+        [("d", at(850), 900), ("z", at(1_500), 60)],
+        [("z2", at(9_000), 60)],
+    ]
+    schema = "k string, at timestamp_ntz, ttl int"
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = expirations(read_changes(spark, f"{tmp_path}/in", schema), ["k"], "at", F.col("ttl"))
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check")
+        writer.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        rows = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+        seen.append(sorted((r.k, int((r.lsn / 1e6) - start.replace(tzinfo=UTC).timestamp())) for r in rows))
+    # The stream's time lags the newest put by ten minutes.
+    assert seen[0] == []
+    assert seen[1] == []
+    assert seen[2] == [("a", 110), ("e", 760)]
+    assert seen[3] == [("a", 110), ("d", 1_750), ("e", 760), ("z", 1_560)]
+
+
 def test_quarantine(spark, tmp_path):
     from pyspark.sql import types as T
 

@@ -153,24 +153,26 @@ def sql_query(spark, sf_dir):
     )
 
 
+def event_stream(spark, sf_dir):
+    return read_changes(spark, f"{sf_dir}/events.parquet*", EVENTS_SCHEMA)
+
+
 def change_stream(spark, sf_dir):
-    events = read_changes(spark, f"{sf_dir}/events.parquet*", EVENTS_SCHEMA, max_bytes=16 << 30)
-    return spark.sql(rel.CHANGES, events=events)
+    return spark.sql(rel.CHANGES, events=event_stream(spark, sf_dir))
+
+
+def landed(spark, stream, name):
+    """What an append-only stream gives for the data that is there."""
+    path = workspace(spark, name)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @register(f"select * from {text(rel.CHANGES)} c")
 def cdc_stream_source(spark, sf_dir):
     """The change stream from the earliest record on, landed as it comes."""
-    path = workspace(spark, "landing")
-    landing = (
-        change_stream(spark, sf_dir)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    landing.awaitTermination()
-    return scan(spark, f"{path}/rows")
+    return landed(spark, change_stream(spark, sf_dir), "landing")
 
 
 @register(LATEST_STATE)

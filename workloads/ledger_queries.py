@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from driftline.operators import ledger as led
 from driftline.operators import signals as sig
+from driftline.streaming.expiry import expirations
 from workloads import relations as rel
+from workloads.change_queries import event_stream, landed
 from workloads.registry import register
 from workloads.relations import relation, text
 
@@ -169,3 +171,22 @@ join {NAMING} l on l.collection = c.schema || '.' || c.tbl and l.database = c.da
 group by c.database, c.schema, c.tbl""")
 def snapshot_requests(spark, sf_dir):
     return sig.snapshot_requests(signal_log(spark, sf_dir), relation(spark, sf_dir, rel.SIGNAL_CATALOG))
+
+
+@register(f"""
+with puts as (select database, schema, tbl, created_at as s, created_at + ttl_seconds * 24 * interval 1 second as e
+              from {text(rel.SIGNAL_TABLES)} t where ttl_seconds > 0),
+     reach as (select *, max(e) over (partition by database, schema, tbl order by s, e
+                                      rows between unbounded preceding and 1 preceding) as before from puts),
+     lives as (select *, count(*) filter (where before is null or s > before)
+                 over (partition by database, schema, tbl order by s, e rows unbounded preceding) as life from reach)
+select database, schema, tbl, 'd' as op, epoch_us(max(e)) as lsn, max(e) as expired_at
+from lives group by database, schema, tbl, life
+having max(e) <= (select max(s) from puts) - interval 10 minute""")
+def expiry_stream(spark, sf_dir):
+    """Deletes of entries whose time to live runs out, from the stream that puts them."""
+    puts = spark.sql(rel.SIGNAL_TABLES, events=event_stream(spark, sf_dir))
+    ended = expirations(puts, ["database", "schema", "tbl"], "created_at", F.col("ttl_seconds") * 24)
+    return landed(spark, ended, "expiry").select(
+        "database", "schema", "tbl", "op", "lsn", F.col("ts").cast("timestamp_ntz").alias("expired_at")
+    )
