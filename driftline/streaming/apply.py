@@ -35,9 +35,9 @@ def stream_apply(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target.buffer(prepare(batch) if prepare else batch, batch_id)
-        if target.pending_records(spark) >= max(merge_records, 1):
-            target.merge(spark, compact=(batch_id + 1) % compact_every == 0)
+        status = target.buffer(prepare(batch) if prepare else batch, batch_id)
+        if status.records >= max(merge_records, 1):
+            target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint")
     trigger = {"availableNow": True} if every is None else {"processingTime": every}

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from driftline.operators.changes import (
 from driftline.operators.schema import conform
 from driftline.streaming.commits import commit, committed, latest
 
-_BATCHES = "records bigint, schema string, batch bigint"
+_BATCHES = "records bigint, buckets array<bigint>, schema string, batch bigint"
 _MANIFESTS = "bucket bigint, data bigint, through bigint, schema string, version bigint"
 
 
@@ -50,11 +51,25 @@ class Manifest(NamedTuple):
 
 
 class Batch(NamedTuple):
+    """A buffered batch, with the buckets it touches."""
+
     batch: int
     records: int
+    buckets: list[int]
     schema: str
 
 
+class Status(NamedTuple):
+    """What counts at a moment: the base, and the batches not merged yet."""
+
+    manifest: Manifest
+    pending: list[Batch]
+
+    @property
+    def records(self) -> int:
+        return sum(b.records for b in self.pending)
+
+
 class KeyedTarget:
     """``buckets`` bounds the rewrite of a merge and is fixed for the life of the table.
 
@@ -66,44 +81,59 @@ class KeyedTarget:
         self.keys = list(keys)
         self.order = list(order)
         self.buckets = buckets
+        self._seen = 0
 
     # -- writing ---------------------------------------------------------------------------------
 
-    def buffer(self, changes: DataFrame, batch_id: int) -> None:
+    def buffer(self, changes: DataFrame, batch_id: int) -> Status:
         """Keep the last change per key of one batch; a batch id that is already in is skipped."""
         spark = changes.sparkSession
-        through = self._manifest(spark).through
-        if batch_id <= through or batch_id in {b.batch for b in self._pending(spark, through)}:
-            return
+        status = self.status(spark)
+        if batch_id <= status.manifest.through or batch_id in {b.batch for b in status.pending}:
+            return status
         newest = latest_per_key(changes, self.keys, self.order)
         newest = conform(newest, relax(newest.schema))
         where = f"{self.path}/delta/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
-        records = spark.read.schema(newest.schema).parquet(where).count()
-        schema = newest.schema.json()
-        commit(spark, f"{self.path}/_batches", "batch", batch_id, records=[records], schema=[schema])
-
-    def pending_records(self, spark: SparkSession) -> int:
-        return _records(self._pending(spark, self._manifest(spark).through))
-
-    def merge(self, spark: SparkSession, forget_below: Column | None = None, compact: bool = False) -> None:
+        written = spark.read.schema(newest.schema).parquet(where)
+        # At most one element per bucket.
+        records, buckets = written.agg(F.count("*"), F.sort_array(F.collect_set(self._bucket()))).first()
+        batch = Batch(batch_id, records, buckets, newest.schema.json())
+        commit(
+            spark,
+            f"{self.path}/_batches",
+            "batch",
+            batch_id,
+            records=[records],
+            buckets=pa.array([buckets], pa.list_(pa.int64())),
+            schema=[batch.schema],
+        )
+        return Status(status.manifest, sorted([*status.pending, batch]))
+
+    def merge(
+        self,
+        spark: SparkSession,
+        forget_below: Column | None = None,
+        compact: bool = False,
+        status: Status | None = None,
+    ) -> None:
         """Fold the buffered batches into the buckets they touch.
 
         Few changes leave the kept records in the tasks that read them, so a merge adds a file to each
         bucket it touches; ``compact`` shuffles the touched buckets once and gives each one file, or
         several if it is large. Tombstones stay, so that a late older change cannot revive a deleted
         key; ``forget_below`` is a condition under which they may go, for instance on ``ts``.
+        ``status`` spares reading the commits again.
         """
-        manifest = self._manifest(spark)
-        batches = self._pending(spark, manifest.through)
-        changes = self._changes(spark, batches)
+        manifest, pending = status or self.status(spark)
+        changes = self._changes(spark, pending)
         if changes is None:
             return
-        # At most one row per bucket.
-        touched = sorted(r[0] for r in changes.select(self._bucket()).distinct().collect())
+        touched = sorted({b for batch in pending for b in batch.buckets})
         state = self._base(spark, {b: manifest.buckets[b] for b in touched if b in manifest.buckets})
-        kept, fresh = self._apply(state, changes, batches)
-        if kept is None or compact or _records(batches) > BROADCAST_RECORDS:
+        records = sum(b.records for b in pending)
+        kept, fresh = self._apply(state, changes, records)
+        if kept is None or compact or records > BROADCAST_RECORDS:
             merged = self._balanced(fresh if kept is None else kept.unionByName(fresh))
         else:
             merged = kept.withColumn("bucket", self._bucket()).unionByName(self._balanced(fresh))
@@ -126,20 +156,28 @@ class KeyedTarget:
             version,
             bucket=list(rows),
             data=[data for data, _ in rows.values()],
-            through=[max(b.batch for b in batches)] * len(rows),
+            through=[pending[-1].batch] * len(rows),
             schema=[kind for _, kind in rows.values()],
         )
 
     # -- reading ---------------------------------------------------------------------------------
 
+    def status(self, spark: SparkSession) -> Status:
+        manifest = self._manifest(spark)
+        log = committed(spark, f"{self.path}/_batches", _BATCHES)
+        if log is None:
+            return Status(manifest, [])
+        # The merge cadence bounds the number of batches.
+        rows = log.filter(F.col("batch") > manifest.through).select("batch", "records", "buckets", "schema").collect()
+        return Status(manifest, sorted(Batch(*r) for r in rows))
+
     def records(self, spark: SparkSession) -> DataFrame:
         """Latest record of every key, tombstones included."""
-        manifest = self._manifest(spark)
-        batches = self._pending(spark, manifest.through)
-        changes = self._changes(spark, batches)
+        manifest, pending = status = self.status(spark)
+        changes = self._changes(spark, pending)
         base = self._base(spark, manifest.buckets)
         if changes is not None:
-            kept, fresh = self._apply(base, changes, batches)
+            kept, fresh = self._apply(base, changes, status.records)
             return fresh if kept is None else kept.unionByName(fresh)
         if base is not None:
             return base
@@ -178,32 +216,27 @@ class KeyedTarget:
         return df.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket"))
 
     def _apply(
-        self, state: DataFrame | None, changes: DataFrame, batches: list[Batch]
+        self, state: DataFrame | None, changes: DataFrame, records: int
     ) -> tuple[DataFrame | None, DataFrame]:
         if state is None:
             return None, latest_per_key(changes, self.keys, self.order)
         schema = merged_schema(state.schema, changes.schema)
         state, changes = conform(state, schema), conform(changes, schema)
-        return kept_and_fresh(state, changes, self.keys, self.order, _records(batches))
+        return kept_and_fresh(state, changes, self.keys, self.order, records)
 
     def _manifest(self, spark: SparkSession) -> Manifest:
         """The current manifest: as many rows as the table has buckets."""
         log = committed(spark, f"{self.path}/_manifests", _MANIFESTS)
-        version = latest(log, "version")
-        if version is None:
+        if log is None:
             return Manifest(0, -1, "", {})
-        rows = sorted(log.filter(F.col("version") == version).collect(), key=lambda r: (r.data, r.bucket))
+        # The last version seen prunes the folders to read.
+        since = self._seen or latest(log, "version")
+        recent = log.filter(F.col("version") >= since).collect()
+        self._seen = max(r.version for r in recent)
+        rows = sorted((r for r in recent if r.version == self._seen), key=lambda r: (r.data, r.bucket))
         buckets = {r.bucket: (r.data, r.schema) for r in rows}
         _, schema = buckets.pop(_TABLE)
-        return Manifest(version, rows[0].through, schema, buckets)
-
-    def _pending(self, spark: SparkSession, through: int) -> list[Batch]:
-        """Batches not merged yet; the merge cadence bounds their number."""
-        log = committed(spark, f"{self.path}/_batches", _BATCHES)
-        if log is None:
-            return []
-        rows = log.filter(F.col("batch") > through).select("batch", "records", "schema").collect()
-        return sorted(Batch(*r) for r in rows)
+        return Manifest(self._seen, rows[0].through, schema, buckets)
 
     def _changes(self, spark: SparkSession, batches: list[Batch]) -> DataFrame | None:
         return _read(spark, [(f"{self.path}/delta/batch={b.batch}", b.schema) for b in batches])
@@ -213,10 +246,6 @@ class KeyedTarget:
         return _read(spark, files)
 
 
-def _records(batches: list[Batch]) -> int:
-    return sum(b.records for b in batches)
-
-
 def _read(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame | None:
     """Folders written under different schemas as one relation under their union."""
     by_schema: dict[str, list[str]] = {}

@@ -63,7 +63,7 @@ def test_stream_equals_batch(spark, tmp_path, merge_records):
     batch = drop_deleted(latest_per_key(spark.read.parquet(f"{tmp_path}/in"), ["id"], ["lsn"]))
     assert table(target, spark) == sorted(tuple(r) for r in batch.collect()) == final(rows)
     if merge_records:
-        assert target.pending_records(spark) > 0
+        assert target.status(spark).records > 0
 
 
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
@@ -139,7 +139,7 @@ def test_tombstones_go_when_told(spark, tmp_path):
     assert target.records(spark).count() == 0
     assert target.read(spark).columns == ["id", "op", "lsn", "v"]
     target.buffer(spark.createDataFrame([(2, "d", 13, None)], LOG), 2)
-    assert target.pending_records(spark) == 0
+    assert target.status(spark).records == 0
 
 
 def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
@@ -215,6 +215,16 @@ def test_deletes_only_batch_creates_the_target(spark, tmp_path):
     assert target.read(spark).count() == 0
 
 
+def test_empty_batch(spark, tmp_path):
+    target = KeyedTarget(f"{tmp_path}/t", ["id"])
+    target.buffer(spark.createDataFrame([], LOG), 0)
+    assert target.read(spark).count() == 0
+    target.merge(spark)
+    target.buffer(spark.createDataFrame([(1, "c", 1, "a")], LOG), 1)
+    target.merge(spark)
+    assert table(target, spark) == [(1, "c", 1, "a")]
+
+
 def test_replace_all(spark, tmp_path):
     path = f"{tmp_path}/r"
     assert current_version(spark, path) is None
