@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.names import COLLECTION, TABLE, named
 from driftline.functions.times import moment, seconds
+from driftline.operators.changes import latest_per_key
 from driftline.operators.signals import remove
 
 # Seconds a count stays valid, as written by the sync job and by default.
@@ -46,8 +47,9 @@ def ledger_put(
         .withColumn("expires_at", F.when(life > 0, F.col("captured_at") + seconds(life)))
         .select(*LEDGER)
     )
-    kept = ledger.join(fresh.select(*TABLE), list(TABLE), "left_anti").select(*LEDGER)
-    return kept.unionByName(fresh)
+    # One aggregation over both, so that the counts are computed once.
+    both = ledger.select(*LEDGER, F.lit(0).alias("_put")).unionByName(fresh.withColumn("_put", F.lit(1)))
+    return latest_per_key(both, TABLE, ["_put"]).select(*LEDGER)
 
 
 def ledger_live(ledger: DataFrame, at: str | datetime | Column) -> DataFrame:

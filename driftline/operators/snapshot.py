@@ -47,7 +47,7 @@ def snapshot_plan(df: DataFrame, key: str, chunk_size: int = CHUNK_SIZE) -> Data
         .agg(F.count("*").alias("_size"))
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
-    chunk = F.floor((F.col("_start") + F.col("_pos")) / F.lit(chunk_size)).cast("bigint")
+    chunk = F.expr(f"(_start + _pos) div {int(chunk_size)}")
     return (
         keys.join(F.broadcast(starts), "_part")
         .groupBy(chunk.alias("chunk"))

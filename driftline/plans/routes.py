@@ -55,14 +55,15 @@ def route(changes: DataFrame, plan: DataFrame) -> DataFrame:
     return changes.join(valid, list(TABLE))
 
 
-def write_routed(changes: DataFrame, path: str) -> None:
+def write_routed(changes: DataFrame, path: str, batch_id: int) -> None:
     """One folder per target, written in one job rather than one per table.
 
-    Rebalancing by target keeps the number of files low and splits the target that takes the most.
+    Rebalancing by target keeps the number of files low and splits the target that takes the most. A
+    micro-batch that is replayed replaces what it wrote before.
     """
     target = ["target_schema", "target_table"]
     balanced = changes.hint("rebalance", *[F.col(c) for c in target])
-    balanced.write.mode("append").partitionBy(*target).parquet(path)
+    balanced.write.mode("overwrite").partitionBy(*target).parquet(f"{path}/batch={batch_id}")
 
 
 def collisions(plan: DataFrame, name: str = "sink_pipeline") -> DataFrame:

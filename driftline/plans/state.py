@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftline.functions.names import TABLE
@@ -53,6 +53,27 @@ def summary(state: DataFrame, at: str | datetime | Column, recent_hours: int = 2
     )
 
 
+def _counters() -> list[Column]:
+    return [
+        F.count("*").alias("scanned"),
+        F.count_if(F.col("action") == "ok").alias("in_sync"),
+        F.count_if(F.col("action").isin("full_setup", "add_sink", "add_source") & F.col("problem").isNull()).alias("to_sync"),
+        F.count_if(F.col("problem").isNotNull()).alias("errors"),
+        F.count_if(F.col("source_exists") & F.col("sink_exists")).alias("active"),
+    ]
+
+
+def scan_counters(plan: DataFrame) -> DataFrame:
+    """Counters of one scan, from its plan (``sync_plan``)."""
+    return plan.agg(*_counters())
+
+
+def observed(plan: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """The plan itself, and the same counters once some action has run over it."""
+    counters = Observation(name)
+    return plan.observe(counters, *_counters()), counters
+
+
 def report(state: DataFrame) -> DataFrame:
     """Configuration, target, pipeline status and last update per table."""
     on = F.when(F.col("annotation").isNull(), "none").when(F.col("annotation.enabled"), "enabled").otherwise("disabled")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.operators.changes import normalise
+from driftline.operators.schema import ordered
 from driftline.streaming.commits import commit, committed, latest
 
 _VERSIONS = "complete boolean, version bigint"
@@ -31,6 +33,14 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
     return version
 
 
+def backfill(target: DataFrame, path: str, types: dict[str, str], columns: str | list[str]) -> int:
+    """Load a source back from its target: records made relational, then all rows replaced.
+
+    ``types`` are the source's column types, ``columns`` its columns in order.
+    """
+    return replace_all(ordered(normalise(target, types), columns), path)
+
+
 def current_version(spark: SparkSession, path: str) -> int | None:
     return latest(committed(spark, f"{path}/_versions", _VERSIONS), "version")
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def expirations(puts: DataFrame, keys: Sequence[str], at: str, ttl: Column, delay: str = "10 minutes") -> DataFrame:
     """One delete per entry whose time has run out, as a change record (keys, ``op``, ``lsn``, ``ts``).
 
@@ -15,7 +18,10 @@ def expirations(puts: DataFrame, keys: Sequence[str], at: str, ttl: Column, dela
     session whose gap is their time to live, and the session's end is the expiry. It is emitted once
     the stream's time has passed it by ``delay``; a put later than that starts an entry of its own.
     ``ttl`` is in seconds; puts without one, or with none above zero, never expire.
+
+    Turns on the session option by which each task joins the puts of a key before the shuffle.
     """
+    puts.sparkSession.conf.set(MERGE_LOCALLY, "true")
     timed = (
         puts.withColumn("_ttl", ttl)
         .filter(F.col("_ttl") > 0)

@@ -45,8 +45,10 @@ def test_mixed_stream_is_written_per_target(spark, tmp_path):
     changes = spark.range(30).select(
         F.lit("d").alias("database"), F.lit("s").alias("schema"), F.expr("element_at(array('t','u','v'), cast(id % 3 + 1 as int))").alias("tbl"), "id"
     )
-    routes.write_routed(routes.route(changes, plan).select("target_schema", "target_table", "id"), f"{tmp_path}/r")
-    assert spark.read.parquet(f"{tmp_path}/r/target_schema=wh/target_table=u").count() == 10
+    routed = routes.route(changes, plan).select("target_schema", "target_table", "id")
+    for _ in range(2):
+        routes.write_routed(routed, f"{tmp_path}/r", 0)
+    assert spark.read.parquet(f"{tmp_path}/r/batch=0/target_schema=wh/target_table=u").count() == 10
     assert spark.read.parquet(f"{tmp_path}/r").count() == 20
 
 
@@ -142,3 +144,16 @@ def test_diff(spark):
     assert {r.tbl: r.change for r in state.state_diff(old, new).collect()} == {
         "same": "same", "on": "enabled", "off": "disabled", "cfg": "changed", "gone": "removed", "new": "added", "none": "same",
     }
+
+
+def test_counters_ride_along_with_another_action(spark):
+    tables = spark.createDataFrame(
+        [("a", (True, None, None), False, False, False, 1), ("b", (True, "w", "t"), True, True, True, 1),
+         ("c", (True, "w", "t"), True, False, True, 1), ("d", None, False, False, False, 0)],
+        f"tbl string, {ANNOTATION}, source_exists boolean, sink_exists boolean, target_exists boolean, source_count bigint",
+    )
+    plan, counters = state.observed(sync.sync_plan(tables))
+    assert plan.count() == 4
+    want = {"scanned": 4, "in_sync": 1, "to_sync": 1, "errors": 1, "active": 1}
+    assert counters.get == want
+    assert state.scan_counters(sync.sync_plan(tables)).first().asDict() == want

@@ -13,7 +13,7 @@ from driftline.sessions import workspace
 from driftline.sources.changes import read_changes
 from driftline.sources.tables import query, scan
 from driftline.streaming.apply import stream_apply
-from driftline.streaming.batch import append, current, replace_all
+from driftline.streaming.batch import append, backfill, current, replace_all
 from driftline.streaming.quarantine import quarantine as split_bad
 from driftline.streaming.target import KeyedTarget
 from workloads import relations as rel
@@ -231,6 +231,22 @@ def replace_rows(spark, sf_dir):
     return current(spark, path)
 
 
+@register("""
+select o_orderkey as id, o_custkey, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' as detail
+from orders""")
+def reverse_backfill(spark, sf_dir):
+    """A source loaded back from its target, where the key is a record and a JSON column too."""
+    path = workspace(spark, "backfill")
+    orders = scan(spark, f"{sf_dir}/orders.parquet")
+    replace_all(orders.select(F.col("o_orderkey").alias("id"), "o_custkey"), path)
+    detail = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    target = orders.select(
+        detail.alias("detail"), "o_custkey", F.struct(F.col("o_orderkey").alias("id")).alias("id"), "o_orderdate"
+    )
+    backfill(target, path, {"detail": "jsonb"}, "id, o_custkey, detail")
+    return current(spark, path)
+
+
 EVOLVED = f"""
 select o_orderkey, cast(o_custkey as bigint) as o_custkey, o_orderstatus, o_totalprice, o_orderdate,
        cast(reference as varchar) as reference, cast(null as varchar) as o_orderpriority

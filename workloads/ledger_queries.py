@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import ledger as led
 from driftline.operators import signals as sig
+from driftline.sessions import workspace
 from driftline.streaming.expiry import expirations
 from workloads import relations as rel
 from workloads.change_queries import event_stream, landed
@@ -33,19 +34,34 @@ def empty_ledger(spark):
     )
 
 
+def stored(spark, df, name):
+    """The relation as a written table, as a ledger or log is between two jobs."""
+    path = workspace(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def put(spark, sf_dir, ledger):
+    ttl = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(TTL_DAYS * DAY)
+    return led.ledger_put(ledger, relation(spark, sf_dir, rel.SOURCE_COUNTS), F.col("last_order"), ttl)
+
+
+def ledger(spark, sf_dir):
+    return stored(spark, put(spark, sf_dir, empty_ledger(spark)), "ledger")
+
+
 @register(f"select * from {LEDGER} l")
 def ledger_put(spark, sf_dir):
-    """Every table's count, written twice: the second write replaces the first."""
-    counts = relation(spark, sf_dir, rel.SOURCE_COUNTS)
-    ttl = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(TTL_DAYS * DAY)
-    stale = counts.withColumn("row_count", F.col("row_count") + 1)
-    first = led.ledger_put(empty_ledger(spark), stale, F.col("last_order"), ttl)
-    return led.ledger_put(first, counts, F.col("last_order"), ttl)
+    """Every table's count put over an older one."""
+    older = ledger(spark, sf_dir).withColumns(
+        {"row_count": F.col("row_count") - 1, "expires_at": F.lit(None).cast("timestamp_ntz")}
+    )
+    return put(spark, sf_dir, older)
 
 
 @register(f"select * from {LEDGER} l where expires_at is null or expires_at > timestamp '{NOW}'")
 def ledger_get(spark, sf_dir):
-    return led.ledger_live(ledger_put(spark, sf_dir), NOW)
+    return led.ledger_live(ledger(spark, sf_dir), NOW)
 
 
 RECONCILED = f"""
@@ -55,10 +71,13 @@ select l.database, l.schema, l.tbl, row_count as expected, n as actual,
 from {LEDGER} l left join {TARGET_COUNTS} t on t.database = l.database and t.schema = l.schema and t.tbl = l.tbl"""
 
 
+def reconciled(spark, sf_dir, counts):
+    return led.reconcile(counts, led.row_counts_by_table(relation(spark, sf_dir, rel.TARGET_ROWS)), NOW)
+
+
 @register(RECONCILED)
 def reconcile_counts(spark, sf_dir):
-    target = led.row_counts_by_table(relation(spark, sf_dir, rel.TARGET_ROWS))
-    return led.reconcile(ledger_put(spark, sf_dir), target, NOW)
+    return reconciled(spark, sf_dir, ledger(spark, sf_dir))
 
 
 # One snapshot signal for each table of the ledger, raised when its count was captured.
@@ -68,9 +87,9 @@ LEDGER_SIGNALS = f"""
 
 
 def settled(spark, sf_dir):
-    ledger = ledger_put(spark, sf_dir)
-    signals = sig.signals_for(ledger, at="captured_at")
-    return led.settle(ledger, signals, reconcile_counts(spark, sf_dir))
+    counts = ledger(spark, sf_dir)
+    signals = sig.signals_for(counts, at="captured_at")
+    return led.settle(counts, signals, reconciled(spark, sf_dir, counts))
 
 
 @register(f"""

@@ -131,6 +131,15 @@ def sync_plan(spark, sf_dir):
     return plan.select(*TABLE, "action", "needs_backfill", "needs_snapshot", "capture_count", "problem")
 
 
+@register(f"""
+select count(*) as scanned, count(*) filter (where action = 'ok') as in_sync,
+       count(*) filter (where action in ('full_setup', 'add_sink', 'add_source') and problem is null) as to_sync,
+       count(problem) as errors, count(*) filter (where source_exists and sink_exists) as active
+from ({PLAN}) p""")
+def scan_counters(spark, sf_dir):
+    return state.scan_counters(sync.sync_plan(fleet(spark, sf_dir)))
+
+
 @register(f"""
 select database, schema, tbl, 1 as step, 'target' as object from ({FLEET}) f
   where not coalesce(enabled, false) and target_exists
