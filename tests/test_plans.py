@@ -146,6 +146,20 @@ def test_diff(spark):
     }
 
 
+def test_dropped_source_tables_are_retired(spark):
+    on = (True, "w", "t")
+    schema = f"{TABLE}, {ANNOTATION}"
+    old = spark.createDataFrame([("d", "s", "here", on), ("d", "s", "gone", on)], schema)
+    gone = state.state_diff(old, old.filter("tbl = 'here'")).filter("change = 'removed'")
+    objects = spark.createDataFrame(
+        [("d", "s", t, True, True, False) for t in ("here", "gone")],
+        f"{TABLE}, target_exists boolean, source_exists boolean, sink_exists boolean",
+    )
+    off = gone.select("database", "schema", "tbl", F.lit(None).cast("struct<enabled:boolean>").alias("annotation"))
+    steps = sync.retire_plan(off.join(objects, ["database", "schema", "tbl"])).orderBy("step")
+    assert [(r.tbl, r.object) for r in steps.collect()] == [("gone", "target"), ("gone", "source")]
+
+
 def test_counters_ride_along_with_another_action(spark):
     tables = spark.createDataFrame(
         [("a", (True, None, None), False, False, False, 1), ("b", (True, "w", "t"), True, True, True, 1),

@@ -217,7 +217,10 @@ def append_batch(spark, sf_dir):
     return scan(spark, path)
 
 
-@register("select o_orderkey, o_custkey, o_totalprice * 2 as o_totalprice from orders where o_orderstatus <> 'F'")
+@register(
+    "select o_orderkey, o_custkey, o_totalprice * 2 as o_totalprice from orders where o_orderstatus <> 'F'",
+    name="replace_all",
+)
 def replace_rows(spark, sf_dir):
     """Every row replaced by a load that reads the table it replaces."""
     path = workspace(spark, "replace")

@@ -107,7 +107,7 @@ def fleet(spark, sf_dir):
 
 
 @register(f"select database, schema, tbl, source_exists, sink_exists from ({STATUS}) s")
-def pipeline_status(spark, sf_dir):
+def connector_status(spark, sf_dir):
     return status(spark, sf_dir).drop("annotation")
 
 

@@ -12,13 +12,15 @@ QUERIES: dict[str, Query] = {}
 COUNTERPARTS: dict[str, str] = {}
 
 
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with the SQL that must give the same rows."""
+def register(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under a name, its own by default, with the SQL that must give the same rows."""
 
     def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
+        key = name or query.__name__
+        assert key not in QUERIES, key
+        QUERIES[key] = query
         if sql is not None:
-            COUNTERPARTS[query.__name__] = sql
+            COUNTERPARTS[key] = sql
         return query
 
     return add
