@@ -17,18 +17,18 @@ BEFORE_STREAM = -1
 _POSITION_BITS = 33  # monotonically_increasing_id(): partition number above, row number within below
 
 
-def snapshot_plan(df: DataFrame, key: str, chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """Chunk number, first key, last key and row count; empty for an empty table.
+def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """Chunk number, first key (``lo``), last key (``hi``) and row count; empty for an empty table.
 
-    Only the key column is read and shuffled. Keys are range-partitioned and numbered within their
+    With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are range-partitioned and numbered within their
     partition; a partition's offset is the size of all partitions before it. The numbered keys are
     checkpointed because both passes must see the same partition borders, also after a lost executor.
-    ``key`` is the table's primary key, hence unique.
+    ``key`` is the table's primary key, hence unique and never hot.
     """
     shared_dir(df.sparkSession)
     number = F.col("_number")
     keys = (
-        df.select(F.col(key).alias("_key"))
+        df.select((F.col(key) if isinstance(key, str) else F.struct(*key)).alias("_key"))
         .repartitionByRange("_key")
         .sortWithinPartitions("_key")
         .withColumn("_number", F.monotonically_increasing_id())
@@ -55,9 +55,16 @@ def snapshot_plan(df: DataFrame, key: str, chunk_size: int = CHUNK_SIZE) -> Data
     )
 
 
-def snapshot_chunk(df: DataFrame, key: str, lo: Any, hi: Any) -> DataFrame:
-    """The rows of one chunk; a plain range on the key, so it reaches the scan."""
-    return df.filter(F.col(key).between(lo, hi))
+def snapshot_chunk(df: DataFrame, key: str | Sequence[str], lo: Any, hi: Any) -> DataFrame:
+    """The rows of one chunk; the range of the (first) key column reaches the scan."""
+    if isinstance(key, str):
+        return df.filter(F.col(key).between(lo, hi))
+
+    def record(values: Any):
+        return F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(key, values, strict=True)])
+
+    inside = F.struct(*key).between(record(lo), record(hi))
+    return df.filter(F.col(key[0]).between(lo[0], hi[0]) & inside)
 
 
 def handoff(

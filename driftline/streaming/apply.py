@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from driftline.streaming.quarantine import CORRUPT, write_quarantined
 from driftline.streaming.target import KeyedTarget
 
 # Fixed value: seconds between merges.
@@ -20,7 +23,7 @@ def stream_apply(
     every: str | None = MERGE_INTERVAL,
     merge_records: int = 0,
     compact_every: int = 20,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Buffer each micro-batch and merge once ``merge_records`` changes have gathered.
 
@@ -28,14 +31,14 @@ def stream_apply(
     whole table: let ``merge_records`` grow with it. Every ``compact_every``-th batch compacts as well.
 
     ``every`` is the interval of the micro-batches; None works off what is there and stops. The target
-    is created by its first batch, with that batch's schema. ``prepare`` runs on the micro-batch, for
-    what a stream's fixed schema cannot express. A failed micro-batch is repeated from the checkpoint
+    is created by its first batch, with that batch's schema. ``prepare`` runs on the micro-batch
+    and its id, for what a stream's fixed schema cannot express. A failed micro-batch is repeated from the checkpoint
     under its old id, which the target recognises.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        status = target.buffer(prepare(batch) if prepare else batch, batch_id)
+        status = target.buffer(prepare(batch, batch_id) if prepare else batch, batch_id)
         if status.records >= max(merge_records, 1):
             target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
 
@@ -44,8 +47,18 @@ def stream_apply(
     return writer.trigger(**trigger).start()
 
 
-def expand_json(batch: DataFrame, column: str = "after") -> DataFrame:
-    """Replace a row image kept as JSON text by its fields, as this batch has them.
+def tolerate(schema: T.StructType, path: str, column: str = "value") -> Callable[[DataFrame, int], DataFrame]:
+    """A ``prepare`` that parses JSON text, keeps what does not parse under ``path``, and goes on."""
+
+    def prepare(batch: DataFrame, batch_id: int) -> DataFrame:
+        written = write_quarantined(batch, batch_id, schema, path, column)
+        return written.filter(F.col("side") == "good").drop("side", CORRUPT)
+
+    return prepare
+
+
+def expand_json(batch: DataFrame, batch_id: int, column: str = "after") -> DataFrame:
+    """A ``prepare`` that replaces a row image kept as JSON text by its fields, as this batch has them.
 
     The fields and their types are found in one aggregation over the batch; fields of mixed types
     become text.
@@ -55,5 +68,6 @@ def expand_json(batch: DataFrame, column: str = "after") -> DataFrame:
     rest = [c for c in batch.columns if c != column]
     if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
         return batch.select(*rest)
-    kind = found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING").replace("VOID", "STRING")
+    kind = re.sub(r": (VARIANT|VOID)\b", ": STRING", found.replace("OBJECT<", "STRUCT<"))
+    kind = re.sub(r"<(VARIANT|VOID)>", "<STRING>", kind)
     return batch.withColumn("_image", F.from_json(column, kind)).select(*rest, "_image.*")

@@ -29,8 +29,15 @@ def quarantine(raw: DataFrame, schema: T.StructType, column: str = "value") -> t
     return good, bad
 
 
-def write_quarantined(batch: DataFrame, batch_id: int, schema: T.StructType, path: str, column: str = "value") -> None:
-    """Both sides of a micro-batch under ``path``, from one pass; a replayed batch replaces itself."""
+def write_quarantined(
+    batch: DataFrame, batch_id: int, schema: T.StructType, path: str, column: str = "value"
+) -> DataFrame:
+    """Write both sides of a micro-batch under ``path`` and return them with ``side`` good or bad.
+
+    Records are parsed once; a replayed batch replaces itself.
+    """
+    where = f"{path}/batch={batch_id}"
     side = F.when(F.col(CORRUPT).isNull(), "good").otherwise("bad")
     records = parsed(batch, schema, column).withColumn("side", side)
-    records.write.mode("overwrite").partitionBy("side").parquet(f"{path}/batch={batch_id}")
+    records.write.mode("overwrite").partitionBy("side").parquet(where)
+    return batch.sparkSession.read.schema(records.schema).parquet(where)

@@ -52,6 +52,38 @@ def test_mixed_stream_is_written_per_target(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r").count() == 20
 
 
+def test_the_table_with_most_changes_is_split(spark, tmp_path):
+    """With the thresholds brought down to the size of a test, the skew join takes the hot table apart."""
+    plan = routes.routes(
+        spark.range(200).selectExpr(
+            "'d' as database", "'s' as schema", "concat('t', id) as tbl",
+            "named_struct('enabled', true, 'target_schema', 'wh', 'target_table', concat('t', id)) as annotation",
+        )
+    )
+    spark.range(0, 200_000, 1, 8).selectExpr(
+        "'d' as database", "'s' as schema", "if(id % 3 = 0, 't7', concat('t', id % 200)) as tbl", "uuid() as v"
+    ).write.parquet(f"{tmp_path}/c")
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    old = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        routed = routes.route(spark.read.parquet(f"{tmp_path}/c"), plan)
+        rows = routed.collect()
+        assert "skew=true" in routed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 200_000
+
+
 def test_one_bad_row_does_not_stop_the_rest(spark):
     df = spark.createDataFrame([(1,), (0,), (None,)], "n int")
     got = routes.with_outcome(df, {"no number": F.col("n").isNotNull(), "zero": F.col("n") != 0})

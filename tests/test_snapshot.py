@@ -30,3 +30,16 @@ def test_chunks_cover_the_table_once_and_reach_the_scan(spark, sf):
     assert [c.count() for c in chunks] == [r.n for r in plan]
     assert sum(r.n for r in plan) == orders.count()
     assert "GreaterThanOrEqual(o_orderkey" in chunks[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_composite_keys(spark):
+    keys = [(t, i) for t in ("a", "b", "c") for i in range(7)]
+    random.Random(1).shuffle(keys)
+    df = spark.createDataFrame([(t, i, f"{t}{i}") for t, i in keys], "tenant string, id int, v string").repartition(3)
+    plan = sorted(snapshot_plan(df, ["tenant", "id"], 5).collect())
+    keys.sort()
+    assert [(tuple(r.lo), tuple(r.hi), r.n) for r in plan] == [
+        (keys[i], keys[min(i + 5, 21) - 1], min(5, 21 - i)) for i in range(0, 21, 5)
+    ]
+    read = [r.v for p in plan for r in snapshot_chunk(df, ["tenant", "id"], p.lo, p.hi).orderBy("tenant", "id").collect()]
+    assert read == [f"{t}{i}" for t, i in keys]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.changes import drop_deleted, latest_per_key
 from driftline.sources.changes import read_changes
-from driftline.streaming.apply import expand_json, stream_apply
+from driftline.streaming.apply import expand_json, stream_apply, tolerate
 from driftline.streaming.batch import append, current, current_version, replace_all
 from driftline.streaming.expiry import expirations
 from driftline.streaming.quarantine import quarantine, write_quarantined
@@ -194,7 +194,7 @@ def test_schema_drifts_between_batches(spark, tmp_path):
 
 
 def test_json_images_evolve_within_a_stream(spark, tmp_path):
-    images = [{"a": 1}, {"a": 2, "b": "x"}, {"a": "three"}, {"b": None, "c": [1, 2]}]
+    images = [{"a": 1}, {"a": 2, "b": "x"}, {"a": "three"}, {"b": None, "c": [1, 2], "d": {"VOID": None}}]
     for i, image in enumerate(images):
         spark.createDataFrame([(i, "c", i, json.dumps(image))], "id bigint, op string, lsn bigint, after string").coalesce(
             1
@@ -204,6 +204,24 @@ def test_json_images_evolve_within_a_stream(spark, tmp_path):
     stream_apply(stream, target, every=None, prepare=expand_json).awaitTermination()
     got = {r.id: (r.a, r.b) for r in target.read(spark).collect()}
     assert got == {0: ("1", None), 1: ("2", "x"), 2: ("three", None), 3: (None, None)}
+    last = target.read(spark).filter("id = 3").first()
+    assert last.c == [1, 2]
+    assert last.d.asDict() == {"VOID": None}
+
+
+def test_bad_records_do_not_stop_a_stream(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    lines = ['{"id":1,"op":"c","lsn":1,"v":"a"}', "{broken", '{"id":1,"op":"u","lsn":3,"v":"b"}', '{"id":"x","op":"c","lsn":9}']
+    for line in lines:
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{tmp_path}/in")
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)
+    stream = read_changes(spark, f"{tmp_path}/in", "value string", format="text", max_files=1)
+    prepare = tolerate(T.StructType.fromDDL(LOG), f"{tmp_path}/records")
+    stream_apply(stream, target, every=None, prepare=prepare).awaitTermination()
+    assert table(target, spark) == [(1, "u", 3, "b")]
+    bad = spark.read.parquet(f"{tmp_path}/records").filter("side = 'bad'")
+    assert sorted(r._corrupt for r in bad.collect()) == sorted([lines[1], lines[3]])
 
 
 def test_deletes_only_batch_creates_the_target(spark, tmp_path):

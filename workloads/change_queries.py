@@ -135,6 +135,22 @@ def snapshot_chunks(spark, sf_dir):
     return snap.snapshot_plan(scan(spark, f"{sf_dir}/orders.parquet"), "o_orderkey", 1000)
 
 
+@register("""
+select ch as chunk, min(k).o as lo_order, min(k).l as lo_line, max(k).o as hi_order, max(k).l as hi_line, count(*) as n
+from (select {'o': l_orderkey, 'l': l_linenumber} as k,
+             (row_number() over (order by l_orderkey, l_linenumber) - 1) // 5000 as ch from lineitem) x group by ch""")
+def snapshot_chunks_composite(spark, sf_dir):
+    plan = snap.snapshot_plan(scan(spark, f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"], 5000)
+    return plan.select(
+        "chunk",
+        F.col("lo.l_orderkey").alias("lo_order"),
+        F.col("lo.l_linenumber").alias("lo_line"),
+        F.col("hi.l_orderkey").alias("hi_order"),
+        F.col("hi.l_linenumber").alias("hi_line"),
+        "n",
+    )
+
+
 @register("select * from orders")
 def full_scan(spark, sf_dir):
     return scan(spark, f"{sf_dir}/orders.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.functions.names import ledger_key
 from driftline.operators import ledger as led
 from driftline.operators import signals as sig
 from driftline.sessions import workspace
@@ -59,9 +60,13 @@ def ledger_put(spark, sf_dir):
     return put(spark, sf_dir, older)
 
 
-@register(f"select * from {LEDGER} l where expires_at is null or expires_at > timestamp '{NOW}'")
+@register(f"""
+select 'cache:row_counts:table_sync:' || database || '.' || schema || '.' || tbl || ':yugabyte_count' as key,
+       row_count, captured_at, expires_at
+from {LEDGER} l where expires_at is null or expires_at > timestamp '{NOW}'""")
 def ledger_get(spark, sf_dir):
-    return led.ledger_live(ledger(spark, sf_dir), NOW)
+    live = led.ledger_live(ledger(spark, sf_dir), NOW)
+    return live.select(ledger_key("cache", "row_counts").alias("key"), "row_count", "captured_at", "expires_at")
 
 
 RECONCILED = f"""
