@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,20 +30,24 @@ def read_changes(
     return reader.load(path)
 
 
+Decoder = Callable[[Column], Column]
+
+
+def json_of(schema: T.StructType | str) -> Decoder:
+    """Decoder for JSON bytes. For Avro pass one built on ``from_avro`` instead."""
+    return lambda payload: F.from_json(payload.cast("string"), schema)
+
+
 def read_topic(
     spark: SparkSession,
     servers: str,
     topic: str,
-    key: T.StructType | str,
-    after: T.StructType | str,
+    key: Decoder,
+    after: Decoder,
     start: str = "earliest",
     max_offsets: int | None = None,
 ) -> DataFrame:
-    """The same from a topic with JSON keys and values; needs the Kafka package on the cluster.
-
-    A null value is a tombstone, that is a delete. The offset serves as ``lsn``: a key stays within one
-    topic partition, where offsets only grow.
-    """
+    """The same from a topic, as envelopes; needs the Kafka package on the cluster."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -50,12 +56,19 @@ def read_topic(
     )
     if max_offsets is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
-    raw = reader.load()
-    text = lambda c: F.col(c).cast("string")
-    return raw.select(
-        F.from_json(text("key"), key).alias("key"),
+    return envelopes(reader.load(), key, after)
+
+
+def envelopes(messages: DataFrame, key: Decoder, after: Decoder) -> DataFrame:
+    """Keyed messages (``key``, ``value``, ``offset``, ``timestamp``) as change envelopes.
+
+    A message without value is a tombstone, that is a delete. The offset serves as ``lsn``: a key stays
+    within one topic partition, where offsets only grow.
+    """
+    return messages.select(
+        key(F.col("key")).alias("key"),
         F.when(F.col("value").isNull(), "d").otherwise("u").alias("op"),
         F.col("offset").alias("lsn"),
         F.col("timestamp").alias("ts"),
-        F.from_json(text("value"), after).alias("after"),
+        after(F.col("value")).alias("after"),
     )

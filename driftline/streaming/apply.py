@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from driftline.plans.routes import route, write_routed
 from driftline.streaming.quarantine import CORRUPT, write_quarantined
 from driftline.streaming.target import KeyedTarget
 
@@ -42,8 +43,23 @@ def stream_apply(
         if status.records >= max(merge_records, 1):
             target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
 
-    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint")
+    return _start(changes, apply, f"{target.path}/_checkpoint", every)
+
+
+def stream_route(changes: DataFrame, plan: DataFrame, path: str, every: str | None = MERGE_INTERVAL) -> StreamingQuery:
+    """Split a mixed stream by target: each micro-batch is written once, one folder per target."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_routed(route(batch, plan), path, batch_id)
+
+    return _start(changes, write, f"{path}/_checkpoint", every)
+
+
+def _start(
+    changes: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None
+) -> StreamingQuery:
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
 
 

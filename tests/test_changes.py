@@ -108,6 +108,21 @@ def test_unwrap_keeps_deletes_without_image(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "c", 1, "a"), (2, "d", 2, None), (3, "d", 3, None)]
 
 
+def test_messages_become_envelopes(spark):
+    from driftline.sources.changes import envelopes, json_of
+
+    messages = spark.createDataFrame(
+        [(b'{"id":1}', b'{"id":1,"v":"a"}', 7), (b'{"id":1}', None, 8), (b'{"id":2}', b'{"v":null}', 9)],
+        "key binary, value binary, offset bigint",
+    ).withColumn("timestamp", F.lit(0).cast("timestamp"))
+    log = ch.unwrap(envelopes(messages, json_of("id bigint"), json_of("id bigint, v string")))
+    assert [(r.id, r.op, r.lsn, r.v) for r in log.orderBy("lsn").collect()] == [
+        (1, "u", 7, "a"),
+        (1, "d", 8, None),
+        (2, "u", 9, None),
+    ]
+
+
 def test_exclude_matches_the_full_name(spark):
     df = spark.createDataFrame([(1, 2, 3)], "id int, id2 int, other int")
     assert ch.exclude_columns(df, ["s.t.id"], "s.t").columns == ["id2", "other"]

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from driftline.functions.annotations import parse_annotations
 from driftline.operators.catalog import with_existence
 from driftline.plans import health, routes, state, sync
+from driftline.sessions import workspace
+from driftline.sources.changes import read_changes
+from driftline.streaming.apply import stream_route
 from workloads import relations as rel
 from workloads.catalog_queries import annotated
 from workloads.registry import register
@@ -57,6 +60,27 @@ def route_changes(spark, sf_dir):
     return routes.route(mixed, routes.routes(parsed(spark, sf_dir)))
 
 
+ORDERS_SCHEMA = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,"
+    " o_orderpriority string"
+)
+
+
+@register(f"""
+select database, schema, tbl, o_orderkey, o_totalprice, 'wh_' || substr(database, 3) as target_schema,
+       schema as target_table
+from {text(rel.FEED_ROWS)} f where database not in ('db0', 'db1', 'db2', 'db3', 'db4')""")
+def route_stream(spark, sf_dir):
+    """A stream mixed from the feeds of all nations and segments, written to one folder per target."""
+    orders = read_changes(spark, f"{sf_dir}/orders.parquet*", ORDERS_SCHEMA)
+    mixed = spark.sql(rel.FEED_ROWS, orders=orders, customer=relation(spark, sf_dir, "select * from {customer}"))
+    plan = routes.routes(parse_annotations(relation(spark, sf_dir, rel.FEEDS)))
+    path = workspace(spark, "routed")
+    stream_route(mixed, plan, path, every=None).awaitTermination()
+    rows = f"{mixed.drop('tbl').schema.toDDL()}, tbl string, target_schema string, target_table string"
+    return spark.read.schema(rows).parquet(path).drop("batch")
+
+
 @register(f"""
 select 'bq-sink-' || database || '-t' || cast(c_custkey // 100 as varchar) as sink_pipeline, count(*) as n
 from {text(rel.CATALOG)} c group by 1 having count(*) > 1""")

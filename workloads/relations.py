@@ -184,6 +184,19 @@ select 'db' || cast(o_custkey as string) as database, md5(cast(o_orderkey as str
        o_orderdate as created_at
 from {orders} where o_orderstatus <> 'F'"""
 
+# One feed of orders per nation and segment; those of five nations name no complete target.
+FEEDS = """
+select distinct 'db' || cast(c_nationkey as string) as database, lower(c_mktsegment) as schema, 'orders' as tbl,
+       case when c_nationkey < 5 then '{{"bootstrap":{{"enabled":true,"bq":"wh"}}}}'
+            else '{{"bootstrap":{{"enabled":true,"bq":"wh_' || cast(c_nationkey as string) || '.'
+                 || lower(c_mktsegment) || '"}}}}' end as comment
+from {customer}"""
+
+FEED_ROWS = """
+select 'db' || cast(c_nationkey as string) as database, lower(c_mktsegment) as schema, 'orders' as tbl,
+       o_orderkey, o_totalprice
+from {orders} join {customer} on o_custkey = c_custkey"""
+
 # -- count ledger ----------------------------------------------------------------------------------
 
 _CUSTOMER_TABLES = """
