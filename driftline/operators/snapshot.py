@@ -20,10 +20,10 @@ _POSITION_BITS = 33  # monotonically_increasing_id(): partition number above, ro
 def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Chunk number, first key (``lo``), last key (``hi``) and row count; empty for an empty table.
 
-    With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are range-partitioned and numbered within their
-    partition; a partition's offset is the size of all partitions before it. The numbered keys are
-    checkpointed because both passes must see the same partition borders, also after a lost executor.
-    ``key`` is the table's primary key, hence unique and never hot.
+    With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are
+    range-partitioned and numbered within their partition; a partition's offset is the size of all
+    partitions before it. The numbered keys are checkpointed because both passes must see the same
+    partition borders, also after a lost executor. ``key`` is the table's primary key, hence unique and never hot.
     """
     shared_dir(df.sparkSession)
     number = F.col("_number")

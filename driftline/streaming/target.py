@@ -3,7 +3,7 @@
 Changes are buffered per batch and folded into the base from time to time:
 
 ``delta/batch=<n>``                 one record per key of batch ``n``
-``base/version=<v>/bucket=<b>``     latest record per key, tombstones included
+``base/version=<v>/_bucket=<b>``    latest record per key, tombstones included
 ``_batches/batch=<n>``              a batch that counts, its records and schema
 ``_manifests/version=<v>``          for every bucket the version that holds it
 
@@ -38,6 +38,7 @@ _BATCHES = "records bigint, buckets array<bigint>, schema string, batch bigint"
 _MANIFESTS = "bucket bigint, data bigint, through bigint, schema string, version bigint"
 
 
+_BUCKET = "_bucket"
 _TABLE = -1  # manifest row of the table as a whole, which may have no bucket left
 
 
@@ -136,17 +137,17 @@ class KeyedTarget:
         if kept is None or compact or records > BROADCAST_RECORDS:
             merged = self._balanced(fresh if kept is None else kept.unionByName(fresh))
         else:
-            merged = kept.withColumn("bucket", self._bucket()).unionByName(self._balanced(fresh))
+            merged = kept.withColumn(_BUCKET, self._bucket()).unionByName(self._balanced(fresh))
         if forget_below is not None:
             merged = merged.filter(~((F.col("op") == "d") & forget_below))
         merged = conform(merged, relax(merged.schema))
         version = manifest.version + 1
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/version={version}")
-        schema = merged.drop("bucket").schema.json()
+        merged.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/base/version={version}")
+        schema = merged.drop(_BUCKET).schema.json()
         buckets = {**manifest.buckets, **dict.fromkeys(touched, (version, schema))}
         if forget_below is not None:
-            left = spark.read.schema("bucket bigint").parquet(f"{self.path}/base/version={version}")
-            for gone in set(touched) - {r.bucket for r in left.distinct().collect()}:
+            left = spark.read.schema(f"{_BUCKET} bigint").parquet(f"{self.path}/base/version={version}")
+            for gone in set(touched) - {r[0] for r in left.distinct().collect()}:
                 del buckets[gone]
         rows = {_TABLE: (version, schema), **buckets}
         commit(
@@ -201,7 +202,7 @@ class KeyedTarget:
         written = {(r.bucket, r.data) for r in named.collect()}
         merged = [r.batch for r in batches.filter(F.col("batch") <= manifest.through).select("batch").collect()]
         return (
-            [f"{self.path}/base/version={data}/bucket={b}" for b, data in sorted(written - current)]
+            [f"{self.path}/base/version={data}/{_BUCKET}={b}" for b, data in sorted(written - current)]
             + [f"{self.path}/_manifests/version={v}" for v in range(1, manifest.version)]
             + [f"{self.path}/{kind}/batch={b}" for b in sorted(merged) for kind in ("delta", "_batches")]
         )
@@ -213,7 +214,7 @@ class KeyedTarget:
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets))
 
     def _balanced(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket"))
+        return df.withColumn(_BUCKET, self._bucket()).hint("rebalance", F.col(_BUCKET))
 
     def _apply(
         self, state: DataFrame | None, changes: DataFrame, records: int
@@ -242,7 +243,7 @@ class KeyedTarget:
         return _read(spark, [(f"{self.path}/delta/batch={b.batch}", b.schema) for b in batches])
 
     def _base(self, spark: SparkSession, buckets: dict[int, tuple[int, str]]) -> DataFrame | None:
-        files = [(f"{self.path}/base/version={data}/bucket={b}", schema) for b, (data, schema) in buckets.items()]
+        files = [(f"{self.path}/base/version={data}/{_BUCKET}={b}", schema) for b, (data, schema) in buckets.items()]
         return _read(spark, files)
 
 

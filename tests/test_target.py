@@ -75,6 +75,16 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert table(target, spark) == final(rows)
 
 
+def test_table_with_a_column_named_like_the_layout(spark, tmp_path):
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
+    rows = "id bigint, op string, lsn bigint, bucket string, version int"
+    target.buffer(spark.createDataFrame([(1, "c", 1, "b1", 1), (2, "c", 1, "b2", 1)], rows), 0)
+    target.merge(spark)
+    target.buffer(spark.createDataFrame([(2, "u", 2, "b3", 2)], rows), 1)
+    target.merge(spark)
+    assert sorted((r.id, r.bucket, r.version) for r in target.read(spark).collect()) == [(1, "b1", 1), (2, "b3", 2)]
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     rows = log_rows(200, 20, 5)
     target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
@@ -172,7 +182,7 @@ def test_compaction_leaves_one_file_per_bucket(spark, tmp_path):
     assert table(target, spark) == final(rows)
     manifest = target._manifest(spark)
     for bucket, (data, _) in manifest.buckets.items():
-        files = list((tmp_path / "t" / "base" / f"version={data}" / f"bucket={bucket}").glob("*.parquet"))
+        files = list((tmp_path / "t" / "base" / f"version={data}" / f"_bucket={bucket}").glob("*.parquet"))
         assert len(files) == 1
 
 
