@@ -34,10 +34,13 @@ from driftline.operators.changes import (
 from driftline.operators.schema import conform
 from driftline.streaming.commits import commit, committed, latest
 
-_BATCHES = "records bigint, buckets array<bigint>, schema string, batch bigint"
+_BATCHES = "records bigint, key_bytes bigint, buckets array<bigint>, schema string, batch bigint"
 _MANIFESTS = "bucket bigint, data bigint, through bigint, schema string, version bigint"
 
 
+# Text length of the keys of buffered changes up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+
 _BUCKET = "_bucket"
 _TABLE = -1  # manifest row of the table as a whole, which may have no bucket left
 
@@ -56,6 +59,7 @@ class Batch(NamedTuple):
 
     batch: int
     records: int
+    key_bytes: int
     buckets: list[int]
     schema: str
 
@@ -97,16 +101,19 @@ class KeyedTarget:
         where = f"{self.path}/delta/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
         written = spark.read.schema(newest.schema).parquet(where)
+        width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in self.keys), F.lit(0))
         # At most one element per bucket.
-        records, buckets = written.agg(F.count("*"), F.sort_array(F.collect_set(self._bucket()))).first()
-        batch = Batch(batch_id, records, buckets, newest.schema.json())
+        touched = F.sort_array(F.collect_set(self._bucket()))
+        found = written.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)), touched).first()
+        batch = Batch(batch_id, *found, newest.schema.json())
         commit(
             spark,
             f"{self.path}/_batches",
             "batch",
             batch_id,
-            records=[records],
-            buckets=pa.array([buckets], pa.list_(pa.int64())),
+            records=[batch.records],
+            key_bytes=[batch.key_bytes],
+            buckets=pa.array([batch.buckets], pa.list_(pa.int64())),
             schema=[batch.schema],
         )
         return Status(status.manifest, sorted([*status.pending, batch]))
@@ -132,9 +139,9 @@ class KeyedTarget:
             return
         touched = sorted({b for batch in pending for b in batch.buckets})
         state = self._base(spark, {b: manifest.buckets[b] for b in touched if b in manifest.buckets})
-        records = sum(b.records for b in pending)
-        kept, fresh = self._apply(state, changes, records)
-        if kept is None or compact or records > BROADCAST_RECORDS:
+        few = _few(pending)
+        kept, fresh = self._apply(state, changes, few)
+        if kept is None or compact or few is None:
             merged = self._balanced(fresh if kept is None else kept.unionByName(fresh))
         else:
             merged = kept.withColumn(_BUCKET, self._bucket()).unionByName(self._balanced(fresh))
@@ -169,16 +176,16 @@ class KeyedTarget:
         if log is None:
             return Status(manifest, [])
         # The merge cadence bounds the number of batches.
-        rows = log.filter(F.col("batch") > manifest.through).select("batch", "records", "buckets", "schema").collect()
+        rows = log.filter(F.col("batch") > manifest.through).select(*Batch._fields).collect()
         return Status(manifest, sorted(Batch(*r) for r in rows))
 
     def records(self, spark: SparkSession) -> DataFrame:
         """Latest record of every key, tombstones included."""
-        manifest, pending = status = self.status(spark)
+        manifest, pending = self.status(spark)
         changes = self._changes(spark, pending)
         base = self._base(spark, manifest.buckets)
         if changes is not None:
-            kept, fresh = self._apply(base, changes, status.records)
+            kept, fresh = self._apply(base, changes, _few(pending))
             return fresh if kept is None else kept.unionByName(fresh)
         if base is not None:
             return base
@@ -217,13 +224,13 @@ class KeyedTarget:
         return df.withColumn(_BUCKET, self._bucket()).hint("rebalance", F.col(_BUCKET))
 
     def _apply(
-        self, state: DataFrame | None, changes: DataFrame, records: int
+        self, state: DataFrame | None, changes: DataFrame, few: int | None
     ) -> tuple[DataFrame | None, DataFrame]:
         if state is None:
             return None, latest_per_key(changes, self.keys, self.order)
         schema = merged_schema(state.schema, changes.schema)
         state, changes = conform(state, schema), conform(changes, schema)
-        return kept_and_fresh(state, changes, self.keys, self.order, records)
+        return kept_and_fresh(state, changes, self.keys, self.order, few)
 
     def _manifest(self, spark: SparkSession) -> Manifest:
         """The current manifest: as many rows as the table has buckets."""
@@ -247,6 +254,12 @@ class KeyedTarget:
         return _read(spark, files)
 
 
+def _few(pending: list[Batch]) -> int | None:
+    """The number of buffered changes, if they are few enough for their keys to be broadcast."""
+    records, key_bytes = sum(b.records for b in pending), sum(b.key_bytes for b in pending)
+    return records if records <= BROADCAST_RECORDS and key_bytes <= BROADCAST_BYTES else None
+
+
 def _read(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame | None:
     """Folders written under different schemas as one relation under their union."""
     by_schema: dict[str, list[str]] = {}

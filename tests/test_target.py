@@ -85,6 +85,23 @@ def test_table_with_a_column_named_like_the_layout(spark, tmp_path):
     assert sorted((r.id, r.bucket, r.version) for r in target.read(spark).collect()) == [(1, "b1", 1), (2, "b3", 2)]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_wide_keys_are_not_broadcast(spark, tmp_path, monkeypatch, limit):
+    from driftline.streaming import target as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+    rows = log_rows(150, 20, 9)
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
+    target.buffer(spark.createDataFrame(rows[:80], LOG), 0)
+    target.merge(spark)
+    status = target.buffer(spark.createDataFrame(rows[80:], LOG), 1)
+    assert status.pending[0].key_bytes == sum(len(str(k)) for k in {r[0] for r in rows[80:]})
+    assert (module._few(status.pending) is None) == (limit == 0)
+    assert table(target, spark) == final(rows)
+    target.merge(spark)
+    assert table(target, spark) == final(rows)
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     rows = log_rows(200, 20, 5)
     target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
