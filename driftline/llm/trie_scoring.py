@@ -42,7 +42,7 @@ FREQUENT = 1 << 19
 #: What is taken off the count of a pair, and the occurrences of a context that are shared by all words.
 DISCOUNT, SHARED = 0.75, 1.0
 #: Bytes of text of a chunk, and tokens that a group of requests stands for.
-CHUNK, GROUP_TOKENS = 16 << 20, 2_500_000
+CHUNK, GROUP_TOKENS = 6 << 20, 1_000_000
 #: A context is dealt over groups by so many occurrences, or by this share of all tokens, which few contexts have.
 SPLIT, SPLIT_SHARE = 200_000, 10_000
 #: The end of a text and its start, as words that no text holds.
@@ -182,7 +182,7 @@ def frequent_words(counted: DataFrame, most: int = FREQUENT, split: int = SPLIT)
 def _chunk(texts: list[bytes], learned: np.ndarray, known: Words, groups: int) -> tuple[list[tuple[int, bytes]], np.ndarray, list[np.ndarray]]:
     """The requests of a chunk by group, the hashes of its words that are not frequent, and what it keeps."""
     cut = [t.lower().split() for t in texts]
-    words = sorted(set().union(*cut))
+    words = list(set().union(*cut))
     number = dict(zip(words, range(len(words)), strict=True))
     counts = np.fromiter(map(len, cut), np.int64, len(cut))
     n, end, start = int(counts.sum()), len(words), len(words) + 1
