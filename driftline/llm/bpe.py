@@ -36,19 +36,41 @@ LONG = 2048
 #: Rows of all rounds of one recursive query: at most the sum of the squares of its words' bytes.
 ROUND_ROWS = 8 << 20
 #: Words and bytes of words that a task remembers before it starts anew.
-MOST_WORDS, MOST_BYTES = 400_000, 16 << 20
+MOST_WORDS, MOST_BYTES = 600_000, 24 << 20
+
+#: The words of ``rows``, contracted until no pair is left. A row knows its follower's place and token, so that a round
+#: is a join with the merge table, the pair of each word with the least rank, the leftmost of these, and its contraction.
+RECURSION = """
+    with recursive rounds as (
+        select word, place, token, coalesce(lead(place) over w, -1) as after, coalesce(lead(token) over w, -1) as follower, 0 as round
+        from rows window w as (partition by word order by place)
+        union all (
+        with best as (
+            select s.word, arg_min(struct_pack(place := s.place, after := s.after, merged := m.merged), m.merged::bigint << 32 | s.place) as b
+            from rounds s join merges m on m.l = s.token and m.r = s.follower group by s.word
+        ), taken as (
+            select b.word, b.b.place as place, b.b.after as gone, b.b.merged as merged, n.after, n.follower
+            from best b join rounds n on n.word = b.word and n.place = b.b.after
+        )
+        select s.word, s.place, case when s.place = t.place then t.merged else s.token end,
+            case when s.place = t.place then t.after else s.after end,
+            case when s.place = t.place then t.follower when s.after = t.place then t.merged else s.follower end, s.round + 1
+        from rounds s join taken t on t.word = s.word where s.place <> t.gone)
+    ), last as (select word, max(round) as round from rounds group by word)
+    select r.word, r.token from rounds r join last l on l.word = r.word and l.round = r.round order by r.word, r.place
+"""
 
-#: The pair to contract in each word: of the pairs with the least rank the leftmost.
+#: One contraction of the word in ``state``: of the pairs with the least rank the leftmost.
 STEP = """
     with pair as (
         select s.word, s.place, s.token, lead(s.place) over w as after, lead(s.token) over w as follower
-        from {state} s window w as (partition by s.word order by s.place)
+        from state s window w as (partition by s.word order by s.place)
     ), best as (
         select p.word, arg_min((p.place, p.after, m.merged), (m.merged, p.place)) as b
         from pair p join merges m on m.l = p.token and m.r = p.follower group by p.word
     )
-    select s.word, s.place, case when s.place = b.b[1] then b.b[3] else s.token end as token{more}
-    from {state} s join best b on b.word = s.word where s.place <> b.b[2]
+    select s.word, s.place, case when s.place = b.b[1] then b.b[3] else s.token end as token
+    from state s join best b on b.word = s.word where s.place <> b.b[2]
 """
 
 #: The same for one word, with every pair of least rank that does not overlap one taken before it.
@@ -87,7 +109,7 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, merged = np.array(merges or np.zeros((0, 3)), np.int32).T
         made = pa.table({"l": left, "r": right, "merged": merged})
-        tokens = pa.table({"token": pa.array(vocabulary.values(), pa.int32()), "hex": [t.hex() for t in vocabulary]})
+        tokens = pa.table({"token": pa.array(vocabulary.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in vocabulary]})
         self.con.register("made", made)
         self.con.register("tokens", tokens)
         self.con.execute("create table merges as select * from made; create table vocabulary as select * from tokens")
@@ -100,15 +122,21 @@ class Codec:
             self.byte[b] = vocabulary.get(bytes([b]), -1)
         if (self.byte < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
+        self.met: dict[str, int] = {}
         self._forget()
 
-    def _forget(self) -> None:
-        """``met`` numbers the words; word i has ``sizes[i]`` ids of ``pool`` from ``starts[i]`` on."""
-        self.met: dict[str, int] = {}
-        self.met_bytes = 0
+    def _forget(self, but: set[str] = frozenset()) -> None:
+        """``met`` numbers the words; word i has ``sizes[i]`` ids of ``pool`` from ``starts[i]`` on. Keeps the words of
+        ``but``, those of the texts at hand, most of which are common."""
+        kept = [w for w in but if w in self.met]
+        parts = [self.pool[self.starts[i] : self.starts[i] + self.sizes[i]] for i in map(self.met.get, kept)]
+        self.met = {}
+        self.met_bytes = sum(map(len, kept))
         self.pool = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
+        if kept:
+            self._keep(kept, np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
 
     def _keep(self, words: list[str], token: np.ndarray, sizes: np.ndarray) -> None:
         self.met.update(zip(words, range(len(self.met), len(self.met) + len(words)), strict=True))
@@ -129,15 +157,7 @@ class Codec:
 
     def _recursive(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rows = self._rows(words)  # noqa: F841  read by name below
-        step = STEP.format(state="rounds", more=", s.round + 1 as round")
-        found = self.con.execute(
-            f"""
-            with recursive rounds as (
-                select word, place, token, 0 as round from rows union all ({step})
-            ), last as (select word, max(round) as round from rounds group by word)
-            select r.word, r.token from rounds r join last l on l.word = r.word and l.round = r.round
-            order by r.word, r.place"""
-        ).fetchnumpy()
+        found = self.con.execute(RECURSION).fetchnumpy()
         return found["word"], found["token"]
 
     def _looped(self, word: bytes) -> np.ndarray:
@@ -146,7 +166,7 @@ class Codec:
         least = """select min(m.merged) from (select token, lead(token) over (order by place) as follower from state) p
                    join merges m on m.l = p.token and m.r = p.follower"""
         while (merged := self.con.execute(least).fetchone()[0]) is not None:
-            step = STEP.format(state="state", more="") if merged in self.sinks else STEP_ALL.format(merged=merged)
+            step = STEP if merged in self.sinks else STEP_ALL.format(merged=merged)
             self.con.execute("create or replace temp table next_state as " + step)
             self.con.execute("drop table state; alter table next_state rename to state")
             if merged not in self.sinks:
@@ -156,7 +176,7 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Adds the ids of words that are not known yet."""
         if len(self.met) > MOST_WORDS or self.met_bytes > MOST_BYTES:
-            self._forget()
+            self._forget(words)
         new = [w for w in words if w not in self.met]
         raw = [w.encode() for w in new]
         self.met_bytes += sum(map(len, raw))
@@ -196,18 +216,20 @@ class Codec:
         return ids, np.diff(borders)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The bytes of sequences of ids, given in one array; an id outside the vocabulary is an error."""
+        """The bytes of sequences of ids, given in one array; an id outside the vocabulary is an error.
+
+        The vocabulary holds bytes as the characters of the same numbers."""
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rows = pa.table({"text": text, "place": np.arange(len(ids), dtype=np.int32), "token": ids})  # noqa: F841
         found = self.con.execute(
-            """select r.text, string_agg(v.hex, '' order by r.place) as hex, count(*) as n
+            """select r.text, string_agg(v.bytes, '' order by r.place), count(*)
                from rows r join vocabulary v on v.token = r.token group by r.text"""
         ).fetchall()
         if sum(n for _, _, n in found) != len(ids):
             raise ValueError("an id is not in the vocabulary")
         out = [b""] * len(sizes)
-        for i, hexed, _ in found:
-            out[i] = bytes.fromhex(hexed)
+        for i, text_, _ in found:
+            out[i] = text_.encode("latin-1")
         return out
 
 
