@@ -8,13 +8,13 @@ counted over all learned documents, and every text is scored whole. Contexts of
 pairs of their last word in one place, a second exchange of all tokens; see the README for figures.
 
 1. Tasks count the words of learned documents; Spark adds them up. The most frequent words, ``FREQUENT`` at most,
-   are sent to all tasks (12 bytes each); they tell how often a context occurs, and how likely a word is.
+   are sent to all tasks (20 bytes each); they tell how often a context occurs, and how likely a word is.
    The words beyond have one probability, the mean of theirs.
 2. Tasks read the texts in chunks of some megabytes. A chunk asks for each of its distinct pairs once, with
    the number of times that it is learned; the requests are dealt by context, and by context and word where a context
    is frequent. So neither a frequent word nor a frequent pair makes a group large: it gets a request a chunk.
 3. The task of a group adds up the counts, packs them into a trie, and answers all requests from it.
-4. Answers go back to their chunk, which adds them up by document.
+4. Answers go back to their chunk, in steps of 1 / ``ANSWER_STEPS``, and it adds them up by document.
 
 Words are told apart by 64-bit hashes; among ten million words two are equal with a probability of 3 in a million.
 """
@@ -38,13 +38,15 @@ from driftline.llm.common import as_bytes, in_tasks, shipped, slices, written
 from driftline.llm.trie import PairTrie
 
 #: Words that all tasks know, at most.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: What is taken off the count of a pair, and the occurrences of a context that are shared by all words.
 DISCOUNT, SHARED = 0.75, 1.0
 #: Bytes of text of a chunk, and tokens that a group of requests stands for.
 CHUNK, GROUP_TOKENS = 6 << 20, 1_000_000
 #: A context is dealt over groups by so many occurrences, or by this share of all tokens, which few contexts have.
 SPLIT, SPLIT_SHARE = 200_000, 10_000
+#: Steps of an answer for a factor of ten.
+ANSWER_STEPS = 2000
 #: The end of a text and its start, as words that no text holds.
 END_WORD, START = b"\n", np.uint64((1 << 63) - 1)
 _RARE = np.uint64(1 << 63)
@@ -212,18 +214,27 @@ def _chunk(texts: list[bytes], learned: np.ndarray, known: Words, groups: int) -
         rank[by_id] = np.arange(len(used))
         place = rank[place].astype(np.uint32)
         requests.append((int(g), _pack(ids[used][by_id], place[: len(own)], place[len(own) :], times[own])))
-    answer = np.empty(len(pair), np.uint32)
+    answer = np.empty(len(pair), np.int64)
     answer[order] = np.arange(len(pair))
+    asked, docs = _by_answer(answer[of], doc, len(pair))
     is_rare = (ids[:-1] & _RARE) > 0
-    rare_place = np.where(is_rare, np.cumsum(is_rare), 0).astype(np.uint32)  # 0: frequent, else from 1
     scale = known.tokens + 0.5 * (known.distinct + 1)
     base = np.log10((np.where(is_rare, 0, known.count(ids[:-1])) + 0.5) / scale)
+    rare_place = np.cumsum(is_rare) - 1
+    rare = is_rare[token]
+    rare_asked, rare_docs = _by_answer(rare_place[token[rare]], doc[rare], int(is_rare.sum()))
     sums = np.bincount(doc, np.where(is_rare, 0.0, base)[token], len(cut))
-    seen = np.bincount(doc, ~is_rare[token], len(cut))
-    kept = [(counts + 1).astype(np.uint64), answer[of], rare_place[token], sums, seen.astype(np.uint64)]
+    seen = np.bincount(doc, ~rare, len(cut))
+    kept = [(counts + 1).astype(np.uint64), asked, docs, rare_asked, rare_docs, sums, seen.astype(np.uint64)]
     return requests, hashes[is_rare], kept
 
 
+def _by_answer(number: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of n answers is used, and by which document each time, in the order of the answers."""
+    order = np.argsort(number, kind="stable")
+    return np.bincount(number, minlength=n).astype(np.uint32), doc[order].astype(np.uint32)
+
+
 def _requests(rows: DataFrame, known: Words, groups: int, size: int = CHUNK) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(known)
 
@@ -303,7 +314,7 @@ def score(
         times = np.bincount(of, np.concatenate([b[3] for b in blocks]).astype(float), len(pairs))
         context, word = pairs // len(ids), pairs % len(ids)
         block = build(known, ids, context, word, times, group["part"][0].as_py(), groups)
-        value = answered(known, block, ids[context], ids[word]).astype(np.float32)[of]
+        value = np.rint(-ANSWER_STEPS * answered(known, block, ids[context], ids[word])).astype(np.uint32)[of]
         parts = np.split(value, np.cumsum([len(b[1]) for b in blocks])[:-1])
         return pa.table({"chunk": group["chunk"], "part": group["part"], "block": pa.array([_pack(p) for p in parts], pa.binary())})
 
@@ -321,18 +332,16 @@ def score(
         out = []
         got = got.sort_by([("part", "ascending")])
         for row in own.to_pylist():
-            size, answer, rare_place, base, seen = _unpack(row["block"])
-            value = np.concatenate([_unpack(b)[0] for b in got["block"].to_pylist() if b is not None] or [np.zeros(0, np.float32)])
-            doc = np.repeat(np.arange(len(size)), size.astype(np.int64))
-            rare = np.zeros(len(row["rare"]) + 1, np.int64)
+            size, asked, docs, rare_asked, rare_docs, base, seen = _unpack(row["block"])
+            value = np.concatenate([_unpack(b)[0].astype(float) for b in got["block"].to_pylist() if b is not None] or [np.zeros(0)])
+            score = np.bincount(docs, np.repeat(value, asked), len(size)) / -ANSWER_STEPS
+            rare = np.zeros(len(row["rare"]), np.int64)
             for place, n in zip(got["place"], got["n"], strict=True):
                 if place.is_valid:
-                    rare[np.asarray(place.values) + 1] = np.asarray(n.values)
-            is_rare = rare_place > 0
+                    rare[np.asarray(place.values)] = np.asarray(n.values)
             scale = known.tokens + 0.5 * (known.distinct + 1)
-            own_base = np.log10((rare + 0.5) / scale)[rare_place]
-            base = base + np.bincount(doc, np.where(is_rare, own_base, 0.0), len(size))
-            seen = seen.astype(np.int64) + np.bincount(doc, rare[rare_place] > 0, len(size)).astype(np.int64)
+            base = base + np.bincount(rare_docs, np.repeat(np.log10((rare + 0.5) / scale), rare_asked), len(size))
+            seen = seen.astype(np.int64) + np.bincount(rare_docs, np.repeat(rare > 0, rare_asked), len(size)).astype(np.int64)
             out.append(
                 pa.table(
                     {
@@ -342,7 +351,7 @@ def score(
                         "n_known": pa.array(seen),
                         "train_tokens": pa.array(np.full(len(size), known.tokens, np.int64)),
                         "base_score": pa.array(base),
-                        "score": pa.array(np.bincount(doc, value[answer].astype(float), len(size))),
+                        "score": pa.array(score),
                     }
                 )
             )
