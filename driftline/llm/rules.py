@@ -208,7 +208,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A null text has no words and fails the fixed rules; a null language shares the model of rare ones. Other
     columns are not looked at. An empty table gives an empty result.
     """
-    models = fit(count_grams(docs, id_col, text_col, lang_col))
+    models = fit(written(count_grams(docs, id_col, text_col, lang_col), "counted"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = written(measure(docs, models, id_col, text_col, lang_col).withColumn("base_failed", failed), "measured")
     rows = measured.join(F.broadcast(bands(measured)), F.col("lang") == F.col("of"), "left").drop("of")
