@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -233,10 +233,14 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=1)
-def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
-    """The codec of a task's process; tables are built once."""
-    return Codec(path, pattern)
+@contextmanager
+def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Iterator[Codec]:
+    """The codec of a task. It goes with the task: Spark uses a Python process again for quite other work."""
+    held = Codec(path, pattern)
+    try:
+        yield held
+    finally:
+        held.con.close()
 
 
 def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -255,9 +259,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id, ids array<int>) per row; a null or empty text has no ids. Other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            ids = _lists(*codec(path).encode(_texts(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+        with codec(path) as held:
+            for batch in slices(batches, 1):
+                ids = _lists(*held.encode(_texts(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     return in_tasks(_rows(df, id_col, text_col), run, "id long, ids array<int>")
 
@@ -266,12 +271,11 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
     """(id, decoded binary) per row; null or empty ids have no bytes, an id that is unknown or null is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+        with codec(path) as held:
+            for part in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
                 ids = pc.fill_null(part.column(1).flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int32)
                 sizes = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec(path).decode(ids, sizes), pa.binary())], ["id", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.decode(ids, sizes), pa.binary())], ["id", "decoded"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return in_tasks(rows, run, "id long, decoded binary")
@@ -281,10 +285,11 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(id, ids array<int>, decoded binary): both ways in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 4 << 20):
-            ids, sizes = codec(path).encode(_texts(batch.column(1)))
-            decoded = pa.array(codec(path).decode(ids, sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, sizes), decoded], ["id", "ids", "decoded"])
+        with codec(path) as held:
+            for batch in slices(batches, 1, 4 << 20):
+                ids, sizes = held.encode(_texts(batch.column(1)))
+                decoded = pa.array(held.decode(ids, sizes), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, sizes), decoded], ["id", "ids", "decoded"])
 
     return in_tasks(_rows(df, id_col, text_col), run, "id long, ids array<int>, decoded binary")
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftline.sessions import workspace
 
@@ -36,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeats(rows: DataFrame, column: str) -> bool:
+    """Whether a value other than null occurs in two rows."""
+    return not rows.filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").isEmpty()
+
+
 def shipped(spark: SparkSession) -> None:
     """Gives the package to the tasks' Python, once a session; Spark serves the file from the driver."""
     context = spark.sparkContext
@@ -50,7 +56,7 @@ def shipped(spark: SparkSession) -> None:
     context._driftline_shipped = True
 
 
-def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for functions of this package."""
     shipped(df.sparkSession)
     return df.mapInArrow(run, schema)

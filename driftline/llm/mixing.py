@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, written
+from driftline.llm.common import WORD, repeats, written
 
 #: No source, and so no row, is taken more often than this.
 MOST_EPOCHS = 3
@@ -122,23 +122,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """The rows of the mix, with the columns of ``docs``: a row for each whole round that takes it, and one for a
     part, whose text is cut to the words taken, joined by one space. Rows of which nothing is taken are left out.
     """
-    plan = mix(docs, id_col, source_col, text_col, **options)
-    in_turn = Window.partitionBy("__name").orderBy("__size", "__twin")
-    plan = plan.filter("taken > 0").select(F.col("name").alias("__name"), F.col("size").alias("__size"), F.col("twin").alias("__twin"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"))
-    plan = plan.withColumn("__turn", F.row_number().over(in_turn.orderBy("__size", "__twin", F.desc("__epochs"), F.desc("__rest"))))
+    plan = written(mix(docs, id_col, source_col, text_col, **options), "mix-plan")
+    taken = plan.filter("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in ("name", "size", "twin", "epochs", "rest")])
     content = F.xxhash64(F.col(source_col), F.col(text_col))
-    named = (
-        docs.withColumn("__name", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.hex(content))))
-        .withColumn("__size", words_in(F.col(text_col)))
-        .withColumn("__twin", content)
-        .withColumn("__turn", F.row_number().over(in_turn))
-    )
-    parts = F.concat(F.array_repeat(F.lit(False), F.col("__epochs").cast("int")), F.array_repeat(F.lit(True), F.when((F.col("__rest") > 0), 1).otherwise(0)))
+    named = docs.withColumn("__name", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.hex(content))))
+    if repeats(plan, "name"):  # rows of one name are matched in turn
+        alike = Window.partitionBy("__name", "__size", "__twin")
+        taken = taken.withColumn("__turn", F.row_number().over(alike.orderBy(F.desc("__epochs"), F.desc("__rest"))))
+        named = named.withColumn("__size", words_in(F.col(text_col))).withColumn("__twin", content)
+        named = named.withColumn("__turn", F.row_number().over(alike.orderBy(F.lit(0))))
+        joined = named.join(taken, ["__name", "__size", "__twin", "__turn"])
+    else:
+        joined = named.join(taken.hint("shuffle_hash"), "__name")
+    parts = F.concat(F.array_repeat(F.lit(False), F.col("__epochs").cast("int")), F.array_repeat(F.lit(True), F.when(F.col("__rest") > 0, 1).otherwise(0)))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__rest").cast("int")), " ")
     text = F.when(F.col("__part") & (F.col("__rest") < F.col("__size")), cut).otherwise(F.col(text_col))
-    return (
-        named.join(plan, ["__name", "__size", "__twin", "__turn"])
-        .withColumn("__part", F.explode(parts))
-        .withColumn(text_col, text)
-        .select(*[F.col(c) for c in docs.columns])
-    )
+    return joined.withColumn("__part", F.explode(parts)).withColumn(text_col, text).select(*[F.col(c) for c in docs.columns])

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from driftline.llm.common import as_bytes, in_tasks, slices, written
 from driftline.llm.kneser_ney import BITS, ORDER, Model, grams, score
@@ -140,18 +141,23 @@ def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[text] + BLOCK * within, text
 
 
-def measure(docs: DataFrame, models: dict[str, Model], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: (id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits, length).
+MEASURES = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, length long"
+
+
+def measure(rows: DataFrame, models: dict[str, Model], text_col: str = "text") -> DataFrame:
+    """The rows with a struct ``__measured`` of: lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    bits and length.
 
     ``lang`` is the language found; ``bits`` is the mean of -log2 of the probability of a symbol, its power of two
     the perplexity; ``length`` is the number of symbols. A text without words has null bits.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(list(sent.value))
-        for batch in slices(batches, 2):
-            texts = as_bytes(batch.column(2))
+        for batch in slices(batches, at):
+            texts = as_bytes(batch.column(at))
             cut = [t.split() for t in texts]
             words = list(set().union(*cut))
             number = dict(zip(words, range(len(words)), strict=True))
@@ -172,23 +178,21 @@ def measure(docs: DataFrame, models: dict[str, Model], id_col: str = "doc_id", t
             repeats = [repeated_words(ids[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
             with np.errstate(invalid="ignore", divide="ignore"):
                 bits = -logs / lengths
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(langs[share.argmax(axis=1)].tolist(), pa.string()),
-                    pa.array(counts),
-                    pa.array(word_chars),
-                    pa.array([len(SYMBOL.findall(t)) for t in texts], pa.int64()),
-                    pa.array([repeated_lines(t) for t in texts], pa.int64()),
-                    pa.array(repeats, pa.int64()),
-                    pa.array(bits, pa.float64(), mask=counts == 0),
-                    pa.array(lengths),
-                ],
-                ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits", "length"],
-            )
-
-    schema = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, length long"
-    return in_tasks(_rows(docs, id_col, text_col, lang_col), run, schema)
+            found = [
+                pa.array(langs[share.argmax(axis=1)].tolist(), pa.string()),
+                pa.array(counts),
+                pa.array(word_chars),
+                pa.array([len(SYMBOL.findall(t)) for t in texts], pa.int64()),
+                pa.array([repeated_lines(t) for t in texts], pa.int64()),
+                pa.array(repeats, pa.int64()),
+                pa.array(bits, pa.float64(), mask=counts == 0),
+                pa.array(lengths),
+            ]
+            struct = pa.StructArray.from_arrays(found, [x.split()[0] for x in MEASURES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "__measured"])
+
+    measured = StructType.fromDDL(MEASURES)
+    return in_tasks(rows, run, StructType([*rows.schema.fields, StructField("__measured", measured)]))
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -202,23 +206,36 @@ def bands(measured: DataFrame) -> DataFrame:
     return passed.join(F.broadcast(middle), passed["lang"] == middle["of"]).groupBy(F.col("lang").alias("of"), "median").agg(F.percentile_approx(away, 0.5, 10_000).alias("spread"))
 
 
+def _judged(rows: DataFrame, counted: DataFrame, text_col: str, *drop: str) -> DataFrame:
+    """The rows, without the columns to drop, with ``__measured`` and a struct ``__verdict`` of base_failed, perplexity, low, high and kept.
+
+    What was measured is written with the rows, so that the verdict needs neither a second pass nor a shuffle.
+    """
+    rows = written(measure(rows, fit(written(counted, "counted")), text_col).drop(*drop), "measured")
+    m = lambda name: F.col(f"__measured.{name}")
+    failed = (m("n_words") < MIN_WORDS) | (100 * m("n_repeat_words") > MOST_REPEATED * m("n_words"))
+    measured = rows.select("__measured.*", failed.alias("base_failed"))
+    away = F.col("__spread") / F.sqrt(m("length"))
+    low = F.col("__median") - F.greatest(BELOW * away, F.lit(ALLOWED))
+    high = F.col("__median") + F.greatest(ABOVE * away, F.lit(ALLOWED))
+    kept = ~failed & F.coalesce(m("bits").between(low, high), F.lit(False))
+    verdict = F.struct(failed.alias("base_failed"), F.pow(F.lit(2.0), m("bits")).alias("perplexity"), low.alias("low"), high.alias("high"), kept.alias("kept"))
+    limits = bands(measured).select(F.col("of").alias("__of"), F.col("median").alias("__median"), F.col("spread").alias("__spread"))
+    return rows.join(F.broadcast(limits), m("lang") == F.col("__of"), "left").withColumn("__verdict", verdict)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``measure`` with ``base_failed``, ``perplexity``, the band and ``kept``, one per row of ``docs``.
+    """One row per row of ``docs``: (id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits, length,
+    base_failed, perplexity, low, high, kept).
 
     A null text has no words and fails the fixed rules; a null language shares the model of rare ones. Other
     columns are not looked at. An empty table gives an empty result.
     """
-    models = fit(written(count_grams(docs, id_col, text_col, lang_col), "counted"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = written(measure(docs, models, id_col, text_col, lang_col).withColumn("base_failed", failed), "measured")
-    rows = measured.join(F.broadcast(bands(measured)), F.col("lang") == F.col("of"), "left").drop("of")
-    away = F.col("spread") / F.sqrt("length")
-    rows = rows.withColumn("low", F.col("median") - F.greatest(BELOW * away, F.lit(ALLOWED))).withColumn("high", F.col("median") + F.greatest(ABOVE * away, F.lit(ALLOWED)))
-    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & inside)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    counted = count_grams(docs, id_col, text_col, lang_col)
+    return _judged(rows, counted, "text", "text").select("id", "__measured.*", "__verdict.*")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with their columns. Rows with a null id go."""
-    kept = judge(docs, id_col, text_col, lang_col).filter("kept").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    """The documents that the rules keep, with their columns."""
+    return _judged(docs, count_grams(docs, id_col, text_col, lang_col), text_col).filter("__verdict.kept").select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_bytes, in_tasks, slices, written
+from driftline.llm.common import as_bytes, in_tasks, repeats, slices, written
 
 SHINGLE = 3
 SEED = 42
@@ -184,7 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, each id once; columns as they were. Rows with a null id go."""
-    found = near_duplicates(docs, id_col, text_col)
-    names = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("__name")).distinct()
-    return docs.join(names, docs[id_col] == names["__name"], "left_semi").dropDuplicates([id_col])
+    """The documents that name their component, each id once; columns as they were. Rows with a null id go.
+
+    The texts are shuffled once, and not sorted: the names are the smaller side and are hashed. Only where ids
+    repeat do the rows of an id have to be brought together.
+    """
+    found = written(near_duplicates(docs, id_col, text_col), "components")
+    names = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("__name"))
+    kept = docs.join(names.distinct().hint("shuffle_hash"), docs[id_col] == F.col("__name"), "left_semi")
+    return kept.dropDuplicates([id_col]) if repeats(names, "__name") else kept
