@@ -10,7 +10,9 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import canonical
 
-QUERIES, COUNTERPARTS = entry.queries(), entry.oracle_sql()
+COUNTERPARTS = entry.oracle_sql()
+# learned and iterative operators have no counterpart in SQL; their own tests compare them with plain versions
+QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.TEXT_QUERIES or name in COUNTERPARTS}
 
 
 @pytest.fixture(scope="module")
