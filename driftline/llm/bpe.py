@@ -36,7 +36,7 @@ LONG = 2048
 #: Rows of all rounds of one recursive query: at most the sum of the squares of its words' bytes.
 ROUND_ROWS = 8 << 20
 #: Words and bytes of words that a task remembers before it starts anew.
-MOST_WORDS, MOST_BYTES = 600_000, 24 << 20
+MOST_WORDS, MOST_BYTES = 350_000, 12 << 20
 
 #: The words of ``rows``, contracted until no pair is left. A row knows its follower's place and token, so that a round
 #: is a join with the merge table, the pair of each word with the least rank, the leftmost of these, and its contraction.
