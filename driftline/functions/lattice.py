@@ -22,8 +22,8 @@ SOURCE_TYPES = {
     "float4": "float",
     "double precision": "double",
     "float8": "double",
-    "numeric": "decimal(38,9)",
-    "decimal": "decimal(38,9)",
+    "numeric": "string",  # without a precision it has no bound that a decimal could hold
+    "decimal": "string",
     "money": "decimal(19,2)",
     "boolean": "boolean",
     "bool": "boolean",
@@ -42,10 +42,12 @@ SOURCE_TYPES = {
     "timestamp without time zone": "timestamp_ntz",
     "timestamptz": "timestamp",
     "timestamp with time zone": "timestamp",
-    "interval": "interval day to second",
+    "interval": "string",  # months and days beside seconds
 }
 
 _INTEGRAL = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+# Digits of the integral types; 20 for the largest, as Spark counts when it unites numbers of JSON documents.
+_DIGITS = dict(zip(_INTEGRAL, (3, 5, 10, 20), strict=True))
 
 
 def spark_type(type_name: Column) -> Column:
@@ -69,7 +71,10 @@ def spark_type(type_name: Column) -> Column:
 
 
 def widen(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The narrowest type that holds both: integers widen, then double, then text."""
+    """The narrowest type that holds both: integers widen, then decimals, then double; dates, then timestamps; then text.
+
+    The order in which types come does not matter, so that a stream cut into other batches ends with the same type.
+    """
     if a == b:
         return a
     if isinstance(a, T.NullType):
@@ -84,21 +89,42 @@ def widen(a: T.DataType, b: T.DataType) -> T.DataType:
         return T.MapType(a.keyType, widen(a.valueType, b.valueType), True)
     if a in _INTEGRAL and b in _INTEGRAL:
         return max(a, b, key=_INTEGRAL.index)
-    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
-        scale = max(a.scale, b.scale)
-        whole = max(a.precision - a.scale, b.precision - b.scale)
-        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
-    numbers = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
-    if isinstance(a, numbers) and isinstance(b, numbers):
-        return T.DoubleType()
-    if {type(a), type(b)} == {T.LongType, T.DoubleType} or {type(a), type(b)} == {T.LongType, T.FloatType}:
-        return T.DoubleType()
-    dates = (T.DateType, T.TimestampNTZType)
-    if isinstance(a, dates) and isinstance(b, dates):
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return _wider_number(a, b)
+    kinds = {type(a), type(b)}
+    if kinds == {T.DateType, T.TimestampNTZType}:
         return T.TimestampNTZType()
+    if kinds == {T.DateType, T.TimestampType}:
+        return T.TimestampType()
     return T.StringType()
 
 
+def _wider_number(a: T.NumericType, b: T.NumericType) -> T.NumericType:
+    """A decimal that holds both exactly, if there is one and neither is a floating point number; else double."""
+    if isinstance(a, T.FractionalType) and not isinstance(a, T.DecimalType):
+        return T.DoubleType()
+    if isinstance(b, T.FractionalType) and not isinstance(b, T.DecimalType):
+        return T.DoubleType()
+    scale = max(getattr(a, "scale", 0), getattr(b, "scale", 0))
+    whole = max(k.precision - k.scale if isinstance(k, T.DecimalType) else _DIGITS[k] for k in (a, b))
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+
+
+def present(kind: T.StructType) -> T.StructType:
+    """Without the fields that were NULL throughout, or records of only such: they are merely absent. Lists that were
+    empty throughout hold text."""
+
+    def known(inner: T.DataType) -> T.DataType:
+        if isinstance(inner, T.StructType):
+            return present(inner)
+        if isinstance(inner, T.ArrayType):
+            return T.ArrayType(T.StringType() if isinstance(inner.elementType, T.NullType) else known(inner.elementType), True)
+        return inner
+
+    fields = [T.StructField(f.name, known(f.dataType), True) for f in kind.fields if not isinstance(f.dataType, T.NullType)]
+    return T.StructType([f for f in fields if f.dataType != T.StructType([])])
+
+
 def merged_schema(a: T.StructType, b: T.StructType) -> T.StructType:
     """Union of the field sets, ``a``'s order first, every field nullable."""
     theirs = {f.name: f.dataType for f in b.fields}

@@ -105,7 +105,8 @@ def apply_changes(
     """The state after the changes, deletes kept as tombstones.
 
     ``state`` holds one record per key and both sides have the same columns. A change older than the
-    state's record of its key is ignored. See ``kept_and_fresh`` for what ``change_count`` does.
+    state's record of its key is ignored. ``order`` is unique per key across batches, as positions of a log are:
+    of records that tie, the last applied stays. See ``kept_and_fresh`` for what ``change_count`` does.
     """
     kept, fresh = kept_and_fresh(state, changes, keys, order, change_count)
     return kept.unionByName(fresh)
@@ -127,9 +128,10 @@ def kept_and_fresh(
     # Both the marks and the late keys number at most ``change_count``.
     few = change_count is not None and change_count <= BROADCAST_RECORDS
     small = F.broadcast if few else lambda df: df
-    same_key = [F.col(k) == F.col(f"_{k}") for k in keys]
+    # A NULL key part equals another one, as it does where records are grouped.
+    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     mark = small(mark)
     replaced = place.isNull() | F.coalesce(F.col("_newest") >= place, F.lit(False))
     kept = state.join(mark, [*same_key, replaced], "left_anti")
-    late = state.select(*keys, *order).join(mark, [*same_key, ~replaced], "left_semi").select(*keys)
-    return kept, newest.join(small(late), list(keys), "left_anti")
+    late = state.select(*keys, *order).join(mark, [*same_key, ~replaced], "left_semi").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return kept, newest.join(small(late), same_key, "left_anti")

@@ -45,9 +45,17 @@ def signals_for(tables: DataFrame, signal_type: str | Column = SNAPSHOT, at: str
 
 
 def append(log: DataFrame, signals: DataFrame) -> DataFrame:
-    """The log with new signals; an id that is already there is kept as it is."""
-    signal = [c for c in ("database", "id") if c in log.columns]
-    return log.unionByName(signals.join(log.select(*signal).distinct(), signal, "left_anti").select(*log.columns))
+    """The log with new signals; an id that is already there is kept as it is, and of several new ones the earliest."""
+    signal = _shared(log, signals, "id")
+    rest = [c for c in log.columns if c not in signal]
+    first = F.min_by(F.struct(*rest), F.struct("created_at", *[c for c in rest if c != "created_at"]))
+    new = signals.groupBy(*signal).agg(first.alias("_first")).select(*signal, "_first.*")
+    return log.unionByName(new.join(log.select(*signal).distinct(), signal, "left_anti").select(*log.columns))
+
+
+def _shared(log: DataFrame, other: DataFrame, *names: str) -> list[str]:
+    """The names, and the database before them where both sides tell it: tables of several may have the same name."""
+    return [*(["database"] if "database" in log.columns and "database" in other.columns else []), *names]
 
 
 def retain(log: DataFrame, at: str | datetime | Column, hours: int = RETENTION_HOURS) -> DataFrame:
@@ -67,15 +75,16 @@ def exploded(log: DataFrame) -> DataFrame:
 
 
 def collections(log: DataFrame) -> DataFrame:
-    """Distinct collections named in the log."""
-    return exploded(log).select("collection").distinct()
+    """Distinct collections named in the log, by database where it tells it."""
+    return exploded(log).select(*_shared(log, log, "collection")).distinct()
 
 
-def has_signal(tables: DataFrame, log: DataFrame, on: Sequence[str] = ("collection",)) -> DataFrame:
+def has_signal(tables: DataFrame, log: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """Add ``signals``, the number naming the table, and ``has_signal``.
 
     The log is counted per collection before the join, so a table named by a third of it is no hot key.
     """
+    on = on or _shared(log, tables, "collection")
     counts = exploded(log).groupBy(*on).agg(F.count_distinct("id").alias("signals"))
     joined = tables.withColumn("collection", named(COLLECTION)).join(counts, list(on), "left")
     n = F.coalesce("signals", F.lit(0))
@@ -83,14 +92,16 @@ def has_signal(tables: DataFrame, log: DataFrame, on: Sequence[str] = ("collecti
 
 
 def signal_ids(tables: DataFrame, log: DataFrame) -> DataFrame:
-    """Add ``listed``: whether the log holds exactly the unstamped id of the table."""
-    ids = log.select("id").distinct().withColumn("_listed", F.lit(True))
-    joined = tables.withColumn("id", named(SIGNAL_ID)).join(ids, "id", "left")
+    """Add ``listed``: whether the log holds exactly the unstamped id of the table, for its database if it tells it."""
+    on = _shared(log, tables, "id")
+    ids = log.select(*on).distinct().withColumn("_listed", F.lit(True))
+    joined = tables.withColumn("id", named(SIGNAL_ID)).join(ids, on, "left")
     return joined.select(*tables.columns, F.coalesce("_listed", F.lit(False)).alias("listed"))
 
 
-def remove(log: DataFrame, tables: DataFrame, on: Sequence[str] = ("collection",)) -> DataFrame:
-    """The log without signals that name one of the tables (``collection``)."""
+def remove(log: DataFrame, tables: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+    """The log without signals that name one of the tables (``collection``), of their database if both sides tell it."""
+    on = on or _shared(log, tables, "collection")
     signal = [c for c in ("database", "id") if c in log.columns]
     doomed = exploded(log).join(tables.select(*on).distinct(), list(on), "left_semi").select(*signal).distinct()
     return log.join(doomed, signal, "left_anti").select(*log.columns)

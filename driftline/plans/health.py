@@ -56,11 +56,12 @@ def status_rollup(status: DataFrame) -> DataFrame:
 def health_plan(tables: DataFrame, status: DataFrame, topics: DataFrame) -> DataFrame:
     """``action`` per table: create what is missing, restart what does not run, flag a missing topic.
 
-    ``status`` has one row per table with ``state``; ``topics`` lists topic names.
+    ``status`` has one row per table with ``state``; ``topics`` lists topic names. A table without a row has no pipeline;
+    a pipeline without a state is one that does not run, its state UNKNOWN.
     """
     listed = topics.select("topic").distinct().withColumn("_topic", F.lit(True))
     joined = (
-        tables.join(status.select(*TABLE, "state"), list(TABLE), "left")
+        tables.join(status.select(*TABLE, F.coalesce("state", F.lit("UNKNOWN")).alias("state")), list(TABLE), "left")
         .withColumn("topic", named(TOPIC))
         .join(listed, "topic", "left")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from driftline.functions.lattice import present
+from driftline.operators.snapshot import BEFORE_STREAM
 from driftline.plans.routes import route, write_routed
 from driftline.streaming.quarantine import CORRUPT, write_quarantined
 from driftline.streaming.target import KeyedTarget
@@ -25,25 +27,42 @@ def stream_apply(
     merge_records: int = 0,
     compact_every: int = 20,
     prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+    origin: str = "stream",
+    merge_batches: int = 60,
 ) -> StreamingQuery:
-    """Buffer each micro-batch and merge once ``merge_records`` changes have gathered.
+    """Buffer each micro-batch and merge once ``merge_records`` changes, or ``merge_batches`` batches, have gathered.
 
     A merge reads and writes every bucket it touches, which for changes spread over all keys is the
-    whole table: let ``merge_records`` grow with it. Every ``compact_every``-th batch compacts as well.
+    whole table: let ``merge_records`` grow with it. ``merge_batches`` bounds what readers apply, also where few
+    changes come. Every ``compact_every``-th batch compacts as well.
 
     ``every`` is the interval of the micro-batches; None works off what is there and stops. The target
-    is created by its first batch, with that batch's schema. ``prepare`` runs on the micro-batch
+    is created by its first batch, with that batch's schema. Streams and snapshots that feed one target differ in
+    ``origin``: batches are numbered within theirs. ``prepare`` runs on the micro-batch
     and its id, for what a stream's fixed schema cannot express. A failed micro-batch is repeated from the checkpoint
     under its old id, which the target recognises.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        status = target.buffer(prepare(batch, batch_id) if prepare else batch, batch_id)
-        if status.records >= max(merge_records, 1):
+        status = target.buffer(prepare(batch, batch_id) if prepare else batch, batch_id, origin)
+        if status.records >= max(merge_records, 1) or len(status.pending) >= merge_batches:
             target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
 
-    return _start(changes, apply, f"{target.path}/_checkpoint", every)
+    return _start(changes, apply, f"{target.path}/_checkpoint/{origin}", every)
+
+
+def load_snapshot(rows: DataFrame, target: KeyedTarget, origin: str, chunk: int = 0, at: int = BEFORE_STREAM) -> None:
+    """Buffer the rows of a snapshot, or of one of its chunks, into a target that streams may feed meanwhile.
+
+    The rows rank at ``at`` in the target's order: by default below every streamed change, so that neither an
+    update nor a delete that came in before is undone. A later snapshot, read to repair the table, names the position
+    of the log at which it was read. Each snapshot has an ``origin`` of its own; a chunk that is loaded again is skipped.
+    """
+    if len(target.order) != 1:
+        raise ValueError("a snapshot needs a target with a single order column")
+    records = rows.withColumns({"op": F.lit("r"), target.order[0]: F.lit(at).cast("bigint")})
+    target.buffer(records, chunk, origin)
 
 
 def stream_route(changes: DataFrame, plan: DataFrame, path: str, every: str | None = MERGE_INTERVAL) -> StreamingQuery:
@@ -77,13 +96,17 @@ def expand_json(batch: DataFrame, batch_id: int, column: str = "after") -> DataF
     """A ``prepare`` that replaces a row image kept as JSON text by its fields, as this batch has them.
 
     The fields and their types are found in one aggregation over the batch; fields of mixed types
-    become text.
+    become text, and fields that are NULL throughout are absent.
     """
     image = F.try_parse_json(column)
     found = batch.select(F.schema_of_variant_agg(image)).first()[0]
     rest = [c for c in batch.columns if c != column]
     if not found or not found.startswith("OBJECT<") or found == "OBJECT<>":
         return batch.select(*rest)
-    kind = re.sub(r": (VARIANT|VOID)\b", ": STRING", found.replace("OBJECT<", "STRUCT<"))
-    kind = re.sub(r"<(VARIANT|VOID)>", "<STRING>", kind)
+    # Names that are not plain words stand in backquotes, and are left as they are.
+    pieces = re.split(r"(`(?:[^`]|``)*`)", found)
+    pieces[::2] = [re.sub(r"\bVARIANT\b(?!:)", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", x)) for x in pieces[::2]]
+    kind = present(T.DataType.fromDDL("".join(pieces)))
+    if not kind.fields:
+        return batch.select(*rest)
     return batch.withColumn("_image", F.from_json(column, kind)).select(*rest, "_image.*")

@@ -4,31 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from driftline.streaming.target import KeyedTarget
 
-MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+PUTS, EXPIRED = "puts", "expired"
 
 
-def expirations(puts: DataFrame, keys: Sequence[str], at: str, ttl: Column, delay: str = "10 minutes") -> DataFrame:
-    """One delete per entry whose time has run out, as a change record (keys, ``op``, ``lsn``, ``ts``).
+def stream_expirations(
+    puts: DataFrame,
+    target: KeyedTarget,
+    path: str,
+    at: str,
+    ttl: Column,
+    every: str | None = None,
+    merge_batches: int = 20,
+) -> StreamingQuery:
+    """Writes one delete (keys, ``op``, ``lsn``, ``ts``) under ``path`` for each entry whose time has run out.
 
-    An entry put again before it expires lives until the last of its expiries: puts of a key form one
-    session whose gap is their time to live, and the session's end is the expiry. It is emitted once
-    the stream's time has passed it by ``delay``; a put later than that starts an entry of its own.
-    ``ttl`` is in seconds; puts without one, or with none above zero, never expire.
+    The last put of a key decides, whatever order they arrive in: it replaces the time to live of the one before, and
+    puts without one, or with none above zero, live on. An entry runs out where its time ends before the next put of
+    its key and lies no later than the latest put of all, which is the clock; a put at the very end of the
+    time comes in time. Nothing is late: a put that arrives after its own end has its delete written at once.
 
-    Turns on the session option by which each task joins the puts of a key before the shuffle.
+    ``target`` keeps the entries by key; its order is ``lsn``, the time of the put in microseconds. ``ttl`` is in
+    seconds. A batch's deletes are written before its puts are kept, so that a batch repeated after a crash gives the
+    same, or is skipped.
     """
-    puts.sparkSession.conf.set(MERGE_LOCALLY, "true")
-    timed = (
-        puts.withColumn("_ttl", ttl)
-        .filter(F.col("_ttl") > 0)
-        .withColumn("_at", F.col(at).cast("timestamp"))
-        .withWatermark("_at", delay)
-    )
-    life = F.session_window("_at", F.concat(F.col("_ttl").cast("string"), F.lit(" seconds")))
-    sessions = timed.groupBy(*keys, life).agg(F.count("*").alias("_puts"))
-    end = F.col("session_window.end")
-    return sessions.select(*keys, F.lit("d").alias("op"), F.unix_micros(end).alias("lsn"), end.alias("ts"))
+    keys = target.keys
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        lsn = F.unix_micros(F.col(at).cast("timestamp"))
+        end = F.when(ttl > 0, lsn + ttl.cast("bigint") * 1_000_000)
+        rows = batch.select(*keys, F.lit("c").alias("op"), lsn.alias("lsn"), end.alias("ends"))
+        where = f"{path}/batch={batch_id}"
+        if not target.holds(spark, batch_id, PUTS):
+            _deletes(rows, target).write.mode("overwrite").parquet(where)
+            target.buffer(rows, batch_id, PUTS)
+        gone = spark.read.parquet(where).select(*keys, "op", "lsn", F.lit(None).cast("bigint").alias("ends"))
+        status = target.buffer(gone, batch_id, EXPIRED)
+        if len(status.pending) >= merge_batches:
+            target.merge(spark, status=status)
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    writer = puts.writeStream.foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint/{PUTS}")
+    return writer.trigger(**trigger).start()
+
+
+def _deletes(rows: DataFrame, target: KeyedTarget) -> DataFrame:
+    """The entries that run out once the rows are put: those kept whose time has come, and those put over too late."""
+    keys = target.keys
+    if target.exists(rows.sparkSession):
+        held = target.read(rows.sparkSession).select(*rows.columns)
+        rows = rows.unionByName(held)
+    clock = rows.agg(F.max("lsn").alias("_clock"))
+    in_turn = Window.partitionBy(*keys).orderBy("lsn", "ends")
+    timed = rows.withColumn("_next", F.lead("lsn").over(in_turn)).crossJoin(F.broadcast(clock))  # one row
+    over = F.coalesce(F.col("ends") < F.col("_next"), F.lit(True)) & (F.col("ends") <= F.col("_clock"))
+    return timed.filter(over).select(*keys, F.lit("d").alias("op"), F.col("ends").alias("lsn"), F.timestamp_micros("ends").alias("ts"))
+
+
+def expirations(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The deletes written so far."""
+    return spark.read.parquet(path).select(*keys, "op", "lsn", "ts")

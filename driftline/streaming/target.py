@@ -2,19 +2,23 @@
 
 Changes are buffered per batch and folded into the base from time to time:
 
-``delta/batch=<n>``                 one record per key of batch ``n``
+``delta/origin=<o>/batch=<n>``      one record per key of batch ``n`` of an origin
 ``base/version=<v>/_bucket=<b>``    latest record per key, tombstones included
-``_batches/batch=<n>``              a batch that counts, its records and schema
+``_batches/origin=<o>/batch=<n>``   a batch that counts, its records and schema
 ``_manifests/version=<v>``          for every bucket the version that holds it
 
 A merge reads and rewrites only the buckets that the buffered changes touch. Readers see the base with
 the buffered changes applied, so buffering delays nothing. Both steps write files first and commit them
 afterwards; a batch that is replayed after a crash is written to the same place or skipped.
+
+Every stream and every snapshot that feeds the table is an origin with batch numbers of its own. Which batches are
+merged is kept per origin; which record of a key wins is decided by the order columns alone.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -34,8 +38,8 @@ from driftline.operators.changes import (
 from driftline.operators.schema import conform
 from driftline.streaming.commits import commit, committed, latest
 
-_BATCHES = "records bigint, key_bytes bigint, buckets array<bigint>, schema string, batch bigint"
-_MANIFESTS = "bucket bigint, data bigint, through bigint, schema string, version bigint"
+_BATCHES = "records bigint, key_bytes bigint, buckets array<bigint>, schema string, origin string, batch bigint"
+_MANIFESTS = "bucket bigint, data bigint, through string, schema string, version bigint"
 
 
 # Text length of the keys of buffered changes up to which they are broadcast.
@@ -46,10 +50,11 @@ _TABLE = -1  # manifest row of the table as a whole, which may have no bucket le
 
 
 class Manifest(NamedTuple):
-    """``buckets`` maps a bucket to the version that holds it and the schema of its files."""
+    """``buckets`` maps a bucket to the version that holds it and the schema of its files, ``through`` an origin
+    to its last merged batch."""
 
     version: int
-    through: int
+    through: dict[str, int]
     schema: str
     buckets: dict[int, tuple[int, str]]
 
@@ -57,6 +62,7 @@ class Manifest(NamedTuple):
 class Batch(NamedTuple):
     """A buffered batch, with the buckets it touches."""
 
+    origin: str
     batch: int
     records: int
     key_bytes: int
@@ -90,25 +96,30 @@ class KeyedTarget:
 
     # -- writing ---------------------------------------------------------------------------------
 
-    def buffer(self, changes: DataFrame, batch_id: int) -> Status:
-        """Keep the last change per key of one batch; a batch id that is already in is skipped."""
+    def buffer(self, changes: DataFrame, batch_id: int, origin: str = "stream") -> Status:
+        """Keep the last change per key of one batch; a batch that its origin has already brought is skipped.
+
+        The numbers of an origin rise, from 0 on.
+        """
+        if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", origin):
+            raise ValueError(f"an origin names a folder and starts with a letter: {origin!r}")
         spark = changes.sparkSession
         status = self.status(spark)
-        if batch_id <= status.manifest.through or batch_id in {b.batch for b in status.pending}:
+        if batch_id <= status.manifest.through.get(origin, -1) or (origin, batch_id) in {(b.origin, b.batch) for b in status.pending}:
             return status
-        newest = latest_per_key(changes, self.keys, self.order)
+        newest = latest_per_key(self._same_keys(changes, status), self.keys, self.order)
         newest = conform(newest, relax(newest.schema))
-        where = f"{self.path}/delta/batch={batch_id}"
+        where = f"{self.path}/delta/origin={origin}/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
         written = spark.read.schema(newest.schema).parquet(where)
         width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in self.keys), F.lit(0))
         # At most one element per bucket.
         touched = F.sort_array(F.collect_set(self._bucket()))
         found = written.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)), touched).first()
-        batch = Batch(batch_id, *found, newest.schema.json())
+        batch = Batch(origin, batch_id, *found, newest.schema.json())
         commit(
             spark,
-            f"{self.path}/_batches",
+            f"{self.path}/_batches/origin={origin}",
             "batch",
             batch_id,
             records=[batch.records],
@@ -157,6 +168,9 @@ class KeyedTarget:
             for gone in set(touched) - {r[0] for r in left.distinct().collect()}:
                 del buckets[gone]
         rows = {_TABLE: (version, schema), **buckets}
+        through = dict(manifest.through)
+        for batch in pending:
+            through[batch.origin] = max(batch.batch, through.get(batch.origin, -1))
         commit(
             spark,
             f"{self.path}/_manifests",
@@ -164,7 +178,7 @@ class KeyedTarget:
             version,
             bucket=list(rows),
             data=[data for data, _ in rows.values()],
-            through=[pending[-1].batch] * len(rows),
+            through=[json.dumps(through)] * len(rows),
             schema=[kind for _, kind in rows.values()],
         )
 
@@ -176,9 +190,19 @@ class KeyedTarget:
         if log is None:
             return Status(manifest, [])
         # The merge cadence bounds the number of batches.
-        rows = log.filter(F.col("batch") > manifest.through).select(*Batch._fields).collect()
+        rows = log.filter(~_merged(manifest)).select(*Batch._fields).collect()
         return Status(manifest, sorted(Batch(*r) for r in rows))
 
+    def holds(self, spark: SparkSession, batch_id: int, origin: str = "stream") -> bool:
+        """Whether a batch of an origin is in."""
+        status = self.status(spark)
+        return batch_id <= status.manifest.through.get(origin, -1) or (origin, batch_id) in {(b.origin, b.batch) for b in status.pending}
+
+    def exists(self, spark: SparkSession) -> bool:
+        """Whether anything is committed."""
+        status = self.status(spark)
+        return bool(status.pending) or status.manifest.version > 0
+
     def records(self, spark: SparkSession) -> DataFrame:
         """Latest record of every key, tombstones included."""
         manifest, pending = self.status(spark)
@@ -197,27 +221,48 @@ class KeyedTarget:
         """The table: latest record of every key that is not deleted."""
         return drop_deleted(self.records(spark))
 
-    def obsolete(self, spark: SparkSession) -> list[str]:
-        """Folders that no new reader needs, for whatever cleans up the storage."""
+    def obsolete(self, spark: SparkSession) -> DataFrame:
+        """Folders (``path``) that no new reader needs, for whatever cleans up the storage: as a relation, since their
+        number grows for as long as nothing does."""
         manifest = self._manifest(spark)
         log = committed(spark, f"{self.path}/_manifests", _MANIFESTS)
         batches = committed(spark, f"{self.path}/_batches", _BATCHES)
         if log is None or batches is None:
-            return []
-        current = {(b, data) for b, (data, _) in manifest.buckets.items()}
+            return spark.createDataFrame([], "path string")
+        merged = batches.filter(_merged(manifest)).select("origin", "batch")
+        current = spark.createDataFrame([(b, data) for b, (data, _) in manifest.buckets.items()], "bucket bigint, data bigint")
         named = log.filter(F.col("bucket") != _TABLE).select("bucket", "data").distinct()
-        written = {(r.bucket, r.data) for r in named.collect()}
-        merged = [r.batch for r in batches.filter(F.col("batch") <= manifest.through).select("batch").collect()]
-        return (
-            [f"{self.path}/base/version={data}/{_BUCKET}={b}" for b, data in sorted(written - current)]
-            + [f"{self.path}/_manifests/version={v}" for v in range(1, manifest.version)]
-            + [f"{self.path}/{kind}/batch={b}" for b in sorted(merged) for kind in ("delta", "_batches")]
-        )
+        gone = named.join(current, ["bucket", "data"], "left_anti")
+        old = log.filter(F.col("version") < manifest.version).select("version").distinct()
+        folders = [
+            gone.select(F.format_string(f"%s/base/version=%d/{_BUCKET}=%d", F.lit(self.path), "data", "bucket")),
+            old.select(F.format_string("%s/_manifests/version=%d", F.lit(self.path), "version")),
+            *(merged.select(F.format_string(f"%s/{kind}/origin=%s/batch=%d", F.lit(self.path), "origin", "batch")) for kind in ("delta", "_batches")),
+        ]
+        return reduce(DataFrame.union, folders).toDF("path")
 
     # -- parts -----------------------------------------------------------------------------------
 
+    def _same_keys(self, changes: DataFrame, status: Status) -> DataFrame:
+        """The changes with the key types that the first batch gave the table.
+
+        A key that widens would be found in another bucket under another text. Keys that do not fit, and
+        would come back changed from a cast there and back, are an error.
+        """
+        first = status.manifest.schema or (status.pending[0].schema if status.pending else None)
+        if first is None:
+            return changes
+        kinds = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(first)).fields}
+        for k in self.keys:
+            given = changes.schema[k].dataType
+            if given != kinds[k]:
+                cast = F.col(k).try_cast(kinds[k])
+                lost = F.col(k).isNotNull() & ~F.coalesce(cast.try_cast(given) == F.col(k), F.lit(False))
+                message = F.concat(F.lit(f"key {k} does not fit {kinds[k].simpleString()}: "), F.col(k).cast("string"))
+                changes = changes.withColumn(k, F.when(lost, F.raise_error(message)).otherwise(cast))
+        return changes
+
     def _bucket(self) -> Column:
-        # Hashed as text, so that a key column that widens keeps its bucket.
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets))
 
     def _balanced(self, df: DataFrame) -> DataFrame:
@@ -236,7 +281,7 @@ class KeyedTarget:
         """The current manifest: as many rows as the table has buckets."""
         log = committed(spark, f"{self.path}/_manifests", _MANIFESTS)
         if log is None:
-            return Manifest(0, -1, "", {})
+            return Manifest(0, {}, "", {})
         # The last version seen prunes the folders to read.
         since = self._seen or latest(log, "version")
         recent = log.filter(F.col("version") >= since).collect()
@@ -244,16 +289,24 @@ class KeyedTarget:
         rows = sorted((r for r in recent if r.version == self._seen), key=lambda r: (r.data, r.bucket))
         buckets = {r.bucket: (r.data, r.schema) for r in rows}
         _, schema = buckets.pop(_TABLE)
-        return Manifest(self._seen, rows[0].through, schema, buckets)
+        return Manifest(self._seen, json.loads(rows[0].through), schema, buckets)
 
     def _changes(self, spark: SparkSession, batches: list[Batch]) -> DataFrame | None:
-        return _read(spark, [(f"{self.path}/delta/batch={b.batch}", b.schema) for b in batches])
+        return _read(spark, [(f"{self.path}/delta/origin={b.origin}/batch={b.batch}", b.schema) for b in batches])
 
     def _base(self, spark: SparkSession, buckets: dict[int, tuple[int, str]]) -> DataFrame | None:
         files = [(f"{self.path}/base/version={data}/{_BUCKET}={b}", schema) for b, (data, schema) in buckets.items()]
         return _read(spark, files)
 
 
+def _merged(manifest: Manifest) -> Column:
+    """Whether a batch is merged: one comparison per origin."""
+    merged = F.lit(False)
+    for origin, last in manifest.through.items():
+        merged = merged | ((F.col("origin") == origin) & (F.col("batch") <= last))
+    return merged
+
+
 def _few(pending: list[Batch]) -> int | None:
     """The number of buffered changes, if they are few enough for their keys to be broadcast."""
     records, key_bytes = sum(b.records for b in pending), sum(b.key_bytes for b in pending)

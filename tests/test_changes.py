@@ -164,3 +164,12 @@ def test_handoff_prefers_any_streamed_change(spark):
     got = handoff(snapshot, changes, ["id"]).orderBy("id")
     assert [(r.id, r.op, r.v) for r in got.collect()] == [(1, "r", "s1"), (2, "u", "c2"), (4, "c", "c4")]
     assert handoff(snapshot, changes, ["id"], tombstones=True).filter(F.col("op") == "d").count() == 2
+
+
+def test_null_key_parts_are_equal(spark):
+    schema = "a int, b int, op string, lsn bigint, v string"
+    state = spark.createDataFrame([(1, None, "r", -1, "old"), (1, 2, "r", 9, "new")], schema)
+    changes = spark.createDataFrame([(1, None, "u", 3, "x"), (1, 2, "u", 3, "late"), (None, None, "c", 4, "y")], schema)
+    for count in (None, 3):
+        got = ch.apply_changes(state, changes, ["a", "b"], ["lsn"], count).collect()
+        assert sorted((r.lsn, r.v) for r in got) == [(3, "x"), (4, "y"), (9, "new")]

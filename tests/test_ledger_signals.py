@@ -146,3 +146,20 @@ def test_requests_resolve_to_tables(spark, log):
     catalog = spark.createDataFrame([("d", "s", "a"), ("d", "s", "b"), ("e", "s", "a")], TABLE)
     rows = [tuple(r) for r in sig.snapshot_requests(log, catalog).collect()]
     assert rows == [("d", "s", "a", at(60), 2)]
+
+
+def test_tables_of_equal_name_in_two_databases(spark, log):
+    tables = spark.createDataFrame([("d", "s", "a"), ("e", "s", "a"), ("e", "s", "b")], TABLE)
+    assert {(r.database, r.tbl): r.has_signal for r in sig.has_signal(tables, log).collect()} == {("d", "a"): True, ("e", "a"): False, ("e", "b"): False}
+    assert not any(r.listed for r in sig.signal_ids(tables, log).filter("listed").collect())
+    other = spark.createDataFrame([("e", "s.a")], "database string, collection string")
+    assert sig.remove(log, other).count() == log.count()
+    assert {(r.database, r.collection) for r in sig.collections(log).collect()} == {("d", "s.a"), ("d", "s.ab")}
+
+
+def test_append_keeps_the_first_of_an_id(spark, log):
+    empty = log.limit(0)
+    assert sig.append(empty, log.union(log)).count() == log.count()
+    assert sig.append(log, log).count() == log.count()
+    later = log.withColumn("created_at", F.col("created_at") + F.expr("interval 1 day"))
+    assert sorted(map(tuple, sig.append(empty, later.union(log)).collect())) == sorted(map(tuple, log.collect()))

@@ -22,7 +22,7 @@ I, L, D, S, B = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T
         (T.NullType(), I, I),
         (T.DateType(), T.TimestampNTZType(), T.TimestampNTZType()),
         (T.DecimalType(10, 2), T.DecimalType(8, 4), T.DecimalType(12, 4)),
-        (T.DecimalType(38, 0), T.DecimalType(38, 20), S),
+        (T.DecimalType(38, 0), T.DecimalType(38, 20), D),
         (T.ArrayType(I), T.ArrayType(L), T.ArrayType(L)),
         (T.ArrayType(I), I, S),
     ],
@@ -31,6 +31,18 @@ def test_widen(a, b, want):
     assert widen(a, b) == widen(b, a) == want
 
 
+def test_widening_does_not_depend_on_order():
+    kinds = [T.ByteType(), I, T.LongType(), T.FloatType(), T.DoubleType(), T.DecimalType(3, 1), T.DecimalType(38, 0), T.DecimalType(38, 38), T.DateType(), T.TimestampType(), T.TimestampNTZType(), S, T.NullType()]
+    for a in kinds:
+        for b in kinds:
+            assert widen(a, b) == widen(b, a)
+            for c in kinds:
+                assert widen(widen(a, b), c) == widen(a, widen(b, c)), (a, b, c)
+    assert widen(T.LongType(), T.DecimalType(3, 1)) == T.DecimalType(21, 1)
+    assert widen(T.DecimalType(3, 1), T.DoubleType()) == T.DoubleType()
+    assert widen(T.DateType(), T.TimestampType()) == T.TimestampType()
+
+
 def test_merged_schema_keeps_order_and_requires_nothing():
     a = T.StructType([T.StructField("x", I, False), T.StructField("y", T.StructType([T.StructField("p", I, False)]))])
     b = T.StructType([T.StructField("z", S), T.StructField("y", T.StructType([T.StructField("q", S)]), False)])
@@ -74,11 +86,11 @@ TYPES = {
     "Integer": "int",
     "VARCHAR(255)": "string",
     "character varying(10)": "string",
-    "numeric": "decimal(38,9)",
+    "numeric": "string",
     "numeric(12,2)": "decimal(12,2)",
     "NUMERIC ( 8 )": "decimal(8,0)",
     "numeric(3,5)": "decimal(5,5)",
-    "numeric(1000,2)": "decimal(38,9)",
+    "numeric(1000,2)": "string",
     "timestamp": "timestamp_ntz",
     "timestamp(6) without time zone": "timestamp_ntz",
     "timestamptz": "timestamp",

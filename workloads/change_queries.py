@@ -12,7 +12,7 @@ from driftline.operators.ledger import row_counts
 from driftline.sessions import workspace
 from driftline.sources.changes import read_changes
 from driftline.sources.tables import query, scan
-from driftline.streaming.apply import stream_apply
+from driftline.streaming.apply import load_snapshot, stream_apply
 from driftline.streaming.batch import append, backfill, current, replace_all
 from driftline.streaming.quarantine import quarantine as split_bad
 from driftline.streaming.target import KeyedTarget
@@ -209,6 +209,45 @@ def target_merge(spark, sf_dir):
     return target.read(spark)
 
 
+@register(f"select * from ({MERGED}) m where op <> 'd'")
+def snapshot_then_stream(spark, sf_dir):
+    """Chunks of a snapshot, a stream of changes, and a second snapshot that lags behind it, into one target."""
+    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"])
+    orders = scan(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    high = orders.filter("o_totalprice >= 100000")
+    load_snapshot(orders.filter("o_totalprice < 100000"), target, "snapshot-1", 0)
+    landing = workspace(spark, "landing")
+    changes = relation(spark, sf_dir, rel.ORDER_CHANGES)
+    changes.repartition(4, "o_orderkey").write.parquet(landing)
+    stream = read_changes(spark, landing, changes.schema, max_files=2)
+    stream_apply(stream, target, every=None, merge_records=1 << 40).awaitTermination()
+    load_snapshot(high, target, "snapshot-1", 1)
+    target.merge(spark)
+    load_snapshot(high, target, "snapshot-1", 1)
+    load_snapshot(orders, target, "snapshot-2", 0)
+    return target.read(spark)
+
+
+CORRECTED = """
+select o_orderkey, cast(o_totalprice as decimal(12,2)) as amount, o_orderstatus from orders where o_orderstatus <> 'F'
+union all select o_orderkey, cast(o_custkey % 100 as decimal(12,2)), null from orders where o_orderstatus = 'F'"""
+
+
+@register(f"select o_orderkey, amount::double as amount, o_orderstatus from ({CORRECTED}) c")
+def drift_of_numbers(spark, sf_dir):
+    """Batches whose amounts are decimals, or integers, and whose keys are wider than the table's."""
+    orders = scan(spark, f"{sf_dir}/orders.parquet")
+    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"])
+    head = ["o_orderkey", "'u' as op"]
+    target.buffer(orders.selectExpr(*head, "0L as lsn", "o_custkey as amount", "o_orderstatus"), 0)
+    target.merge(spark)
+    wide = "cast(o_orderkey as double) as o_orderkey"
+    target.buffer(orders.filter("o_orderstatus <> 'F'").selectExpr(wide, "'u' as op", "1L as lsn", "cast(o_totalprice as decimal(12,2)) as amount", "o_orderstatus"), 1)
+    target.buffer(orders.filter("o_orderstatus = 'F'").selectExpr(*head, "1L as lsn", "cast(o_custkey % 100 as int) as amount"), 2)
+    target.merge(spark)
+    return target.read(spark).select("o_orderkey", F.col("amount").cast("double").alias("amount"), "o_orderstatus")
+
+
 @register(f"""
 select event_id, cast(body->>'$.k' as bigint) as k, cast(null as varchar) as bad_text
 from (select * from {text(rel.RAW_RECORDS)} r where json_valid(body)) g

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.names import ledger_key
+from driftline.functions.names import TABLE, ledger_key
 from driftline.operators import ledger as led
 from driftline.operators import signals as sig
 from driftline.sessions import workspace
-from driftline.streaming.expiry import expirations
+from driftline.streaming.expiry import expirations, stream_expirations
+from driftline.streaming.target import KeyedTarget
 from workloads import relations as rel
-from workloads.change_queries import event_stream, landed
+from workloads.change_queries import event_stream
 from workloads.registry import register
 from workloads.relations import relation, text
 
@@ -139,6 +140,16 @@ def signal_append(spark, sf_dir):
     return signal_log(spark, sf_dir)
 
 
+@register(f"""
+select database, id, type, data, created_at from {LOG} l
+qualify row_number() over (partition by database, id order by created_at, type, data) = 1""")
+def signal_log_append(spark, sf_dir):
+    """The log written in two parts; the second repeats a part of the first and has ids twice itself."""
+    signals = signal_log(spark, sf_dir).select("database", "id", "type", "data", "created_at")
+    early = signals.filter("created_at < timestamp '2024-01-10 00:00:00'")
+    return sig.append(sig.append(signals.limit(0), early), signals)
+
+
 @register(f"""
 select database, id, type, data, created_at from {LOG} l where created_at >= timestamp '{SIGNAL_NOW}' - interval 24 hour""")
 def signal_retention(spark, sf_dir):
@@ -161,13 +172,14 @@ def signal_exists(spark, sf_dir):
 
 
 @register(f"""
-select database, schema, tbl, 'snap_' || schema || '_' || tbl in (select id from {LOG} l) as listed
+select database, schema, tbl,
+       exists (select 1 from {LOG} l where l.id = 'snap_' || c.schema || '_' || c.tbl and l.database = c.database) as listed
 from {text(rel.SIGNAL_CATALOG)} c""")
 def signal_id_exists(spark, sf_dir):
     return sig.signal_ids(relation(spark, sf_dir, rel.SIGNAL_CATALOG), signal_log(spark, sf_dir))
 
 
-@register(f"select distinct collection from {NAMING} l")
+@register(f"select distinct database, collection from {NAMING} l")
 def signal_collections(spark, sf_dir):
     return sig.collections(signal_log(spark, sf_dir))
 
@@ -198,19 +210,17 @@ def snapshot_requests(spark, sf_dir):
 
 
 @register(f"""
-with puts as (select database, schema, tbl, created_at as s, created_at + ttl_seconds * 24 * interval 1 second as e
-              from {text(rel.SIGNAL_TABLES)} t where ttl_seconds > 0),
-     reach as (select *, max(e) over (partition by database, schema, tbl order by s, e
-                                      rows between unbounded preceding and 1 preceding) as before from puts),
-     lives as (select *, count(*) filter (where before is null or s > before)
-                 over (partition by database, schema, tbl order by s, e rows unbounded preceding) as life from reach)
-select database, schema, tbl, 'd' as op, epoch_us(max(e)) as lsn, max(e) as expired_at
-from lives group by database, schema, tbl, life
-having max(e) <= (select max(s) from puts) - interval 10 minute""")
+with puts as (select database, schema, tbl, epoch_us(created_at) as s,
+                     case when ttl_seconds > 0 then epoch_us(created_at) + ttl_seconds::bigint * 24 * 1000000 end as e
+              from {text(rel.SIGNAL_TABLES)} t),
+     turns as (select *, lead(s) over (partition by database, schema, tbl order by s, e nulls first) as following from puts)
+select database, schema, tbl, 'd' as op, e as lsn, make_timestamp(e) as expired_at
+from turns where e <= (select max(s) from puts) and (following is null or e < following)""")
 def expiry_stream(spark, sf_dir):
-    """Deletes of entries whose time to live runs out, from the stream that puts them."""
+    """Deletes of entries whose time to live runs out, from the stream that puts them; the last put decides."""
     puts = spark.sql(rel.SIGNAL_TABLES, events=event_stream(spark, sf_dir))
-    ended = expirations(puts, ["database", "schema", "tbl"], "created_at", F.col("ttl_seconds") * 24)
-    return landed(spark, ended, "expiry").select(
-        "database", "schema", "tbl", "op", "lsn", F.col("ts").cast("timestamp_ntz").alias("expired_at")
-    )
+    target = KeyedTarget(workspace(spark, "entries"), TABLE)
+    path = workspace(spark, "expiry")
+    stream_expirations(puts, target, path, "created_at", F.col("ttl_seconds") * 24).awaitTermination()
+    ended = expirations(spark, path, TABLE)
+    return ended.select(*TABLE, "op", "lsn", F.col("ts").cast("timestamp_ntz").alias("expired_at"))

@@ -213,9 +213,8 @@ def status_rollup(spark, sf_dir):
 
 
 @register(f"""
-select c.database, c.schema, c.tbl, s.connector_state as state,
-       case when s.connector_state is null then 'create' when s.connector_state <> 'RUNNING' then 'restart' else 'ok' end
-         as action,
+select c.database, c.schema, c.tbl, case when s.tbl is not null then coalesce(s.connector_state, 'UNKNOWN') end as state,
+       case when s.tbl is null then 'create' when s.connector_state = 'RUNNING' then 'ok' else 'restart' end as action,
        'yb_' || c.database || '_' || c.schema || '_' || c.tbl || '.' || c.schema || '.' || c.tbl
          not in (select topic from {text(rel.TOPICS)} t) as topic_missing
 from {text(rel.CATALOG)} c left join {text(rel.TASKS)} s on {on("s")}""")
