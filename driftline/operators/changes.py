@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Keys of up to this many changes are broadcast: some tens of megabytes.
-BROADCAST_RECORDS = 500_000
-
-
 def unwrap(df: DataFrame, key: str = "key", after: str = "after", meta: Sequence[str] = ("op", "lsn", "ts")) -> DataFrame:
     """Envelope to flat record. A delete stays, with no image."""
     keys = df.schema[key].dataType.names
@@ -100,33 +96,32 @@ def drop_deleted(df: DataFrame) -> DataFrame:
 
 
 def apply_changes(
-    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], change_count: int | None = None
+    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], few: bool = False
 ) -> DataFrame:
     """The state after the changes, deletes kept as tombstones.
 
     ``state`` holds one record per key and both sides have the same columns. A change older than the
     state's record of its key is ignored. ``order`` is unique per key across batches, as positions of a log are:
-    of records that tie, the last applied stays. See ``kept_and_fresh`` for what ``change_count`` does.
+    of records that tie, the last applied stays. See ``kept_and_fresh`` for what ``few`` does.
     """
-    kept, fresh = kept_and_fresh(state, changes, keys, order, change_count)
+    kept, fresh = kept_and_fresh(state, changes, keys, order, few)
     return kept.unionByName(fresh)
 
 
 def kept_and_fresh(
-    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], change_count: int | None = None
+    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], few: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The state's records that stay, and the changes that take effect.
 
-    The state is never aggregated, only filtered by the keys of the changes. If the caller knows the
-    number of changes and it is small, those keys are broadcast and the state is not shuffled at all;
-    otherwise Spark joins on keys that are unique on both sides.
+    The state is never aggregated, only filtered by the keys of the changes. A caller that has bounded the
+    number of changes and the bytes of their keys and order says ``few``: those are then broadcast and the state is not
+    shuffled at all. Otherwise Spark chooses by its statistics, and joins on keys unique on both sides.
     """
     newest = latest_per_key(changes.select(*state.columns), keys, order)
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     # The newest place per key is aggregated apart: it needs no row images, only keys and order.
     mark = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(place).alias("_newest"))
-    # Both the marks and the late keys number at most ``change_count``.
-    few = change_count is not None and change_count <= BROADCAST_RECORDS
+    # Neither the marks nor the late keys are more than the changes.
     small = F.broadcast if few else lambda df: df
     # A NULL key part equals another one, as it does where records are grouped.
     same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

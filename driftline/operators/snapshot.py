@@ -9,37 +9,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.changes import apply_changes, drop_deleted
-from driftline.sessions import shared_dir
+from driftline.sessions import workspace
 
 CHUNK_SIZE = 10_000
 BEFORE_STREAM = -1
 
-_POSITION_BITS = 33  # monotonically_increasing_id(): partition number above, row number within below
+_POSITION_BITS = 33  # monotonically_increasing_id() is the row number plus the partition number times 2^33
 
 
-def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE) -> DataFrame:
+def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE, partitions: int | None = None) -> DataFrame:
     """Chunk number, first key (``lo``), last key (``hi``) and row count; empty for an empty table.
 
     With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are
     range-partitioned and numbered within their partition; a partition's offset is the size of all
-    partitions before it. The numbered keys are checkpointed because both passes must see the same
-    partition borders, also after a lost executor. ``key`` is the table's primary key, hence unique and never hot.
+    partitions before it. The numbered keys are written to the shared folder, because both passes must see the
+    same partition borders, also after a lost executor. ``key`` is the table's primary key, hence unique and never
+    hot. ``partitions`` is the number of ranges, the session's number of shuffle partitions by default: choose it so that
+    the keys of a range fit into a task.
     """
-    shared_dir(df.sparkSession)
-    number = F.col("_number")
-    keys = (
+    spark = df.sparkSession
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id().cast("bigint")
+    path = workspace(spark, "snapshot-keys")
+    (
         df.select((F.col(key) if isinstance(key, str) else F.struct(*key)).alias("_key"))
-        .repartitionByRange("_key")
+        .repartitionByRange(ranges, "_key")
         .sortWithinPartitions("_key")
-        .withColumn("_number", F.monotonically_increasing_id())
-        .select(
-            "_key",
-            F.shiftright(number, _POSITION_BITS).alias("_part"),
-            number.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("_pos"),
-        )
-        .checkpoint()
+        .select("_key", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part, _POSITION_BITS)).alias("_pos"))
+        .write.parquet(path)
     )
-    # One row per range partition, at most spark.sql.shuffle.partitions: small enough for one
+    keys = spark.read.parquet(path)
+    # One row per range partition, at most as many as the ranges asked for: small enough for one
     # window and for a broadcast by construction.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, ref: str) -> DataFrame:
@@ -13,15 +16,58 @@ def scan(spark: SparkSession, ref: str) -> DataFrame:
     return spark.read.parquet(ref) if "/" in ref else spark.table(ref)
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, plan: DataFrame, key: str, **options: str) -> DataFrame:
-    """A table behind a JDBC driver, read in parallel by the key ranges of its snapshot plan.
+def _literal(value: Any) -> str:
+    return str(value) if isinstance(value, (int, Decimal)) else "'" + str(value).replace("'", "''") + "'"
 
-    The plan is brought to the driver as one predicate per chunk, which is what the reader takes; use
-    chunks of millions of rows here, the number of chunks is the number of tasks.
+
+def _from(keys: Sequence[str], bound: Sequence[Any]) -> str:
+    """The condition that a composite key is at or after a bound, column by column."""
+    (key, *later), (value, *rest) = keys, bound
+    at = _literal(value)
+    return f"{key} >= {at}" if not later else f"({key} > {at} OR ({key} = {at} AND {_from(later, rest)}))"
+
+
+def ranges(keys: Sequence[str], bounds: Sequence[Sequence[Any]]) -> list[str]:
+    """Conditions that cut a table at rising bounds, each row in exactly one of them.
+
+    They are half open and cover the whole line, rows without a key and rows that come in after planning
+    included.
+    """
+    if not bounds:
+        return ["1 = 1"]
+    starts = [_from(keys, b) for b in bounds]
+    nothing = " OR ".join(f"{k} IS NULL" for k in keys)
+    first = f"({nothing}) OR NOT ({starts[0]})"
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    inner = [f"{whole} AND ({a}) AND NOT ({b})" for a, b in zip(starts, starts[1:], strict=False)]
+    return [first, *inner, f"{whole} AND ({starts[-1]})"]
+
+
+def range_bounds(plan: DataFrame, keys: Sequence[str], most: int) -> list[tuple]:
+    """The first keys of at most ``most`` runs of chunks of a snapshot plan, but for that of the first run."""
+    step = F.ceil((F.max("chunk").over(Window.partitionBy(F.lit(0))) + 1) / most)
+    lo = [F.col("lo")] if len(keys) == 1 else [F.col(f"lo.{k}") for k in keys]
+    starts = plan.withColumn("_step", step).filter((F.col("chunk") > 0) & (F.col("chunk") % F.col("_step") == 0))
+    return [tuple(r) for r in starts.orderBy("chunk").select(*lo).collect()]
+
+
+def scan_jdbc(
+    spark: SparkSession, url: str, table: str, plan: DataFrame, keys: Sequence[str], tasks: int = 200, byte_order: bool = False, **options: str
+) -> DataFrame:
+    """A table behind a JDBC driver, read by at most ``tasks`` tasks that share the chunks of its snapshot plan.
+
+    Text keys are cut in Spark's order of bytes. Say ``byte_order`` if the database compares them so, too;
+    under another collation ranges would overlap.
     """
-    lo, hi = (F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")) for c in ("lo", "hi"))
-    ranges = plan.select(F.format_string(f"{key} BETWEEN '%s' AND '%s'", lo, hi).alias("p")).collect()
-    return spark.read.jdbc(url, table, predicates=[r.p for r in ranges], properties=options)
+    text = [k for k in keys if isinstance(_key_type(plan, k, len(keys)), T.StringType)]
+    if text and not byte_order:
+        raise ValueError(f"text keys need a database that compares bytes: {text}")
+    return spark.read.jdbc(url, table, predicates=ranges(keys, range_bounds(plan, keys, tasks)), properties=options)
+
+
+def _key_type(plan: DataFrame, key: str, keys: int) -> T.DataType:
+    kind = plan.schema["lo"].dataType
+    return kind if keys == 1 else kind[key].dataType
 
 
 def query(spark: SparkSession, sql: str, args: dict[str, Any] | None = None, **views: DataFrame) -> DataFrame:

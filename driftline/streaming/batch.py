@@ -12,9 +12,7 @@ _VERSIONS = "complete boolean, version bigint"
 
 
 def append(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Append the target's columns, matched by name; nothing is written for an empty input."""
-    if df.isEmpty():
-        return
+    """Append the target's columns, matched by name; an empty input adds no rows."""
     df.select(*(columns or df.columns)).write.mode("append").parquet(path)
 
 
@@ -24,11 +22,13 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
     The rows are staged as a new version and only then become current, so the old rows stay readable
     until the load is complete. An empty load is refused unless allowed.
     """
-    if not allow_empty and df.isEmpty():
-        raise ValueError("refusing to replace a table by nothing")
     spark = df.sparkSession
     version = (current_version(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    staged = f"{path}/version={version}"
+    df.write.mode("overwrite").parquet(staged)
+    # The staged rows are looked at, so that the load is computed once.
+    if not allow_empty and spark.read.parquet(staged).isEmpty():
+        raise ValueError("refusing to replace a table by nothing")
     commit(spark, f"{path}/_versions", "version", version, complete=[True])
     return version
 

@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 from driftline.functions.lattice import merged_schema, relax
 from driftline.operators.changes import (
-    BROADCAST_RECORDS,
     drop_deleted,
     kept_and_fresh,
     latest_per_key,
@@ -42,7 +41,8 @@ _BATCHES = "records bigint, key_bytes bigint, buckets array<bigint>, schema stri
 _MANIFESTS = "bucket bigint, data bigint, through string, schema string, version bigint"
 
 
-# Text length of the keys of buffered changes up to which they are broadcast.
+# Number of buffered changes, and text length of their keys and order, up to which these are broadcast.
+BROADCAST_RECORDS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 _BUCKET = "_bucket"
@@ -112,7 +112,7 @@ class KeyedTarget:
         where = f"{self.path}/delta/origin={origin}/batch={batch_id}"
         newest.write.mode("overwrite").parquet(where)
         written = spark.read.schema(newest.schema).parquet(where)
-        width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in self.keys), F.lit(0))
+        width = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in [*self.keys, *self.order]), F.lit(0))
         # At most one element per bucket.
         touched = F.sort_array(F.collect_set(self._bucket()))
         found = written.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)), touched).first()
@@ -152,7 +152,7 @@ class KeyedTarget:
         state = self._base(spark, {b: manifest.buckets[b] for b in touched if b in manifest.buckets})
         few = _few(pending)
         kept, fresh = self._apply(state, changes, few)
-        if kept is None or compact or few is None:
+        if kept is None or compact or not few:
             merged = self._balanced(fresh if kept is None else kept.unionByName(fresh))
         else:
             merged = kept.withColumn(_BUCKET, self._bucket()).unionByName(self._balanced(fresh))
@@ -269,7 +269,7 @@ class KeyedTarget:
         return df.withColumn(_BUCKET, self._bucket()).hint("rebalance", F.col(_BUCKET))
 
     def _apply(
-        self, state: DataFrame | None, changes: DataFrame, few: int | None
+        self, state: DataFrame | None, changes: DataFrame, few: bool
     ) -> tuple[DataFrame | None, DataFrame]:
         if state is None:
             return None, latest_per_key(changes, self.keys, self.order)
@@ -307,10 +307,9 @@ def _merged(manifest: Manifest) -> Column:
     return merged
 
 
-def _few(pending: list[Batch]) -> int | None:
-    """The number of buffered changes, if they are few enough for their keys to be broadcast."""
-    records, key_bytes = sum(b.records for b in pending), sum(b.key_bytes for b in pending)
-    return records if records <= BROADCAST_RECORDS and key_bytes <= BROADCAST_BYTES else None
+def _few(pending: list[Batch]) -> bool:
+    """Whether the buffered changes are few enough for their keys to be broadcast."""
+    return sum(b.records for b in pending) <= BROADCAST_RECORDS and sum(b.key_bytes for b in pending) <= BROADCAST_BYTES
 
 
 def _read(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame | None:

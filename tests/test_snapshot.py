@@ -5,6 +5,7 @@ import random
 import pytest
 
 from driftline.operators.snapshot import snapshot_chunk, snapshot_plan
+from driftline.sources.tables import range_bounds, ranges, scan_jdbc
 
 
 @pytest.mark.parametrize(("n", "size"), [(0, 10), (1, 10), (10, 10), (11, 10), (2_503, 100)])
@@ -43,3 +44,38 @@ def test_composite_keys(spark):
     ]
     read = [r.v for p in plan for r in snapshot_chunk(df, ["tenant", "id"], p.lo, p.hi).orderBy("tenant", "id").collect()]
     assert read == [f"{t}{i}" for t, i in keys]
+
+
+def test_ranges_as_text():
+    assert ranges(["id"], []) == ["1 = 1"]
+    assert ranges(["id"], [(5,), (9,)]) == [
+        "(id IS NULL) OR NOT (id >= 5)",
+        "id IS NOT NULL AND (id >= 5) AND NOT (id >= 9)",
+        "id IS NOT NULL AND (id >= 9)",
+    ]
+    assert ranges(["a", "b"], [("x'y", 2)])[1] == "a IS NOT NULL AND b IS NOT NULL AND ((a > 'x''y' OR (a = 'x''y' AND b >= 2)))"
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 100])
+def test_ranges_cover_the_table_and_what_comes_later(spark, tmp_path, most):
+    keys = [(t, i) for t in ("a", "b'", "c") for i in range(0, 21, 3)]
+    spark.createDataFrame(keys, "tenant string, id int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = snapshot_plan(df, ["tenant", "id"], 4)
+    conditions = ranges(["tenant", "id"], range_bounds(plan, ["tenant", "id"], most))
+    assert len(conditions) <= most
+    later = [("0", 1), ("b'", 4), ("z", 9), ("a", None), (None, 3), (None, None)]
+    everything = df.union(spark.createDataFrame(later, df.schema))
+    found = [tuple(r) for c in conditions for r in everything.filter(c).collect()]
+    assert sorted(found, key=repr) == sorted([*keys, *later], key=repr)
+
+
+def test_text_keys_need_a_byte_order(spark):
+    plan = snapshot_plan(spark.createDataFrame([("a",)], "code string"), "code", 4)
+    with pytest.raises(ValueError, match="bytes"):
+        scan_jdbc(spark, "jdbc:none", "t", plan, ["code"])
+
+
+def test_number_of_ranges(spark):
+    plan = snapshot_plan(spark.range(1000), "id", 100, partitions=3)
+    assert sorted((r.chunk, r.lo, r.hi) for r in plan.collect()) == [(i, 100 * i, 100 * i + 99) for i in range(10)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.names import TABLE
 from driftline.operators import changes as ch
 from driftline.operators import schema as sch
 from driftline.operators import snapshot as snap
@@ -228,6 +229,33 @@ def snapshot_then_stream(spark, sf_dir):
     return target.read(spark)
 
 
+FLEET_LOG = f"""
+select 'db' || cast(user_id % 25 as varchar) as database, event_type as schema, 'u' || cast(user_id % 7 as varchar) as tbl,
+       user_id, op, lsn, value from {text(rel.CHANGES)} c"""
+
+FLEET_STATE = f"""
+select * from (select * from ({FLEET_LOG}) f
+               qualify row_number() over (partition by database, schema, tbl, user_id order by lsn desc) = 1) l where op <> 'd'"""
+
+
+def fleet_target(spark, sf_dir):
+    """One mixed stream applied to the tables of a fleet: one target, whose key tells the table."""
+    target = KeyedTarget(workspace(spark, "fleet"), [*TABLE, "user_id"])
+    mixed = change_stream(spark, sf_dir).select(
+        F.concat(F.lit("db"), (F.col("user_id") % 25).cast("string")).alias("database"),
+        F.col("event_type").alias("schema"),
+        F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("tbl"),
+        "user_id", "op", "lsn", "value",
+    )
+    stream_apply(mixed, target, every=None).awaitTermination()
+    return target
+
+
+@register(FLEET_STATE)
+def fleet_apply(spark, sf_dir):
+    return fleet_target(spark, sf_dir).read(spark)
+
+
 CORRECTED = """
 select o_orderkey, cast(o_totalprice as decimal(12,2)) as amount, o_orderstatus from orders where o_orderstatus <> 'F'
 union all select o_orderkey, cast(o_custkey % 100 as decimal(12,2)), null from orders where o_orderstatus = 'F'"""
