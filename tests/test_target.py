@@ -95,8 +95,9 @@ def test_wide_keys_are_not_broadcast(spark, tmp_path, monkeypatch, limit):
     target.buffer(spark.createDataFrame(rows[:80], LOG), 0)
     target.merge(spark)
     status = target.buffer(spark.createDataFrame(rows[80:], LOG), 1)
-    assert status.pending[0].key_bytes == sum(len(str(k)) for k in {r[0] for r in rows[80:]})
-    assert (module._few(status.pending) is None) == (limit == 0)
+    last = {r[0]: r[2] for r in sorted(rows[80:], key=lambda r: r[2])}
+    assert status.pending[0].key_bytes == sum(len(str(k)) + len(str(lsn)) for k, lsn in last.items())
+    assert module._few(status.pending) == (limit > 0)
     assert table(target, spark) == final(rows)
     target.merge(spark)
     assert table(target, spark) == final(rows)
