@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -35,7 +34,7 @@ from driftline.llm.common import in_tasks, slices
 #: Bytes from which on a word is contracted by a loop instead of a recursive query.
 LONG = 2048
 #: Rows of all rounds of one recursive query: at most the sum of the squares of its words' bytes.
-ROUND_ROWS = 8 << 20
+ROUND_ROWS = 2 << 20
 #: Words and bytes of words that a task remembers before it starts anew.
 MOST_WORDS, MOST_BYTES = 500_000, 20 << 20
 
@@ -124,7 +123,6 @@ class Codec:
         if (self.byte < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
         self.met: dict[str, int] = {}
-        self.last: set[str] = set()
         self._forget()
 
     def _forget(self, but: set[str] = frozenset()) -> None:
@@ -179,7 +177,6 @@ class Codec:
         """Adds the ids of words that are not known yet."""
         if len(self.met) > MOST_WORDS or self.met_bytes > MOST_BYTES:
             self._forget(words)
-        self.last = words
         new = [w for w in words if w not in self.met]
         raw = [w.encode() for w in new]
         self.met_bytes += sum(map(len, raw))
@@ -236,21 +233,14 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=1)
-def _codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 @contextmanager
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Iterator[Codec]:
-    """The codec of a task's process. After a task it keeps its tables and the words of the last cut, no more: Spark uses
-    a Python process again for other work."""
-    held = _codec(path, pattern)
+    """The codec of a task. It goes with the task: Spark uses a Python process again for quite other work."""
+    held = Codec(path, pattern)
     try:
         yield held
     finally:
-        held._forget(held.last)
-        held.last = set()
+        held.con.close()
 
 
 def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
