@@ -9,7 +9,8 @@ pairs of their last word in one place, a second exchange of all tokens; see the
 
 1. Tasks count the words of learned documents; Spark adds them up. The most frequent words, ``FREQUENT`` at most,
    are sent to all tasks (20 bytes each); they tell how often a context occurs, and how likely a word is.
-   The words beyond have one probability, the mean of theirs.
+   The words beyond are answered in two parts, what the pair has and the weight of the word's own probability;
+   their counts are joined to the chunks, which add the parts up. So the model does not depend on ``FREQUENT``.
 2. Tasks read the texts in chunks of some megabytes. A chunk asks for each of its distinct pairs once, with
    the number of times that it is learned; the requests are dealt by context, and by context and word where a context
    is frequent. So neither a frequent word nor a frequent pair makes a group large: it gets a request a chunk.
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from driftline.llm.common import as_bytes, in_tasks, shipped, slices, written
 from driftline.llm.trie import PairTrie
 
-#: Words that all tasks know, at most.
+#: Words that all tasks know, at most; and up to which count words are told apart by it when these are chosen,
+#: and the classes of each doubling beyond.
 FREQUENT = 1 << 20
+EXACT, CLASSES = 1 << 12, 256
 #: What is taken off the count of a pair, and the occurrences of a context that are shared by all words.
 DISCOUNT, SHARED = 0.75, 1.0
 #: Bytes of text of a chunk, and tokens that a group of requests stands for.
@@ -96,9 +99,8 @@ class Words:
 
     @property
     def rare(self) -> float:
-        """The probability of a word that is not frequent, or not known."""
-        left = self.tokens - int(self.counts.sum())
-        return (left + 1) / (self.tokens + 1) / (self.distinct - len(self.counts) + 1)
+        """The probability of a word that is met once, or not known."""
+        return 1 / (self.tokens + 1)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The rank of frequent words, the hash with its highest bit set of others."""
@@ -125,8 +127,8 @@ class Words:
         return np.bincount((_mix(ids) % np.uint64(parts)).astype(np.int64), own, parts) + (1 - own.sum()) / parts
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each word by itself."""
-        out = np.full(len(ids), np.log10(self.rare))
+        """log10 of the probability of each frequent word by itself; minus infinity for others, which chunks add."""
+        out = np.full(len(ids), -np.inf)
         frequent = ids < len(self.counts)
         out[frequent] = np.log10(self.counts[ids[frequent].astype(np.int64)] / (self.tokens + 1))
         return out
@@ -165,14 +167,15 @@ def count_words(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def frequent_words(counted: DataFrame, most: int = FREQUENT, split: int = SPLIT) -> Words:
     """The words that occur more often than so many others do that ``most`` would not hold them, and the sums."""
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    by_count = F.least(F.col("n"), F.lit(1 << 12))
+    above = F.lit(EXACT) + F.floor(F.log2(F.col("n") / EXACT) * CLASSES)
+    by_count = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(above)
     histogram = {r["k"]: r["words"] for r in counted.groupBy(by_count.alias("k")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    least, held = (1 << 12) + 1, 0
+    least, held = 0, 0
     for k in sorted(histogram, reverse=True):
         if held + histogram[k] > most:
             break
         held, least = held + histogram[k], k
-    found = counted.filter(F.col("n") >= least).limit(most).toArrow() if held else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    found = counted.filter(by_count >= least).limit(most).toArrow() if held else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     hashes, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
     by_rank = np.lexsort((hashes, -n))
     by_hash = np.argsort(hashes[by_rank])
@@ -221,11 +224,13 @@ def _chunk(texts: list[bytes], learned: np.ndarray, known: Words, groups: int) -
     scale = known.tokens + 0.5 * (known.distinct + 1)
     base = np.log10((np.where(is_rare, 0, known.count(ids[:-1])) + 0.5) / scale)
     rare_place = np.cumsum(is_rare) - 1
+    to_add = is_rare[right[order]]
+    added = rare_place[right[order][to_add]].astype(np.uint32)
     rare = is_rare[token]
     rare_asked, rare_docs = _by_answer(rare_place[token[rare]], doc[rare], int(is_rare.sum()))
     sums = np.bincount(doc, np.where(is_rare, 0.0, base)[token], len(cut))
     seen = np.bincount(doc, ~rare, len(cut))
-    kept = [(counts + 1).astype(np.uint64), asked, docs, rare_asked, rare_docs, sums, seen.astype(np.uint64)]
+    kept = [(counts + 1).astype(np.uint64), asked, docs, rare_asked, rare_docs, sums, seen.astype(np.uint64), to_add.astype(np.uint8), added]
     return requests, hashes[is_rare], kept
 
 
@@ -270,10 +275,16 @@ def build(known: Words, ids: np.ndarray, context: np.ndarray, word: np.ndarray,
     return PairTrie.pack(ids, context, word, log, np.log10(weight))
 
 
-def answered(known: Words, block: bytes, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each word, by id, after its context, from a trie in a memory map."""
+def looked_up(known: Words, block: bytes, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of what a trie in a memory map has for each word, by id, after its context, and of the weight of the word's
+    own probability; not a number for pairs that are not there. A word that is not frequent has its pair's part only."""
     log, weight = PairTrie.mapped(block).look_up(context, word)
-    weight = np.where(np.isnan(weight), np.log10(SHARED / (known.count(context) + SHARED)), weight)
+    return log, np.where(np.isnan(weight), np.log10(SHARED / (known.count(context) + SHARED)), weight)
+
+
+def answered(known: Words, block: bytes, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each frequent word, by id, after its context."""
+    log, weight = looked_up(known, block, context, word)
     return np.where(np.isnan(log), weight + known.log10(word), log)
 
 
@@ -314,9 +325,15 @@ def score(
         times = np.bincount(of, np.concatenate([b[3] for b in blocks]).astype(float), len(pairs))
         context, word = pairs // len(ids), pairs % len(ids)
         block = build(known, ids, context, word, times, group["part"][0].as_py(), groups)
-        value = np.rint(-ANSWER_STEPS * answered(known, block, ids[context], ids[word])).astype(np.uint32)[of]
-        parts = np.split(value, np.cumsum([len(b[1]) for b in blocks])[:-1])
-        return pa.table({"chunk": group["chunk"], "part": group["part"], "block": pa.array([_pack(p) for p in parts], pa.binary())})
+        log, weight = looked_up(known, block, ids[context], ids[word])
+        steps = lambda x: np.rint(-ANSWER_STEPS * x).astype(np.uint32)
+        to_add = (ids[word] & _RARE) > 0
+        value = steps(np.where(to_add, weight, np.where(np.isnan(log), weight + known.log10(ids[word]), log)))[of]
+        own = np.where(np.isnan(log), 0, 1 + steps(np.nan_to_num(log)))[of]  # 0: the pair is not there
+        borders = np.cumsum([len(b[1]) for b in blocks])[:-1]
+        answers = zip(*(np.split(x, borders) for x in (value, own, to_add[of])), strict=True)
+        packed = [_pack(v, o[t].astype(np.uint32)) for v, o, t in answers]
+        return pa.table({"chunk": group["chunk"], "part": group["part"], "block": pa.array(packed, pa.binary())})
 
     requests = table.filter("kind = 'pairs'").select("chunk", "part", "block")
     answers = requests.groupBy("part").applyInArrow(answer, "chunk long, part int, block binary")
@@ -332,13 +349,18 @@ def score(
         out = []
         got = got.sort_by([("part", "ascending")])
         for row in own.to_pylist():
-            size, asked, docs, rare_asked, rare_docs, base, seen = _unpack(row["block"])
-            value = np.concatenate([_unpack(b)[0].astype(float) for b in got["block"].to_pylist() if b is not None] or [np.zeros(0)])
-            score = np.bincount(docs, np.repeat(value, asked), len(size)) / -ANSWER_STEPS
+            size, asked, docs, rare_asked, rare_docs, base, seen, to_add, added = _unpack(row["block"])
             rare = np.zeros(len(row["rare"]), np.int64)
             for place, n in zip(got["place"], got["n"], strict=True):
                 if place.is_valid:
                     rare[np.asarray(place.values)] = np.asarray(n.values)
+            answers = [_unpack(b) for b in got["block"].to_pylist() if b is not None]
+            value, own = (np.concatenate([np.zeros(0), *(a[k] for a in answers)]) for k in (0, 1))
+            value /= -ANSWER_STEPS
+            to_add = to_add > 0
+            pair = np.where(own > 0, 10.0 ** ((1 - own) / ANSWER_STEPS), 0)
+            value[to_add] = np.log10(pair + 10.0 ** value[to_add] * np.maximum(rare[added], 1) * known.rare)
+            score = np.bincount(docs, np.repeat(value, asked), len(size))
             scale = known.tokens + 0.5 * (known.distinct + 1)
             base = base + np.bincount(rare_docs, np.repeat(np.log10((rare + 0.5) / scale), rare_asked), len(size))
             seen = seen.astype(np.int64) + np.bincount(rare_docs, np.repeat(rare > 0, rare_asked), len(size)).astype(np.int64)

@@ -203,6 +203,21 @@ def test_scores_with_small_groups(spark, docs, odd, none):
     assert trie_scoring.score(none, fold("doc_id") != 1).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 60])
+def test_scores_do_not_depend_on_what_tasks_know(spark, docs, frequent):
+    rows = [(r.doc_id, r.text, r.own) for r in docs.select("doc_id", "text", (fold("doc_id") != 1).alias("own")).collect()]
+    want = _plain_scores(rows)
+    for r in trie_scoring.score(docs, fold("doc_id") != 1, chunk=1 << 15, group_tokens=9000, frequent=frequent).collect():
+        n, known, _, base, model = want[r.id]
+        assert r.n_known == known and math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - model) < 2e-3 * n
+
+
+def test_frequent_words_of_large_counts(spark):
+    counted = spark.range(100).selectExpr("id word", "5000 + 100 * id n")
+    known = trie_scoring.frequent_words(counted, 50)
+    assert 40 <= len(known.counts) <= 50 and known.counts.tolist() == [14900 - 100 * k for k in range(len(known.counts))]
+
+
 def test_model_sums_to_one_over_its_words():
     ids = np.arange(6, dtype=np.uint64)
     counts = np.array([40, 20, 10, 5, 3, 2])
