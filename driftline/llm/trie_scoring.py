@@ -2,8 +2,8 @@
 
 The model is a word pair model with absolute discounting. ``DISCOUNT`` is taken off the count of each pair, and what
 a context thus loses goes to all words by their own probability; one more occurrence of the context does too. A
-frequent context is dealt over several groups by classes of the word after it. There the loss of a class goes to the
-words of that class, so that no group needs to know the others, and the probabilities still add up to one. It is
+frequent context is dealt over several groups by classes of the word after it; its distinct followers are counted in
+every group and summed by Spark first, so that its weight is the same in all groups and as if it were not dealt. It is
 counted over all learned documents, and every text is scored whole. Contexts of two words would have to meet the
 pairs of their last word in one place, a second exchange of all tokens; see the README for figures.
 
@@ -14,7 +14,8 @@ pairs of their last word in one place, a second exchange of all tokens; see the
 2. Tasks read the texts in chunks of some megabytes. A chunk asks for each of its distinct pairs once, with
    the number of times that it is learned; the requests are dealt by context, and by context and word where a context
    is frequent. So neither a frequent word nor a frequent pair makes a group large: it gets a request a chunk.
-3. The task of a group adds up the counts, packs them into a trie, and answers all requests from it.
+3. Groups count the followers of the contexts that are dealt, a row for each context and group, and get the sums.
+   The task of a group adds up the counts, packs them into a trie, and answers all requests from it.
 4. Answers go back to their chunk, in steps of 1 / ``ANSWER_STEPS``, and it adds them up by document.
 
 Words are told apart by 64-bit hashes; among ten million words two are equal with a probability of 3 in a million.
@@ -120,12 +121,6 @@ class Words:
         """The number of classes of following words that each context is dealt by."""
         return 1 + self.count(ids) // max(self.split, self.tokens // SPLIT_SHARE)
 
-    def masses(self, parts: int) -> np.ndarray:
-        """The sum of the words' own probabilities in each of so many classes; those not frequent count as evenly dealt."""
-        own = self.counts / (self.tokens + 1)
-        ids = np.arange(len(own), dtype=np.uint64)
-        return np.bincount((_mix(ids) % np.uint64(parts)).astype(np.int64), own, parts) + (1 - own.sum()) / parts
-
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """log10 of the probability of each frequent word by itself; minus infinity for others, which chunks add."""
         out = np.full(len(ids), -np.inf)
@@ -258,28 +253,52 @@ def _requests(rows: DataFrame, known: Words, groups: int, size: int = CHUNK) ->
     return in_tasks(rows.select("id", "text", "learned"), run, "kind string, chunk long, part int, block binary, ids array<long>, learned array<boolean>, rare array<long>")
 
 
-def build(known: Words, ids: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray, group: int = 0, groups: int = 1) -> bytes:
-    """The trie of the pairs of a group in order, given as places among sorted ids, with the times each is learned."""
+def dealt(known: Words, blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of a group's requests that are dealt over groups, and the number of words learned after each here."""
+    found = []
+    for ids, context, word, times in blocks:
+        ids = ids.astype(np.uint64)
+        own = np.flatnonzero((known.parts(ids) > 1)[context])
+        found.append((ids[context[own]], ids[word[own]], times[own] > 0))
+    context, word, learned = (np.concatenate(x) for x in zip(*found, strict=True))
+    contexts, of = np.unique(context, return_inverse=True)
+    words, place = np.unique(word[learned], return_inverse=True)
+    pairs = np.unique(of[learned] * len(words) + place)
+    return contexts, np.bincount(pairs // max(len(words), 1), minlength=len(contexts))
+
+
+def _kinds(known: Words, contexts: np.ndarray, own: np.ndarray, sums: dict[int, int]) -> np.ndarray:
+    """The number of distinct words after each context: its own here, the sum over all groups where it is dealt."""
+    out = own.copy()
+    for i in np.flatnonzero(known.parts(contexts) > 1):
+        out[i] = sums[int(contexts[i])]
+    return out
+
+
+def build(known: Words, ids: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray, sums: dict[int, int] | None = None) -> bytes:
+    """The trie of the pairs of a group in order, given as places among sorted ids, with the times each is learned.
+
+    ``sums`` has the number of distinct words after each context that is dealt over groups.
+    """
     learned = times > 0
     context, word, times = context[learned], word[learned], times[learned]
     distinct, of = np.unique(context, return_inverse=True)
     total = np.where((ids[distinct] & _RARE) > 0, np.bincount(of, times, len(distinct)), known.count(ids[distinct]))
-    mass, parts, masses = np.ones(len(distinct)), known.parts(ids[distinct]), {}
-    for i in np.flatnonzero(parts > 1):
-        m = int(parts[i])
-        own = _group(np.full(m, ids[distinct[i]]), np.arange(m), groups) == group
-        mass[i] = masses.setdefault(m, known.masses(m))[own].sum()
-    lost = DISCOUNT * np.bincount(of, minlength=len(distinct))
-    weight = (lost / mass + SHARED) / (total + SHARED)
+    kinds = _kinds(known, ids[distinct], np.bincount(of, minlength=len(distinct)), sums or {})
+    weight = (DISCOUNT * kinds + SHARED) / (total + SHARED)
     log = np.log10((times - DISCOUNT) / (total[of] + SHARED) + weight[of] * 10.0 ** known.log10(ids[word]))
     return PairTrie.pack(ids, context, word, log, np.log10(weight))
 
 
-def looked_up(known: Words, block: bytes, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def looked_up(known: Words, block: bytes, context: np.ndarray, word: np.ndarray, sums: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """log10 of what a trie in a memory map has for each word, by id, after its context, and of the weight of the word's
     own probability; not a number for pairs that are not there. A word that is not frequent has its pair's part only."""
     log, weight = PairTrie.mapped(block).look_up(context, word)
-    return log, np.where(np.isnan(weight), np.log10(SHARED / (known.count(context) + SHARED)), weight)
+    left = np.flatnonzero(np.isnan(weight))
+    distinct, of = np.unique(context[left], return_inverse=True)
+    kinds = _kinds(known, distinct, np.zeros(len(distinct), np.int64), sums or {})
+    weight[left] = np.log10((DISCOUNT * kinds + SHARED) / (known.count(distinct) + SHARED))[of]
+    return log, weight
 
 
 def answered(known: Words, block: bytes, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -315,8 +334,13 @@ def score(
     table = written(_requests(rows, known, groups, chunk), "requests")
     sent = spark.sparkContext.broadcast(known)
 
-    def answer(group: pa.Table) -> pa.Table:
+    def count_dealt(group: pa.Table) -> pa.Table:
+        contexts, n = dealt(sent.value, [_unpack(b.as_py()) for b in group["block"]])
+        return pa.table({"part": pa.array([group["part"][0].as_py()] * len(contexts), pa.int32()), "context": contexts.view(np.int64), "n": n})
+
+    def answer(group: pa.Table, followers: pa.Table) -> pa.Table:
         known = sent.value
+        sums = dict(zip(followers["context"].to_pylist(), followers["n"].to_pylist(), strict=True))
         blocks = [_unpack(b.as_py()) for b in group["block"]]
         ids = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blocks]))
         place = [np.searchsorted(ids, b[0].astype(np.uint64)) for b in blocks]
@@ -324,8 +348,8 @@ def score(
         pairs, of = np.unique(keys, return_inverse=True)
         times = np.bincount(of, np.concatenate([b[3] for b in blocks]).astype(float), len(pairs))
         context, word = pairs // len(ids), pairs % len(ids)
-        block = build(known, ids, context, word, times, group["part"][0].as_py(), groups)
-        log, weight = looked_up(known, block, ids[context], ids[word])
+        block = build(known, ids, context, word, times, sums)
+        log, weight = looked_up(known, block, ids[context], ids[word], sums)
         steps = lambda x: np.rint(-ANSWER_STEPS * x).astype(np.uint32)
         to_add = (ids[word] & _RARE) > 0
         value = steps(np.where(to_add, weight, np.where(np.isnan(log), weight + known.log10(ids[word]), log)))[of]
@@ -336,7 +360,11 @@ def score(
         return pa.table({"chunk": group["chunk"], "part": group["part"], "block": pa.array(packed, pa.binary())})
 
     requests = table.filter("kind = 'pairs'").select("chunk", "part", "block")
-    answers = requests.groupBy("part").applyInArrow(answer, "chunk long, part int, block binary")
+    # Both uses of the requests share one exchange. SPLIT_SHARE bounds the contexts that are dealt, and their parts.
+    kinds = requests.groupBy("part").applyInArrow(count_dealt, "part int, context long, n long")
+    sums = kinds.groupBy("context").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+    followers = sums.select(F.explode("parts").alias("part"), "context", "n")
+    answers = requests.groupBy("part").cogroup(followers.groupBy("part")).applyInArrow(answer, "chunk long, part int, block binary")
     kept = table.filter("kind = 'own'")
     rare = kept.select("chunk", F.posexplode("rare").alias("place", "word"))
     rare = rare.join(counted, "word").groupBy("chunk", (F.col("place") / 65536).cast("int").alias("at")).agg(F.collect_list("place").alias("place"), F.collect_list("n").alias("n"))

@@ -212,6 +212,14 @@ def test_scores_do_not_depend_on_what_tasks_know(spark, docs, frequent):
         assert r.n_known == known and math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - model) < 2e-3 * n
 
 
+def test_scores_do_not_depend_on_the_split(spark, docs):
+    rows = [(r.doc_id, r.text, r.own) for r in docs.select("doc_id", "text", (fold("doc_id") != 1).alias("own")).collect()]
+    want = _plain_scores(rows)
+    for r in trie_scoring.score(docs, fold("doc_id") != 1, chunk=1 << 15, group_tokens=9000, split=30).collect():
+        n, known, _, _, model = want[r.id]
+        assert r.n_known == known and abs(r.score - model) < 2e-3 * n
+
+
 def test_frequent_words_of_large_counts(spark):
     counted = spark.range(100).selectExpr("id word", "5000 + 100 * id n")
     known = trie_scoring.frequent_words(counted, 50)
