@@ -14,7 +14,9 @@ INLINE = frozenset(
 )
 #: Elements whose text is never shown as text of the page.
 SKIPPED = frozenset("script style noscript template textarea title svg iframe select option button object canvas audio video map datalist noframes xmp head".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg select button object canvas audio video".split())
+#: Of these, those that reach to their end tag whatever stands between, and those that stand within a line of text.
+RAW = frozenset("script style textarea title iframe xmp noframes".split())
+APART = frozenset("noscript template svg select button object canvas audio video".split())
 #: Elements that a later one of the second kind closes, if nothing of the third kind lies between.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -62,7 +64,8 @@ def leaf_blocks(html: str) -> list[Block]:
     """The blocks of a page in order, those without text left out.
 
     Character references are decoded, white space within a block becomes one space. Missing end tags are
-    supplied as far as HTML allows them to be left out; end tags that close nothing are ignored.
+    supplied as far as HTML allows them to be left out; end tags that close nothing are ignored. Elements that are not
+    text of the page end with an element around them, and do not cut the line they stand in.
     """
     stack: list[tuple[str, str, str | None]] = []  # tag, description, mark
     found: list[Block] = []
@@ -72,13 +75,18 @@ def leaf_blocks(html: str) -> list[Block]:
     in_link = False
     skip = 0
 
+    def skipped() -> int:
+        """The place of the outermost element that is skipped."""
+        return next(i for i, (t, _, _) in enumerate(stack) if t in SKIPPED)
+
     def flush() -> None:
         nonlocal linked, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                mark = next((m for _, _, m in reversed(stack) if m is not None), None)
-                found.append(Block(text, tuple([d for _, d, _ in stack]), min(linked, len(text)), mark))
+                own = stack[: skipped()] if skip else stack  # nothing is added within skipped elements
+                mark = next((m for _, _, m in reversed(own) if m is not None), None)
+                found.append(Block(text, tuple([d for _, d, _ in own]), min(linked, len(text)), mark))
             parts.clear()
         linked, in_link = 0, False
 
@@ -86,7 +94,8 @@ def leaf_blocks(html: str) -> list[Block]:
         nonlocal skip
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                flush()
+                if not skip or i < (first := skipped()) or i == first and tag not in APART:
+                    flush()
                 skip -= sum(t in SKIPPED for t, _, _ in stack[i:])
                 del stack[i:]
                 return
@@ -115,13 +124,18 @@ def leaf_blocks(html: str) -> list[Block]:
         if name is None:
             continue
         tag, ends = name.lower(), bool(m[1] or m[4])
+        attributes = (m[3] if m[2] else m[6]) or ""
+        if attributes.endswith("/"):
+            if not ends and (tag == "svg" or skip and any(t == "svg" for t, _, _ in stack)):
+                continue
+            attributes = attributes[:-1]
         if tag in RAW:
             if not ends:
                 end = _END[tag].search(html, at)
                 at = end.end() if end else len(html)
             continue
         if tag in INLINE:
-            if tag == "a":
+            if tag == "a" and (ends or not skip):
                 in_link = not ends
             continue
         if tag in ("br", "wbr"):
@@ -129,11 +143,11 @@ def leaf_blocks(html: str) -> list[Block]:
                 parts.append(" ")
             continue
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not skip:
                 flush()
             continue
         if ends:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
+            if tag == "p" and not skip and not any(t == "p" for t, _, _ in stack):
                 flush()
             close(tag, ("table",) if tag in ("p", "div", "li") else ())
             continue
@@ -144,10 +158,10 @@ def leaf_blocks(html: str) -> list[Block]:
                 close(other, CLOSES[tag][1])
         if tag == "body":
             close("head")
-        flush()
-        attributes = m[3] if m[2] else m[6]
-        if attributes.endswith("/"):
-            attributes = attributes[:-1]
+        if tag in ("button", "select"):
+            close(tag)
+        if not skip and tag not in APART:
+            flush()
         key = (tag, attributes)
         if (known := described.get(key)) is None:
             known = described[key] = _describe(tag, attributes)

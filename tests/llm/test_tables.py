@@ -298,6 +298,18 @@ def test_extraction_of_other_layouts():
     assert extract.extract(page, model) == "Title <1> First &amp; second, third line. Next One Two"
 
 
+def test_blocks_after_elements_that_are_skipped():
+    for page, want in (
+        ("<p>One <svg class=i /> two</p><p>Three</p><svg><path d=x /><title/><g>no</g></svg><p>Four</p>", ["One two", "Three", "Four"]),
+        ("<div><p>One <button>no<p>Two</div><p>Three</p>", ["One", "Three"]),
+        ("<div><p>One <button>no</div><p>Two <button>no<div>no</div></button>three</p>", ["One", "Two three"]),
+        ("<p>One <select><option>no<option>no</select>two</p><audio><p>no</audio><ul><li><video>no<li>Three</ul>", ["One two", "Three"]),
+        ("<section><object><canvas>no</section>One<noscript><p>no</p></noscript><hr>Two<script>'</p>'</script>", ["One", "Two"]),
+    ):
+        assert [b.text for b in leaf_blocks(page)] == want
+    assert [b.path for b in leaf_blocks("<div><p>One <button><div>no</div>")] == [("div", "p")]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "<p", "x"), (4, "u", "<div>" * 3000 + "x", "x"), (5, "u", "&#0;&bogus;<b>", "x"), (5, "u", "<p>a</p>" * 5000, "x"), (None, None, "<script>never closed", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
