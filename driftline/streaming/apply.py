@@ -57,7 +57,8 @@ def load_snapshot(rows: DataFrame, target: KeyedTarget, origin: str, chunk: int
 
     The rows rank at ``at`` in the target's order: by default below every streamed change, so that neither an
     update nor a delete that came in before is undone. A later snapshot, read to repair the table, names the position
-    of the log at which it was read. Each snapshot has an ``origin`` of its own; a chunk that is loaded again is skipped.
+    of the log at which it was read. Each snapshot has an ``origin`` of its own; its chunks may be loaded
+    in any order, and one that is loaded again is skipped.
     """
     if len(target.order) != 1:
         raise ValueError("a snapshot needs a target with a single order column")

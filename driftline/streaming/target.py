@@ -12,7 +12,8 @@ the buffered changes applied, so buffering delays nothing. Both steps write file
 afterwards; a batch that is replayed after a crash is written to the same place or skipped.
 
 Every stream and every snapshot that feeds the table is an origin with batch numbers of its own. Which batches are
-merged is kept per origin; which record of a key wins is decided by the order columns alone.
+merged is kept per origin, as ranges of numbers: the chunks of a snapshot may come in any order. Which record of a key
+wins is decided by the order columns alone.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ _TABLE = -1  # manifest row of the table as a whole, which may have no bucket le
 
 class Manifest(NamedTuple):
     """``buckets`` maps a bucket to the version that holds it and the schema of its files, ``through`` an origin
-    to its last merged batch."""
+    to the ranges (first, last) of its merged batches."""
 
     version: int
-    through: dict[str, int]
+    through: dict[str, list[tuple[int, int]]]
     schema: str
     buckets: dict[int, tuple[int, str]]
 
@@ -76,6 +77,11 @@ class Status(NamedTuple):
     manifest: Manifest
     pending: list[Batch]
 
+    def holds(self, origin: str, batch_id: int) -> bool:
+        """Whether a batch is merged or buffered."""
+        merged = any(first <= batch_id <= last for first, last in self.manifest.through.get(origin, []))
+        return merged or (origin, batch_id) in {(b.origin, b.batch) for b in self.pending}
+
     @property
     def records(self) -> int:
         return sum(b.records for b in self.pending)
@@ -99,13 +105,13 @@ class KeyedTarget:
     def buffer(self, changes: DataFrame, batch_id: int, origin: str = "stream") -> Status:
         """Keep the last change per key of one batch; a batch that its origin has already brought is skipped.
 
-        The numbers of an origin rise, from 0 on.
+        The numbers of an origin start at 0 and may come in any order.
         """
         if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", origin):
             raise ValueError(f"an origin names a folder and starts with a letter: {origin!r}")
         spark = changes.sparkSession
         status = self.status(spark)
-        if batch_id <= status.manifest.through.get(origin, -1) or (origin, batch_id) in {(b.origin, b.batch) for b in status.pending}:
+        if status.holds(origin, batch_id):
             return status
         newest = latest_per_key(self._same_keys(changes, status), self.keys, self.order)
         newest = conform(newest, relax(newest.schema))
@@ -169,8 +175,8 @@ class KeyedTarget:
                 del buckets[gone]
         rows = {_TABLE: (version, schema), **buckets}
         through = dict(manifest.through)
-        for batch in pending:
-            through[batch.origin] = max(batch.batch, through.get(batch.origin, -1))
+        for origin in {b.origin for b in pending}:
+            through[origin] = _ranges([*through.get(origin, []), *((b.batch, b.batch) for b in pending if b.origin == origin)])
         commit(
             spark,
             f"{self.path}/_manifests",
@@ -195,8 +201,7 @@ class KeyedTarget:
 
     def holds(self, spark: SparkSession, batch_id: int, origin: str = "stream") -> bool:
         """Whether a batch of an origin is in."""
-        status = self.status(spark)
-        return batch_id <= status.manifest.through.get(origin, -1) or (origin, batch_id) in {(b.origin, b.batch) for b in status.pending}
+        return self.status(spark).holds(origin, batch_id)
 
     def exists(self, spark: SparkSession) -> bool:
         """Whether anything is committed."""
@@ -289,7 +294,9 @@ class KeyedTarget:
         rows = sorted((r for r in recent if r.version == self._seen), key=lambda r: (r.data, r.bucket))
         buckets = {r.bucket: (r.data, r.schema) for r in rows}
         _, schema = buckets.pop(_TABLE)
-        return Manifest(self._seen, json.loads(rows[0].through), schema, buckets)
+        # A number alone, as earlier versions of this module wrote it, stands for all batches up to it.
+        through = {o: [(0, r)] if isinstance(r, int) else [tuple(x) for x in r] for o, r in json.loads(rows[0].through).items()}
+        return Manifest(self._seen, through, schema, buckets)
 
     def _changes(self, spark: SparkSession, batches: list[Batch]) -> DataFrame | None:
         return _read(spark, [(f"{self.path}/delta/origin={b.origin}/batch={b.batch}", b.schema) for b in batches])
@@ -299,11 +306,23 @@ class KeyedTarget:
         return _read(spark, files)
 
 
+def _ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of numbers, those that touch as one: as many as there are gaps."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(last, out[-1][1])
+        else:
+            out.append((first, last))
+    return out
+
+
 def _merged(manifest: Manifest) -> Column:
-    """Whether a batch is merged: one comparison per origin."""
+    """Whether a batch is merged: one comparison per range of an origin."""
     merged = F.lit(False)
-    for origin, last in manifest.through.items():
-        merged = merged | ((F.col("origin") == origin) & (F.col("batch") <= last))
+    for origin, ranges in manifest.through.items():
+        inside = reduce(Column.__or__, (F.col("batch").between(first, last) for first, last in ranges))
+        merged = merged | ((F.col("origin") == origin) & inside)
     return merged
 
 

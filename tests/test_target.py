@@ -346,6 +346,17 @@ def test_origins_do_not_hide_each_other(spark, tmp_path):
         assert table(target, spark) == sorted(r for r in want.values() if r[1] != "d")
 
 
+def test_chunks_of_a_snapshot_come_in_any_order(spark, tmp_path):
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
+    for n in (2, 2, 0, 3, 1, 0):
+        load_snapshot(spark.range(4 * n, 4 * n + 4).selectExpr("id", "cast(id as string) v"), target, "one", n)
+        target.buffer(spark.createDataFrame([(4 * n, "u", 5, "new")], LOG), n)
+        target.merge(spark)
+    assert [(r.id, r.v) for r in target.read(spark).orderBy("id").collect()] == [(k, "new" if k % 4 == 0 else str(k)) for k in range(16)]
+    assert target.status(spark).manifest.through == {"one": [(0, 3)], "stream": [(0, 3)]} and not target.status(spark).pending
+    assert target.holds(spark, 1, "one") and not target.holds(spark, 4, "one")
+
+
 def test_origins_are_plain_names(spark, tmp_path):
     with pytest.raises(ValueError, match="origin"):
         KeyedTarget(f"{tmp_path}/t", ["id"]).buffer(spark.createDataFrame([], LOG), 0, "a/b")
