@@ -47,10 +47,14 @@ def repeated_lines(text: bytes) -> int:
 
 
 def repeated_words(ids: np.ndarray) -> int:
-    """Words in windows of three that occur twice or more; ``ids`` are word numbers below 2^21."""
+    """Words in windows of three that occur twice or more; ``ids`` are word numbers below 2^31."""
     if len(ids) < 4:
         return 0
-    windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    if (top := int(ids.max()) + 1) <= 1 << 21:
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    else:  # three numbers do not fit: pairs are numbered first
+        pairs = np.unique(ids[:-2] * top + ids[1:-1], return_inverse=True)[1]
+        windows = pairs * top + ids[2:]
     order = np.argsort(windows, kind="stable")
     ranked = windows[order]
     same = ranked[1:] == ranked[:-1]

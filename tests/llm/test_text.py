@@ -112,6 +112,13 @@ def test_rules_equal_plain_counts(spark, sf, docs, odd, none):
     assert rules.keep(odd).columns == odd.columns
 
 
+def test_repeated_words_of_many_distinct_words():
+    n = 1 << 21
+    assert rules.repeated_words(np.array([0, 0, n, 5, 0, 1, 0])) == 0
+    assert rules.repeated_words(np.array([n, 1, n + 7, 5, n, 1, n + 7])) == 6
+    assert rules.repeated_words(np.arange(2 * n)) == 0
+
+
 def test_perplexity_bands(spark, sf, docs):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     rows = [r for r in rules.judge(docs).collect() if not r.base_failed and r.id in labels]
