@@ -79,3 +79,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
 def as_bytes(column: pa.Array) -> Sequence[bytes]:
     """Texts as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The text cut after spaces into pieces of about ``most`` bytes; a longer run without a space stays whole."""
+    start = 0
+    while len(text) - start > most:
+        end = text.rfind(b" ", start, start + most) + 1 or text.find(b" ", start + most) + 1 or len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]

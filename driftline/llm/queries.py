@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, extract, gam, mixing, prefixes, revisits, rules, simhash, trie_scoring
+from driftline.llm import ann, bpe, extract, gam, mixing, prefixes, ranking, revisits, rules, simhash, trie_scoring
 from driftline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,36 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+RANKED_SQL = r"""
+with cut as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), docs as (
+    select doc_id, terms, len(terms)::bigint as n, row_number() over (order by doc_id) as place from cut where len(terms) > 0
+), totals as (
+    select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from docs
+), items as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+), asked as (
+    select item_id, term, count(*)::bigint as q from items group by all
+), held as (
+    select doc_id, place, n, term, count(*)::bigint as tf from (select doc_id, place, n, unnest(terms) as term from docs)
+    where term in (select term from asked) group by all
+), weights as (
+    select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, totals group by term
+), scores as (
+    select item_id, place, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+    from asked join held using (term) join weights using (term), totals group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0
+qualify rank <= 10
+"""
+
+
+@register(RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnRenamed("id", "doc_id")
