@@ -82,10 +82,11 @@ def as_bytes(column: pa.Array) -> Sequence[bytes]:
 
 
 def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """The text cut after spaces into pieces of about ``most`` bytes; a longer run without a space stays whole."""
+    """The text cut after spaces or line ends into pieces of about ``most`` bytes; a longer run without any stays whole."""
     start = 0
     while len(text) - start > most:
-        end = text.rfind(b" ", start, start + most) + 1 or text.find(b" ", start + most) + 1 or len(text)
+        end = max(text.rfind(c, start, start + most) for c in (b" ", b"\n")) + 1
+        end = end or min((e for c in (b" ", b"\n") if (e := text.find(c, start + most) + 1)), default=len(text))
         yield text[start:end]
         start = end
     yield text[start:]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bpe, extract, gam, mixing, prefixes, ranking, revisits, rules, simhash, trie_scoring
+from driftline.llm import ann, bpe, extract, gam, mixing, prefixes, rank_profiles, ranking, revisits, rules, simhash, trie_scoring, variants
 from driftline.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,55 @@ qualify rank <= 10
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
     return found.withColumnRenamed("id", "doc_id")
+
+
+VARIANTS_SQL = r"""
+with steps as (
+    select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+    from (select unnest(range(256)) as i)
+), found as (
+    select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as r from documents) group by all
+), hashed as (
+    select run, n, xor(list_reduce(flatten(list_transform(string_split(doc_id || ':' || run, ''),
+            lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 | (unicode(x)::bigint >> 6), 128 | (unicode(x)::bigint & 63)] end)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h
+    from found, steps where length(run) >= 6
+), results as (
+    select n, case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from hashed
+), words as (
+    select word, sum(n)::bigint as n from results where length(word) >= 6 group by word having sum(n) >= 5
+), places as (
+    select word, n, unnest(range(1, length(word) + 1)) as i from words
+), holes as (
+    select word, i, left(word, i - 1) as a, substr(word, i + 1) as b from places
+), near as (
+    select x.word, y.word as other from holes x join holes y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+    union select x.word, y.word from holes x join words y on y.word = x.a || x.b
+    union select y.word, x.word from holes x join words y on y.word = x.a || x.b
+), best as (
+    select near.word, count(*) as n_near, arg_max(struct_pack(w := o.word, n := o.n), (o.n, -p.place)) as top
+    from near join words o on o.word = near.other join (select word, row_number() over (order by word) as place from words) p on p.word = o.word group by near.word
+), forms as (
+    select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when top.n >= 5 * w.n then top.w end as form, case when top.n >= 5 * w.n then top.n end as form_n
+    from words w left join best b on b.word = w.word
+), ways as (
+    with recursive way as (
+        select word, word as here, form as next from forms
+        union all select way.word, f.word, f.form from way join forms f on f.word = way.next
+    ) select word, here as root from way where next is null
+)
+select word, form, root, n, n_near, form_n from forms join ways using (word)
+"""
+
+
+@register(VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = rank_profiles.learn_profiles(docs, learn=fold("doc_id", 4) != 2)
+    return rank_profiles.identify(docs, profiles).select(F.col("id").alias("doc_id"), (fold("id", 4) == 2).alias("held_out"), "lang_pred", "score")
