@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
+from threading import Lock, Thread
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from driftline.functions.lattice import present
 from driftline.operators.snapshot import BEFORE_STREAM
@@ -29,12 +31,15 @@ def stream_apply(
     prepare: Callable[[DataFrame, int], DataFrame] | None = None,
     origin: str = "stream",
     merge_batches: int = 60,
+    merge_seconds: float | None = None,
 ) -> StreamingQuery:
     """Buffer each micro-batch and merge once ``merge_records`` changes, or ``merge_batches`` batches, have gathered.
 
     A merge reads and writes every bucket it touches, which for changes spread over all keys is the
     whole table: let ``merge_records`` grow with it. ``merge_batches`` bounds what readers apply, also where few
-    changes come. Every ``compact_every``-th batch compacts as well.
+    changes come. ``merge_seconds`` bounds how long changes stay buffered, whether more come or the stream falls silent:
+    then Spark's idle events, one per ``spark.sql.streaming.noDataProgressEventInterval``, bring the merge about. Every
+    ``compact_every``-th batch compacts as well.
 
     ``every`` is the interval of the micro-batches; None works off what is there and stops. The target
     is created by its first batch, with that batch's schema. Streams and snapshots that feed one target differ in
@@ -42,14 +47,77 @@ def stream_apply(
     and its id, for what a stream's fixed schema cannot express. A failed micro-batch is repeated from the checkpoint
     under its old id, which the target recognises.
     """
+    waits = _Waits(merge_seconds)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         status = target.buffer(prepare(batch, batch_id) if prepare else batch, batch_id, origin)
-        if status.records >= max(merge_records, 1) or len(status.pending) >= merge_batches:
-            target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
+        waits.begin()
+        if status.records >= max(merge_records, 1) or len(status.pending) >= merge_batches or waits.over():
+            with waits.merging:
+                target.merge(spark, compact=(batch_id + 1) % compact_every == 0, status=status)
+                waits.end()
 
-    return _start(changes, apply, f"{target.path}/_checkpoint/{origin}", every)
+    query = _start(changes, apply, f"{target.path}/_checkpoint/{origin}", every)
+    if merge_seconds is not None:
+        changes.sparkSession.streams.addListener(_Quiet(changes.sparkSession, query.id, target, waits))
+    return query
+
+
+class _Waits:
+    """Since when the changes of a stream wait to be merged."""
+
+    def __init__(self, most: float | None):
+        self.most = most
+        self.since: float | None = None
+        self.merging = Lock()
+
+    def begin(self) -> None:
+        if self.since is None:
+            self.since = time.monotonic()
+
+    def over(self) -> bool:
+        since = self.since
+        return self.most is not None and since is not None and time.monotonic() - since >= self.most
+
+    def end(self) -> None:
+        self.since = None
+
+
+class _Quiet(StreamingQueryListener):
+    """Merges what a silent stream has left buffered for too long.
+
+    Events come on a thread that all queries share, so the merge has a thread of its own; there is one at a time.
+    """
+
+    def __init__(self, spark: SparkSession, query_id: str, target: KeyedTarget, waits: _Waits):
+        self.spark, self.query_id, self.target, self.waits = spark, query_id, target, waits
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        # A trigger that finds nothing new may report progress rather than idleness.
+        self._look(event.progress.id)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._look(event.id)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.id) == str(self.query_id):
+            Thread(target=self.spark.streams.removeListener, args=(self,), daemon=True).start()
+
+    def _look(self, query_id) -> None:
+        if str(query_id) == str(self.query_id) and self.waits.over() and self.waits.merging.acquire(blocking=False):
+            Thread(target=self._merge, daemon=True).start()
+
+    def _merge(self) -> None:
+        try:
+            if self.waits.over():
+                self.target.merge(self.spark)
+                self.waits.end()
+        finally:
+            self.waits.merging.release()
 
 
 def load_snapshot(rows: DataFrame, target: KeyedTarget, origin: str, chunk: int = 0, at: int = BEFORE_STREAM) -> None:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.operators.changes import normalise
 from driftline.operators.schema import ordered
-from driftline.streaming.commits import commit, committed, latest
+from driftline.streaming.commits import attempt, commit, committed, latest
 
-_VERSIONS = "complete boolean, version bigint"
+_VERSIONS = "folder string, version bigint"
 
 
 def append(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -20,16 +20,18 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
     """Reload a table from ``df`` (which may read the table itself) and return the new version.
 
     The rows are staged as a new version and only then become current, so the old rows stay readable
-    until the load is complete. An empty load is refused unless allowed.
+    until the load is complete. An empty load is refused unless allowed. Of loads that run at the same time the one
+    that ends last stays.
     """
     spark = df.sparkSession
     version = (current_version(spark, path) or 0) + 1
-    staged = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(staged)
+    folder = f"version={attempt(version)}"
+    df.write.parquet(f"{path}/{folder}")
     # The staged rows are looked at, so that the load is computed once.
-    if not allow_empty and spark.read.parquet(staged).isEmpty():
+    if not allow_empty and spark.read.parquet(f"{path}/{folder}").isEmpty():
         raise ValueError("refusing to replace a table by nothing")
-    commit(spark, f"{path}/_versions", "version", version, complete=[True])
+    while not commit(spark, f"{path}/_versions", "version", version, folder=[folder]):
+        version = latest(spark, f"{path}/_versions", "version", version) + 1
     return version
 
 
@@ -42,7 +44,7 @@ def backfill(target: DataFrame, path: str, types: dict[str, str], columns: str |
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    return latest(committed(spark, f"{path}/_versions", _VERSIONS), "version")
+    return latest(spark, f"{path}/_versions", "version") or None
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
@@ -50,4 +52,5 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     version = current_version(spark, path)
     if version is None:
         raise ValueError(f"nothing committed under {path}")
-    return spark.read.parquet(f"{path}/version={version}")
+    entry = committed(spark, f"{path}/_versions/version={version}", _VERSIONS)
+    return spark.read.parquet(f"{path}/{entry.first().folder}")
