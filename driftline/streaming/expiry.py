@@ -1,16 +1,27 @@
-"""Entries that run out: a stream of the deletes that their time to live brings about."""
+"""Entries that run out: a stream of the deletes that their time to live brings about.
+
+Spark keeps the puts of each key as state and wakes a key by a timer when an end comes, so a micro-batch costs as much as
+its puts and the ends that come in it, however many entries there are. The clock is the watermark of the puts, in
+whole milliseconds. It gates nothing: the column it is taken from does not reach the stateful operator, which thus
+sees every put, however late.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from driftline.streaming.target import KeyedTarget
 
-PUTS, EXPIRED = "puts", "expired"
+PUTS = "puts"
+#: The order of an entry's records: the moment they speak of, then how often that moment has been spoken of.
+ORDER = ("lsn", "turn")
+_STATES = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_expirations(
@@ -21,52 +32,147 @@ def stream_expirations(
     ttl: Column,
     every: str | None = None,
     merge_batches: int = 20,
+    late: int | None = None,
 ) -> StreamingQuery:
-    """Writes one delete (keys, ``op``, ``lsn``, ``ts``) under ``path`` for each entry whose time has run out.
+    """Writes under ``path`` one delete for each entry whose time has run out, and a correction where a put that
+    comes late takes it back; ``expirations`` reads what stands.
 
     The last put of a key decides, whatever order they arrive in: it replaces the time to live of the one before, and
-    puts without one, or with none above zero, live on. An entry runs out where its time ends before the next put of
-    its key and lies no later than the latest put of all, which is the clock; a put at the very end of the
-    time comes in time. Nothing is late: a put that arrives after its own end has its delete written at once.
+    puts without one, or with none above zero, live on. Of puts at the same time the one that ends last counts, and
+    any end goes before none. An entry runs out where its time ends before the next put of its key and
+    lies no later than the latest put of all, which is the clock; a put at the very end of the time comes in time.
+
+    ``target`` keeps the entries by key, in the order ``ORDER``: the time in microseconds, and a turn that tells a
+    correction from what it corrects. ``ttl`` is in seconds. ``late`` bounds the state of a key: of the puts that lie more
+    seconds behind the clock only the last is kept, so that one which comes later than that and lies before it
+    is neither an end nor the end of another. The entries are the same for any bound; without one, so is every delete.
 
-    ``target`` keeps the entries by key; its order is ``lsn``, the time of the put in microseconds. ``ttl`` is in
-    seconds. A batch's deletes are written before its puts are kept, so that a batch repeated after a crash gives the
-    same, or is skipped.
+    A batch is written once and then kept in the target; a batch repeated after a crash comes from the same state.
     """
+    if tuple(target.order) != ORDER:
+        raise ValueError(f"the target of entries is ordered by {ORDER}")
+    spark = puts.sparkSession
     keys = target.keys
+    lsn = F.unix_micros(F.col(at).cast("timestamp"))
+    end = F.when(ttl > 0, lsn + ttl.cast("bigint") * 1_000_000)
+    clocked = puts.withColumn("_clock", F.col(at).cast("timestamp")).withWatermark("_clock", "0 seconds")
+    rows = clocked.select(*keys, lsn.alias("starts"), end.alias("ends"))
+    kinds = [rows.schema[k] for k in keys]
+    out = T.StructType([*kinds, *T.StructType.fromDDL("op string, lsn bigint, turn bigint, ends bigint, expired boolean").fields])
+    records = rows.groupBy(*keys).transformWithState(_entries(keys, late), out, "append", "eventTime")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        lsn = F.unix_micros(F.col(at).cast("timestamp"))
-        end = F.when(ttl > 0, lsn + ttl.cast("bigint") * 1_000_000)
-        rows = batch.select(*keys, F.lit("c").alias("op"), lsn.alias("lsn"), end.alias("ends"))
         where = f"{path}/batch={batch_id}"
-        if not target.holds(spark, batch_id, PUTS):
-            _deletes(rows, target).write.mode("overwrite").parquet(where)
-            target.buffer(rows, batch_id, PUTS)
-        gone = spark.read.parquet(where).select(*keys, "op", "lsn", F.lit(None).cast("bigint").alias("ends"))
-        status = target.buffer(gone, batch_id, EXPIRED)
+        batch.write.mode("overwrite").parquet(where)
+        written = batch.sparkSession.read.schema(out).parquet(where)
+        status = target.buffer(written.drop("expired"), batch_id, PUTS)
         if len(status.pending) >= merge_batches:
-            target.merge(spark, status=status)
+            target.merge(batch.sparkSession, status=status)
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    writer = puts.writeStream.foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint/{PUTS}")
-    return writer.trigger(**trigger).start()
+    writer = records.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", f"{target.path}/_checkpoint/{PUTS}")
+    # a query takes the setting of the moment it is started
+    before = spark.conf.get(_STATES)
+    spark.conf.set(_STATES, _ROCKS)
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        spark.conf.set(_STATES, before)
 
 
-def _deletes(rows: DataFrame, target: KeyedTarget) -> DataFrame:
-    """The entries that run out once the rows are put: those kept whose time has come, and those put over too late."""
-    keys = target.keys
-    if target.exists(rows.sparkSession):
-        held = target.read(rows.sparkSession).select(*rows.columns)
-        rows = rows.unionByName(held)
-    clock = rows.agg(F.max("lsn").alias("_clock"))
-    in_turn = Window.partitionBy(*keys).orderBy("lsn", "ends")
-    timed = rows.withColumn("_next", F.lead("lsn").over(in_turn)).crossJoin(F.broadcast(clock))  # one row
-    over = F.coalesce(F.col("ends") < F.col("_next"), F.lit(True)) & (F.col("ends") <= F.col("_clock"))
-    return timed.filter(over).select(*keys, F.lit("d").alias("op"), F.col("ends").alias("lsn"), F.timestamp_micros("ends").alias("ts"))
+def expirations(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The deletes (keys, ``op``, ``lsn``, ``ts``) that stand: the last word on each end."""
+    said = spark.read.parquet(path).filter(F.col("expired").isNotNull())
+    last = said.groupBy(*keys, "lsn").agg(F.max_by("expired", "turn").alias("_expired"))
+    return last.filter("_expired").select(*keys, F.lit("d").alias("op"), "lsn", F.timestamp_micros("lsn").alias("ts"))
 
 
-def expirations(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The deletes written so far."""
-    return spark.read.parquet(path).select(*keys, "op", "lsn", "ts")
+def _entries(names: Sequence[str], late: int | None) -> StatefulProcessor:
+    """The state of a key. Defined within a function, so that it travels to the tasks by itself."""
+    from bisect import bisect_left, bisect_right
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Entries(StatefulProcessor):
+        """``starts`` and ``ends`` are the puts in order, ``settled`` the first of them if older ones are forgotten.
+        ``places`` are the ends on which something was written, with the turn of the last word and what it was: whether
+        the entry expired there, and whether it was alive."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            puts = "settled bigint, starts array<bigint>, ends array<bigint>, "
+            said = "places array<bigint>, turns array<bigint>, expired array<boolean>, alive array<boolean>"
+            self.state = handle.getValueState("entry", puts + said)
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+            settled, starts, ends, said = self._load()
+            fresh = []
+            for r in rows:
+                if settled is not None and r.starts < settled:
+                    continue
+                i = bisect_left(starts, r.starts)
+                if i < len(starts) and starts[i] == r.starts:
+                    if r.ends is None or (ends[i] is not None and ends[i] >= r.ends):
+                        continue
+                    ends[i] = r.ends
+                else:
+                    starts.insert(i, r.starts)
+                    ends.insert(i, r.ends)
+                fresh.append((r.starts, r.ends))
+            for start, end in fresh:
+                yield self._row(key, "c", start, 0, end, None)
+            yield from self._tell(key, settled, starts, ends, said, timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+            yield from self._tell(key, *self._load(), timerValues.getCurrentWatermarkInMs())
+
+        def _load(self):
+            held = self.state.get()
+            if held is None:
+                return None, [], [], {}
+            settled, starts, ends, *rest = held
+            return settled, list(starts), list(ends), {place: tuple(x) for place, *x in zip(*rest, strict=True)}
+
+        def _tell(self, key, settled, starts, ends, said, now):
+            """Writes what has changed at any place, and keeps the state."""
+            coming = []
+            for i, end in enumerate(ends):
+                if end is not None and (i + 1 == len(starts) or end < starts[i + 1]):
+                    if end > now * 1000:
+                        coming.append(end)
+                    elif end not in said:
+                        said[end] = (0, False, None)
+            for place in sorted(said):
+                turn, was, alive = said[place]
+                i = bisect_right(starts, place) - 1
+                if i < 0:  # its put is settled, and so is the place
+                    continue
+                end = ends[i]
+                is_end = end == place
+                lives = end is None or end > place
+                if turn == 0 or (is_end, lives) != (was, alive):
+                    said[place] = (turn + 1, is_end, lives)
+                    yield self._row(key, "c" if lives else "d", place, turn + 1, end if lives else None, is_end)
+            for end in coming:
+                # a timer is due at a time or just after it: one more is set if it comes early
+                due = -(-end // 1000)
+                self.handle.registerTimer(due - 1 if now < due - 1 else due)
+            if late is not None:
+                old = bisect_right(starts, now * 1000 - late * 1_000_000) - 1
+                if old > 0:
+                    del starts[:old], ends[:old]
+                    settled = starts[0]
+                    for place in [p for p in said if p < starts[0]]:
+                        del said[place]
+            places = sorted(said)
+            columns = zip(*(said[p] for p in places), strict=True) if places else ((), (), ())
+            self.state.update((settled, starts, ends, places, *(list(c) for c in columns)))
+
+        def _row(self, key, op, lsn, turn, ends, expired):
+            return Row(**dict(zip(names, key, strict=True)), op=op, lsn=lsn, turn=turn, ends=ends, expired=expired)
+
+        def close(self) -> None:
+            pass
+
+    return Entries()
