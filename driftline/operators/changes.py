@@ -96,33 +96,45 @@ def drop_deleted(df: DataFrame) -> DataFrame:
 
 
 def apply_changes(
-    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], few: bool = False
+    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], few: bool = False, whole_keys: bool = False
 ) -> DataFrame:
     """The state after the changes, deletes kept as tombstones.
 
     ``state`` holds one record per key and both sides have the same columns. A change older than the
     state's record of its key is ignored. ``order`` is unique per key across batches, as positions of a log are:
-    of records that tie, the last applied stays. See ``kept_and_fresh`` for what ``few`` does.
-    """
-    kept, fresh = kept_and_fresh(state, changes, keys, order, few)
-    return kept.unionByName(fresh)
-
-
-def kept_and_fresh(
-    state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], few: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """The state's records that stay, and the changes that take effect.
+    of records that tie, the last applied stays.
 
-    The state is never aggregated, only filtered by the keys of the changes. A caller that has bounded the
-    number of changes and the bytes of their keys and order says ``few``: those are then broadcast and the state is not
-    shuffled at all. Otherwise Spark chooses by its statistics, and joins on keys unique on both sides.
+    One full outer join: the state and the changes are read once each. ``whole_keys`` promises that no key has a NULL
+    part; a state that is bucketed by its keys is then not shuffled. Few changes leave any state where it is, see
+    ``kept_and_fresh``.
+    """
+    if few:
+        kept, fresh = kept_and_fresh(state, changes, keys, order)
+        return kept.unionByName(fresh)
+    newest = latest_per_key(changes.select(*state.columns), keys, order)
+    old = state.withColumn("_there", F.lit(True)).alias("_old")
+    new = newest.withColumn("_there", F.lit(True)).alias("_new")
+    of = lambda side, c: F.col(f"{side}.`{c}`")
+    same_key = [of("_old", k) == of("_new", k) if whole_keys else of("_old", k).eqNullSafe(of("_new", k)) for k in keys]
+    # records compare with NULL as the least
+    place = lambda side: F.struct(*[of(side, c) for c in order])
+    takes = of("_old", "_there").isNull() | (of("_new", "_there").isNotNull() & (place("_new") >= place("_old")))
+    joined = old.join(new, same_key, "full_outer")
+    return joined.select(*[F.when(takes, of("_new", c)).otherwise(of("_old", c)).alias(c) for c in state.columns])
+
+
+def kept_and_fresh(state: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The state's records that stay, and the changes that take effect, for few changes.
+
+    The state is only filtered by the keys of the changes. These are broadcast, with their order, and the state
+    is not shuffled at all: the caller has bounded their number and bytes.
     """
     newest = latest_per_key(changes.select(*state.columns), keys, order)
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     # The newest place per key is aggregated apart: it needs no row images, only keys and order.
     mark = changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(place).alias("_newest"))
     # Neither the marks nor the late keys are more than the changes.
-    small = F.broadcast if few else lambda df: df
+    small = F.broadcast
     # A NULL key part equals another one, as it does where records are grouped.
     same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     mark = small(mark)

@@ -2,37 +2,43 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.changes import apply_changes, drop_deleted
+from driftline.operators.changes import drop_deleted, latest_per_key
 from driftline.sessions import workspace
 
 CHUNK_SIZE = 10_000
+KEYS_PER_RANGE = 10_000_000
 BEFORE_STREAM = -1
 
 _POSITION_BITS = 33  # monotonically_increasing_id() is the row number plus the partition number times 2^33
 
 
-def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE, partitions: int | None = None) -> DataFrame:
+def snapshot_plan(
+    df: DataFrame, key: str | Sequence[str], chunk_size: int = CHUNK_SIZE, partitions: int | None = None, within: Sequence[str] = ()
+) -> DataFrame:
     """Chunk number, first key (``lo``), last key (``hi``) and row count; empty for an empty table.
 
     With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are
     range-partitioned and numbered within their partition; a partition's offset is the size of all
     partitions before it. The numbered keys are written to the shared folder, because both passes must see the
     same partition borders, also after a lost executor. ``key`` is the table's primary key, hence unique and never
-    hot. ``partitions`` is the number of ranges, the session's number of shuffle partitions by default: choose it so that
-    the keys of a range fit into a task.
+    hot. ``partitions`` is the number of ranges: by default as many as keep some ten million keys in each, and no less than
+    the session's number of shuffle partitions. No chunk holds keys that differ in the first columns ``within``: where
+    they change a chunk is cut in two, which keep its number.
     """
     spark = df.sparkSession
-    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = F.col(key) if isinstance(key, str) else F.struct(*key)
+    ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / KEYS_PER_RANGE))
     part = F.spark_partition_id().cast("bigint")
     path = workspace(spark, "snapshot-keys")
     (
-        df.select((F.col(key) if isinstance(key, str) else F.struct(*key)).alias("_key"))
+        df.select(named.alias("_key"))
         .repartitionByRange(ranges, "_key")
         .sortWithinPartitions("_key")
         .select("_key", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part, _POSITION_BITS)).alias("_pos"))
@@ -42,16 +48,19 @@ def snapshot_plan(df: DataFrame, key: str | Sequence[str], chunk_size: int = CHU
     # One row per range partition, at most as many as the ranges asked for: small enough for one
     # window and for a broadcast by construction.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    most = (1 << _POSITION_BITS) - 1
+    size = F.when(F.col("_size") <= most, F.col("_size")).otherwise(F.raise_error(F.lit(f"a range holds more than {most} keys: ask for more partitions")))
     starts = (
         keys.groupBy("_part")
         .agg(F.count("*").alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+        .select("_part", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("_start"))
     )
     chunk = F.expr(f"(_start + _pos) div {int(chunk_size)}")
     return (
         keys.join(F.broadcast(starts), "_part")
-        .groupBy(chunk.alias("chunk"))
+        .groupBy(*[F.col(f"_key.{c}").alias(f"_{c}") for c in within], chunk.alias("chunk"))
         .agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.count("*").alias("n"))
+        .select("chunk", "lo", "hi", "n")
     )
 
 
@@ -72,9 +81,11 @@ def handoff(
 ) -> DataFrame:
     """Snapshot rows and the changes streamed meanwhile, as one state.
 
-    A snapshot row ranks below every streamed change of its key, deletes included.
+    A snapshot row ranks below every streamed change of its key, deletes included: it stays if its key has none.
     """
-    kind = changes.schema[order].dataType
-    base = snapshot.withColumns({"op": F.lit("r"), order: F.lit(BEFORE_STREAM).cast(kind)}).select(*changes.columns)
-    state = apply_changes(base, changes, keys, [order])
+    newest = latest_per_key(changes, keys, [order])
+    base = snapshot.withColumns({"op": F.lit("r"), order: F.lit(BEFORE_STREAM).cast(changes.schema[order].dataType)})
+    changed = changes.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    untouched = base.join(changed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    state = untouched.select(*changes.columns).unionByName(newest)
     return state if tombstones else drop_deleted(state)

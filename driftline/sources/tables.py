@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,17 @@ def scan(spark: SparkSession, ref: str) -> DataFrame:
     return spark.read.parquet(ref) if "/" in ref else spark.table(ref)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Save a table in ``buckets`` buckets by its keys, one sorted file each, and return it.
+
+    Joins by the keys find its rows where they belong: no exchange moves them. ``buckets`` is fixed for the table;
+    choose it so that one holds some gigabytes at most.
+    """
+    balanced = df.repartition(buckets, *keys)
+    balanced.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _literal(value: Any) -> str:
     return str(value) if isinstance(value, (int, Decimal)) else "'" + str(value).replace("'", "''") + "'"
 
@@ -45,9 +56,10 @@ def ranges(keys: Sequence[str], bounds: Sequence[Sequence[Any]]) -> list[str]:
 
 def range_bounds(plan: DataFrame, keys: Sequence[str], most: int) -> list[tuple]:
     """The first keys of at most ``most`` runs of chunks of a snapshot plan, but for that of the first run."""
-    step = F.ceil((F.max("chunk").over(Window.partitionBy(F.lit(0))) + 1) / most)
+    last = plan.agg(F.max("chunk")).first()[0] or 0
+    step = -(-(last + 1) // most)
     lo = [F.col("lo")] if len(keys) == 1 else [F.col(f"lo.{k}") for k in keys]
-    starts = plan.withColumn("_step", step).filter((F.col("chunk") > 0) & (F.col("chunk") % F.col("_step") == 0))
+    starts = plan.filter((F.col("chunk") > 0) & (F.col("chunk") % step == 0))
     return [tuple(r) for r in starts.orderBy("chunk").select(*lo).collect()]
 
 

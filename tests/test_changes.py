@@ -173,3 +173,59 @@ def test_null_key_parts_are_equal(spark):
     for few in (False, True):
         got = ch.apply_changes(state, changes, ["a", "b"], ["lsn"], few).collect()
         assert sorted((r.lsn, r.v) for r in got) == [(3, "x"), (4, "y"), (9, "new")]
+
+
+def _plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+def test_a_bucketed_state_is_read_once_and_not_moved(spark, tmp_path):
+    from driftline.sources.tables import save_bucketed
+
+    old = brute([], random_log(list(range(1, 400, 2)), 60, 3))
+    new = random_log(list(range(0, 400, 2)), 90, 4)
+    for name, table_keys in (("state_by_id", ["id"]), ("state_by_both", ["id", "part"])):
+        state = spark.createDataFrame(old, LOG).withColumn("part", F.col("id") % 3)
+        changes = spark.createDataFrame(new, LOG).withColumn("part", F.col("id") % 3)
+        changes.write.parquet(f"{tmp_path}/{name}-changes")
+        changes = spark.read.parquet(f"{tmp_path}/{name}-changes")
+        state = save_bucketed(state, name, f"{tmp_path}/{name}", table_keys, 4)
+        try:
+            limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+            for k in limits:
+                spark.conf.set(k, "-1")
+            applied = ch.apply_changes(state, changes, table_keys, ["lsn"], whole_keys=True)
+            assert sorted((tuple(r)[:4] for r in applied.collect()), key=repr) == brute(old, new)
+            plan = _plan_of(applied)
+        finally:
+            for k in limits:
+                spark.conf.unset(k)
+            spark.sql(f"drop table {name}")
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert len(scans) == 2 and sum("Bucketed: true" in line for line in scans) == 1
+        # all exchanges lie over the changes: the side of the state goes from its scan to the join by itself
+        state_side = plan[plan.index("Join") : plan.index(next(line for line in scans if "Bucketed: true" in line))]
+        assert "Exchange" not in state_side
+
+
+def test_apply_reads_each_side_once(spark, tmp_path):
+    for name in ("s", "c"):
+        spark.range(1_000).selectExpr("id", "'u' as op", "id as lsn", "'v' as v").write.parquet(f"{tmp_path}/{name}")
+    state, changes = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("s", "c"))
+    applied = ch.apply_changes(state, changes, ["id"], ["lsn"])
+    assert applied.count() == 1_000
+    assert sum("FileScan" in line for line in _plan_of(applied).splitlines()) == 2
+
+
+def test_handoff_is_one_anti_join(spark, tmp_path):
+    from driftline.operators.snapshot import handoff
+
+    spark.range(100).selectExpr("id", "'s' as v").write.parquet(f"{tmp_path}/s")
+    spark.range(50, 120).selectExpr("id", "if(id % 7 = 0, 'd', 'u') as op", "id as lsn", "'c' as v").write.parquet(f"{tmp_path}/c")
+    handed = handoff(spark.read.parquet(f"{tmp_path}/s"), spark.read.parquet(f"{tmp_path}/c"), ["id"])
+    got = {r.id: r.v for r in handed.collect()}
+    assert got == {i: "s" if i < 50 else "c" for i in range(120) if i < 50 or i % 7}
+    plan = _plan_of(handed)
+    assert sum("Join" in line for line in plan.splitlines()) == 1 and "LeftAnti" in plan
+    assert sum("FileScan" in line for line in plan.splitlines()) == 3  # the snapshot, the changes, and the keys of the changes
