@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.names import SERVER, SINK_PIPELINE, SOURCE_PIPELINE, TABLE, TOPIC, named
 
-INCOMPLETE = "target schema and table must be specified"
+# The problem that the sync plan names, too.
+INCOMPLETE = "target_incomplete"
 
 
 def routes(tables: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.names import TABLE
+from driftline.functions.names import SINK_PIPELINE, SOURCE_PIPELINE, TABLE, named
 
 
 def with_status(tables: DataFrame, pipelines: DataFrame) -> DataFrame:
@@ -48,13 +48,34 @@ def sync_plan(tables: DataFrame) -> DataFrame:
     )
 
 
-def retire_plan(tables: DataFrame) -> DataFrame:
-    """One row per object to remove for tables that are disabled or not annotated, the target first."""
-    off = tables.filter(~F.coalesce("annotation.enabled", F.lit(False)))
+def retire_plan(tables: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
+    """One row per object to remove, with its ``name``, for tables that are disabled or not annotated, the target first.
+
+    ``remembered`` (``target_schema``, ``target_table`` per table) tells the targets as they were named when the
+    pipelines started: an annotation that has vanished names none, and one that has changed names another. A target
+    that neither names has no name here. ``shared`` marks a sink whose name a table that stays has as well: names of
+    sinks leave the schema out.
+    """
+    fleet = tables.withColumn("_on", F.coalesce("annotation.enabled", F.lit(False)))
+    kept = fleet.filter("_on").select(named(SINK_PIPELINE).alias("_sink")).distinct().withColumn("_kept", F.lit(True))
+    off = fleet.filter(~F.col("_on")).withColumn("_sink", named(SINK_PIPELINE)).join(kept, "_sink", "left")
+    known = F.lit(None).cast("string")
+    if {"target_schema", "target_table"} <= set(tables.schema["annotation"].dataType.names):
+        # NULL unless both parts are there
+        known = F.concat("annotation.target_schema", F.lit("."), "annotation.target_table")
+    if remembered is not None:
+        old = remembered.select(*TABLE, F.concat_ws(".", "target_schema", "target_table").alias("_target"))
+        off = off.join(old, list(TABLE), "left")
+        known = F.coalesce("_target", known)
+
+    def step(n: int, kind: str, name: Column, shared: Column) -> Column:
+        there = F.col(f"{kind}_exists").alias("there")
+        return F.struct(F.lit(n).alias("step"), F.lit(kind).alias("object"), name.alias("name"), shared.alias("shared"), there)
+
     steps = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("target").alias("object"), F.col("target_exists").alias("there")),
-        F.struct(F.lit(2).alias("step"), F.lit("source").alias("object"), F.col("source_exists").alias("there")),
-        F.struct(F.lit(3).alias("step"), F.lit("sink").alias("object"), F.col("sink_exists").alias("there")),
+        step(1, "target", known, F.lit(False)),
+        step(2, "source", named(SOURCE_PIPELINE), F.lit(False)),
+        step(3, "sink", F.col("_sink"), F.coalesce("_kept", F.lit(False))),
     )
     todo = off.select(*TABLE, F.explode(F.filter(steps, lambda s: s["there"])).alias("_s"))
-    return todo.select(*TABLE, "_s.step", "_s.object")
+    return todo.select(*TABLE, "_s.step", "_s.object", "_s.name", "_s.shared")

@@ -203,3 +203,21 @@ def test_counters_ride_along_with_another_action(spark):
     want = {"scanned": 4, "in_sync": 1, "to_sync": 1, "errors": 1, "active": 1}
     assert counters.get == want
     assert state.scan_counters(sync.sync_plan(tables)).first().asDict() == want
+
+
+def test_retirement_names_the_objects(spark):
+    flags = "target_exists boolean, source_exists boolean, sink_exists boolean"
+    tables = spark.createDataFrame(
+        [("d", "s", "off", (False, "w", "t"), True, True, True), ("d", "s", "vanished", None, True, False, False),
+         ("d", "s", "half", (False, "w", None), True, False, False), ("d", "s", "moved", (False, "new", "t"), True, False, False),
+         ("d", "s2", "off", (True, "w", "t2"), True, True, True)],
+        f"{TABLE}, {ANNOTATION}, {flags}",
+    )
+    plain = {(r.tbl, r.object): (r.name, r.shared) for r in sync.retire_plan(tables).collect()}
+    assert plain == {
+        ("off", "target"): ("w.t", False), ("off", "source"): ("yb-source-d-s-off", False), ("off", "sink"): ("bq-sink-d-off", True),
+        ("vanished", "target"): (None, False), ("half", "target"): (None, False), ("moved", "target"): ("new.t", False),
+    }
+    remembered = spark.createDataFrame([("d", "s", "vanished", "w", "v"), ("d", "s", "moved", "old", "t")], f"{TABLE}, target_schema string, target_table string")
+    named = {r.tbl: r.name for r in sync.retire_plan(tables, remembered).collect() if r.object == "target"}
+    assert named == {"off": "w.t", "vanished": "w.v", "half": None, "moved": "old.t"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import shutil
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -14,7 +16,7 @@ from driftline.operators.changes import drop_deleted, latest_per_key
 from driftline.sources.changes import read_changes
 from driftline.streaming.apply import expand_json, load_snapshot, stream_apply, tolerate
 from driftline.streaming.batch import append, current, current_version, replace_all
-from driftline.streaming.expiry import expirations, stream_expirations
+from driftline.streaming.expiry import ORDER, expirations, stream_expirations
 from driftline.streaming.quarantine import quarantine, write_quarantined
 from driftline.streaming.target import KeyedTarget
 
@@ -177,7 +179,7 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
     target.buffer(spark.createDataFrame([(3, "u", 1, "new")], LOG), 1)
     target.merge(spark)
     versions = [data for data, _ in target._manifest(spark).buckets.values()]
-    assert sorted(versions) == [1] * 7 + [2]
+    assert sorted(v.partition("-")[0] for v in versions) == ["1"] * 7 + ["2"] and len(set(versions)) == 2
     assert target.read(spark).count() == 200
     stale = [r.path for r in target.obsolete(spark).collect()]
     assert len([p for p in stale if "/base/" in p]) == 1
@@ -253,7 +255,7 @@ def test_bad_records_do_not_stop_a_stream(spark, tmp_path):
 
 
 def test_deletes_only_batch_creates_the_target(spark, tmp_path):
-    target = KeyedTarget(f"{tmp_path}/t", ["id"])
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=16)
     with pytest.raises(ValueError, match="nothing committed"):
         target.read(spark)
     target.buffer(spark.createDataFrame([(1, "d", 1, None)], LOG), 0)
@@ -262,7 +264,7 @@ def test_deletes_only_batch_creates_the_target(spark, tmp_path):
 
 
 def test_empty_batch(spark, tmp_path):
-    target = KeyedTarget(f"{tmp_path}/t", ["id"])
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=16)
     target.buffer(spark.createDataFrame([], LOG), 0)
     assert target.read(spark).count() == 0
     target.merge(spark)
@@ -304,7 +306,7 @@ def test_entries_expire_as_the_stream_moves_on(spark, tmp_path):
     ]
     schema = "k string, at timestamp_ntz, ttl int"
     seen = []
-    target = KeyedTarget(f"{tmp_path}/entries", ["k"], buckets=2)
+    target = KeyedTarget(f"{tmp_path}/entries", ["k"], ORDER, buckets=2)
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         puts = read_changes(spark, f"{tmp_path}/in", schema)
@@ -317,9 +319,58 @@ def test_entries_expire_as_the_stream_moves_on(spark, tmp_path):
     assert seen[2] == [("a", 110), ("e", 760)]
     third = [("a", 110), ("d", 1_750), ("e", 760), ("kept", 110), ("short", 100), ("z", 1_560)]
     assert seen[3] == third
-    # What comes late has its delete at once; a shorter life replaces a longer one, and none an end.
-    assert seen[4] == sorted([*third, ("late", 110), ("short", 15)])
-    assert {r.k for r in target.read(spark).collect()} == {"b", "c", "z2", "end"}
+    # What comes late has its delete at once; a shorter life replaces a longer one, and none an end: the deletes
+    # that had been written for them are taken back.
+    kept = [r for r in third if r not in (("kept", 110), ("short", 100))]
+    assert seen[4] == sorted([*kept, ("late", 110), ("short", 15)])
+    assert {r.k for r in target.read(spark).collect()} == {"b", "c", "z2", "end", "kept"}
+
+
+def expired(puts, clock):
+    """By the definition: ends before the next put of the key, up to the clock; and the entries that live on."""
+    puts = sorted({s: e for s, e in sorted(puts, key=lambda p: (p[0], p[1] is not None, p[1] or 0))}.items())
+    gone = [e for i, (_, e) in enumerate(puts) if e is not None and e <= clock and (i + 1 == len(puts) or e < puts[i + 1][0])]
+    last = puts[-1][1]
+    return gone, last is None or last > clock
+
+
+@pytest.mark.parametrize("late", [None, 40])
+def test_every_order_of_arrival_leaves_the_same_entries(spark, tmp_path, late):
+    """Each key brings the same puts in another order, one in each micro-batch; some have two, at the same time or so."""
+    puts = [(0, 100), (30, None), (50, 10), (60, 45), (60, None)]
+    start = datetime(2024, 1, 1)
+    orders = list(itertools.permutations(puts))
+    batches = [[(f"k{i}", start + timedelta(seconds=o[n][0]), o[n][1]) for i, o in enumerate(orders)] for n in range(len(puts))]
+    batches.append([("clock", start + timedelta(seconds=200), None)])
+    schema = "k string, at timestamp_ntz, ttl int"
+    target = KeyedTarget(f"{tmp_path}/entries", ["k"], ORDER, buckets=2)
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n % 2:
+            stream = read_changes(spark, f"{tmp_path}/in", schema, max_files=1)
+            stream_expirations(stream, target, f"{tmp_path}/out", "at", F.col("ttl"), late=late).awaitTermination()
+    micros = int(start.replace(tzinfo=UTC).timestamp()) * 1_000_000
+    gone, lives = expired([(s, t and s + t) for s, t in puts], 200)
+    got = {}
+    for r in expirations(spark, f"{tmp_path}/out", ["k"]).collect():
+        got.setdefault(r.k, []).append((r.lsn - micros) // 1_000_000)
+    if late is None:
+        assert all(sorted(got.get(f"k{i}", [])) == gone for i in range(len(orders)))
+    assert all(max(got.get(f"k{i}", [0])) == gone[-1] for i in range(len(orders)))
+    assert {r.k for r in target.read(spark).collect()} == {"clock"} | ({f"k{i}" for i in range(len(orders))} if lives else set())
+
+
+def test_a_put_that_comes_late_takes_a_written_end_back(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "k string, at timestamp_ntz, ttl int"
+    target = KeyedTarget(f"{tmp_path}/entries", ["k"], ORDER, buckets=2)
+    found = []
+    for rows in ([("a", at(0), 100), ("x", at(200), None)], [("a", at(50), None)], [("a", at(60), 70)], [("a", at(130), 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream_expirations(read_changes(spark, f"{tmp_path}/in", schema), target, f"{tmp_path}/out", "at", F.col("ttl")).awaitTermination()
+        ends = sorted(r.ts.second + 60 * r.ts.minute for r in expirations(spark, f"{tmp_path}/out", ["k"]).collect())
+        found.append((ends, {r.k for r in target.read(spark).collect()}))
+    assert found == [([100], {"x"}), ([], {"a", "x"}), ([130], {"x"}), ([135], {"x"})]
 
 
 def test_origins_do_not_hide_each_other(spark, tmp_path):
@@ -359,7 +410,7 @@ def test_chunks_of_a_snapshot_come_in_any_order(spark, tmp_path):
 
 def test_origins_are_plain_names(spark, tmp_path):
     with pytest.raises(ValueError, match="origin"):
-        KeyedTarget(f"{tmp_path}/t", ["id"]).buffer(spark.createDataFrame([], LOG), 0, "a/b")
+        KeyedTarget(f"{tmp_path}/t", ["id"], buckets=16).buffer(spark.createDataFrame([], LOG), 0, "a/b")
 
 
 def test_keys_that_widen_stay_the_same_keys(spark, tmp_path):
@@ -404,3 +455,153 @@ def test_quarantine(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/q")
     assert kept.filter("side = 'bad'").count() == 2
     assert kept.count() == 6
+
+
+def _overtaken(monkeypatch, module, number, meanwhile):
+    """Runs ``meanwhile`` once, just before the next commit of the kind."""
+    real = module.commit
+    done = []
+
+    def commit(spark, log, kind, n, **columns):
+        if kind == number and not done:
+            done.append(True)
+            meanwhile()
+        return real(spark, log, kind, n, **columns)
+
+    monkeypatch.setattr(module, "commit", commit)
+    return done
+
+
+@pytest.mark.parametrize("second_sees_first", [True, False])
+def test_merges_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch, second_sees_first):
+    """A writes its merge, B merges wholly, then A commits: A must start again."""
+    from driftline.streaming import target as module
+
+    one, two = (KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2) for _ in range(2))
+    one.buffer(spark.createDataFrame([(1, "c", 1, "a")], LOG), 0, "one")
+    early = one.status(spark)
+    two.buffer(spark.createDataFrame([(2, "c", 1, "b")], LOG), 0, "two")
+
+    def other():
+        two.merge(spark, status=None if second_sees_first else module.Status(early.manifest, two.status(spark).pending[1:]))
+
+    done = _overtaken(monkeypatch, module, "version", other)
+    one.merge(spark, status=early)
+    monkeypatch.undo()
+    assert done
+    for target in (one, two, KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)):
+        assert table(target, spark) == [(1, "c", 1, "a"), (2, "c", 1, "b")]
+        target.merge(spark)
+    assert not one.status(spark).pending
+
+
+@pytest.mark.parametrize("merges", [1, 2, 3])
+def test_a_batch_entered_while_others_merge_is_not_lost(spark, tmp_path, monkeypatch, merges):
+    from driftline.streaming import target as module
+
+    one, two = (KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2) for _ in range(2))
+    two.buffer(spark.createDataFrame([(9, "c", 1, "z")], LOG), 0, "two")
+
+    def other():
+        for n in range(1, merges + 1):
+            two.buffer(spark.createDataFrame([(9, "u", 1 + n, "z")], LOG), n, "two")
+            two.merge(spark)
+
+    batch = spark.createDataFrame([(1, "c", 1, "a")], LOG)
+    done = _overtaken(monkeypatch, module, "batch", other)
+    one.buffer(batch, 0, "one")
+    monkeypatch.undo()
+    assert done
+    want = [(1, "c", 1, "a"), (9, "u", 1 + merges, "z")]
+    assert table(KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2), spark) == want
+    one.buffer(batch, 0, "one")  # a replay
+    for n in range(3):
+        two.buffer(spark.createDataFrame([], LOG), 10 + n, "two")
+        two.merge(spark)
+        assert table(two, spark) == want
+
+
+def test_streams_that_merge_one_target_at_the_same_time(spark, tmp_path):
+    rows = {o: [(k, "c", k, o) for k in range(i, 40, 2)] for i, o in enumerate(("one", "two"))}
+    queries = []
+    for origin, some in rows.items():
+        land(spark, some, f"{tmp_path}/{origin}", 4)
+        stream = read_changes(spark, f"{tmp_path}/{origin}", LOG, max_files=1)
+        queries.append(stream_apply(stream, KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3), every=None, origin=origin))
+    for q in queries:
+        q.awaitTermination()
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=3)
+    assert table(target, spark) == sorted(r for some in rows.values() for r in some)
+    assert target.status(spark).manifest.version >= 2
+
+
+def test_the_log_that_is_read_stays_short(spark, tmp_path, monkeypatch):
+    from driftline.streaming import target as module
+
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)
+    read = []
+    real = module.entries
+    monkeypatch.setattr(module, "entries", lambda spark, paths, schema, root: read.append(paths) or real(spark, paths, schema, root))
+    for n in range(12):
+        target.buffer(spark.createDataFrame([(n, "c", n, "v")], LOG), n)
+        if n % 3 == 2:
+            target.merge(spark)
+    read.clear()
+    assert table(KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2), spark) == [(n, "c", n, "v") for n in range(12)]
+    listed = [p for paths in read for p in paths if "/_batches/" in p]
+    assert len(listed) == 2 and sum(len(list((tmp_path / "t" / "_batches" / p.rpartition("/")[2]).rglob("*.parquet"))) for p in listed) == 3
+    assert target.status(spark).manifest.through == {"stream": [(0, 11)]}
+    for path in [r.path for r in target.obsolete(spark).collect()]:
+        shutil.rmtree(path)
+    fresh = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)
+    assert fresh.read(spark).count() == 12 and fresh.holds(spark, 5)
+
+
+def test_a_silent_stream_merges_its_last_batch(spark, tmp_path):
+    name = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200")
+    target = KeyedTarget(f"{tmp_path}/t", ["id"], buckets=2)
+    land(spark, [(1, "c", 1, "a"), (2, "c", 1, "b")], f"{tmp_path}/in", 1)
+    stream = read_changes(spark, f"{tmp_path}/in", LOG)
+    query = stream_apply(stream, target, every="100 milliseconds", merge_records=10**9, merge_seconds=2)
+    try:
+        def wait(done):
+            deadline = time.monotonic() + 60
+            while not done() and time.monotonic() < deadline:
+                time.sleep(0.2)
+            assert done()
+
+        wait(lambda: target.exists(spark))
+        began = time.monotonic()
+        wait(lambda: not target.status(spark).pending and target.status(spark).manifest.version == 1)
+        assert time.monotonic() - began < 30
+        land(spark, [(2, "u", 2, "b2")], f"{tmp_path}/in", 1)
+        wait(lambda: target.status(spark).manifest.version == 2)
+        assert table(target, spark) == [(1, "c", 1, "a"), (2, "u", 2, "b2")]
+    finally:
+        query.stop()
+        spark.conf.set(name, before)
+
+
+def test_counts_follow_the_merges(spark, tmp_path, monkeypatch):
+    from driftline.streaming import target as module
+
+    target = KeyedTarget(f"{tmp_path}/t", ["tbl", "id"], buckets=3, count_by=["tbl"])
+    rng = random.Random(2)
+    kind = "tbl string, id bigint, op string, lsn bigint, v string"
+    for n in range(5):
+        rows = [(rng.choice("abc"), rng.randrange(15), rng.choice("cud"), 100 * n + i, "v") for i in range(30)]
+        if n == 4:
+            rows = [("a", i, "d", 1_000, None) for i in range(15)]
+        target.buffer(spark.createDataFrame(rows, kind), n)
+        target.merge(spark, compact=n == 2, forget_below=F.col("lsn") < 150 if n == 3 else None)
+        whole = {r.tbl: r["count"] for r in target.read(spark).groupBy("tbl").count().collect()}
+        with monkeypatch.context() as m:
+            m.setattr(module.KeyedTarget, "_base", lambda *a: pytest.fail("rows are read"))
+            counted = {r.tbl: r.n for r in target.counts(spark).collect()}
+        assert counted == whole
+    assert "a" not in counted
+    with pytest.raises(ValueError, match="key"):
+        KeyedTarget(f"{tmp_path}/u", ["id"], buckets=2, count_by=["v"])
+    assert KeyedTarget(f"{tmp_path}/u", ["tbl", "id"], buckets=2, count_by=["tbl"]).counts(spark).count() == 0

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.functions.annotations import parse_annotations
-from driftline.functions.lattice import SOURCE_TYPES
 from driftline.operators import catalog as cat
 from driftline.operators.schema import map_types
 from driftline.sources import admin_text as adm
@@ -179,7 +178,8 @@ def stream_lookup(spark, sf_dir):
 
 
 @register(f"""
-select database, schema, tbl, tbl in (select tbl from {text(rel.TARGETS)} t) as target_exists
+select database, schema, tbl, exists (
+    select 1 from {text(rel.TARGETS)} t where t.database = c.database and t.schema = c.schema and t.tbl = c.tbl) as target_exists
 from {text(rel.CATALOG)} c""")
 def exists_check(spark, sf_dir):
     tables = relation(spark, sf_dir, rel.CATALOG).select("database", "schema", "tbl")
@@ -195,13 +195,12 @@ def column_types(spark, sf_dir):
     return types.select("database", "schema", "tbl", F.array_join(entries, ",").alias("types"))
 
 
-_KNOWN = ", ".join(f"('{name}', '{kind}')" for name, kind in SOURCE_TYPES.items())
-
-
 @register(f"""
 select database, schema, tbl, column_name, data_type,
-       case data_type when 'NUMERIC(12,2)' then 'decimal(12,2)' when 'text[]' then 'array<string>'
-            when '_int4' then 'array<int>' when 'varchar(255)' then 'string' else coalesce(kind, 'string') end as target_type
-from {text(rel.COLUMNS)} c left join (values {_KNOWN}) m(name, kind) on name = data_type""")
+       case when data_type like '%(%,%)' then 'decimal' || lower(substr(data_type, 8)) when data_type = 'text[]' then 'array<string>'
+            when data_type = '_int4' then 'array<int>' when data_type = 'integer' then 'int' when data_type = 'boolean' then 'boolean'
+            when data_type = 'double precision' then 'double' when data_type like 'timestamp % time zone' then
+                 case when contains(data_type, 'without') then 'timestamp_ntz' else 'timestamp' end else 'string' end as target_type
+from {text(rel.COLUMNS)} c""")
 def type_map(spark, sf_dir):
     return map_types(relation(spark, sf_dir, rel.COLUMNS)).drop("ordinal_position")

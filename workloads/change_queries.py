@@ -8,14 +8,16 @@ from pyspark.sql import types as T
 from driftline.functions.names import TABLE
 from driftline.operators import changes as ch
 from driftline.operators import schema as sch
+from driftline.operators import signals as sig
 from driftline.operators import snapshot as snap
 from driftline.operators.ledger import row_counts
 from driftline.sessions import workspace
 from driftline.sources.changes import read_changes
-from driftline.sources.tables import query, scan
+from driftline.sources.tables import query, save_bucketed, scan
 from driftline.streaming.apply import load_snapshot, stream_apply
 from driftline.streaming.batch import append, backfill, current, replace_all
 from driftline.streaming.quarantine import quarantine as split_bad
+from driftline.streaming.resnapshot import request_chunks, resnapshot
 from driftline.streaming.target import KeyedTarget
 from workloads import relations as rel
 from workloads.registry import register
@@ -122,6 +124,15 @@ def upsert_delete_apply(spark, sf_dir):
     )
 
 
+@register(f"select * from ({MERGED}) m where op <> 'd'")
+def bucketed_apply(spark, sf_dir):
+    """The same on a state that lies in buckets by its key, and stays there."""
+    path = workspace(spark, "bucketed")
+    state = save_bucketed(relation(spark, sf_dir, rel.ORDER_STATE), f"state_{path.rpartition('-')[2]}", path, ["o_orderkey"], 8)
+    changes = relation(spark, sf_dir, rel.ORDER_CHANGES)
+    return ch.drop_deleted(ch.apply_changes(state, changes, ["o_orderkey"], ["lsn"], whole_keys=True))
+
+
 @register(f"select * from ({MERGED}) m where op <> 'd'")
 def snapshot_stream_handoff(spark, sf_dir):
     rows = scan(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -195,7 +206,7 @@ def cdc_stream_source(spark, sf_dir):
 @register(LATEST_STATE)
 def merge_cadence(spark, sf_dir):
     """The flagship result through the streaming target."""
-    target = KeyedTarget(workspace(spark, "target"), ["user_id"])
+    target = KeyedTarget(workspace(spark, "target"), ["user_id"], buckets=16)
     stream_apply(change_stream(spark, sf_dir), target, every=None).awaitTermination()
     return target.read(spark)
 
@@ -203,7 +214,7 @@ def merge_cadence(spark, sf_dir):
 @register(f"select * from ({MERGED}) m where op <> 'd'")
 def target_merge(spark, sf_dir):
     """A snapshot merged into buckets, then changes that are still buffered when the table is read."""
-    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"])
+    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"], buckets=16)
     target.buffer(relation(spark, sf_dir, rel.ORDER_STATE), 0)
     target.merge(spark)
     target.buffer(relation(spark, sf_dir, rel.ORDER_CHANGES), 1)
@@ -213,7 +224,7 @@ def target_merge(spark, sf_dir):
 @register(f"select * from ({MERGED}) m where op <> 'd'")
 def snapshot_then_stream(spark, sf_dir):
     """Chunks of a snapshot, a stream of changes, and a second snapshot that lags behind it, into one target."""
-    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"])
+    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"], buckets=16)
     orders = scan(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     high = orders.filter("o_totalprice >= 100000")
     load_snapshot(orders.filter("o_totalprice < 100000"), target, "snapshot-1", 0)
@@ -238,16 +249,19 @@ select * from (select * from ({FLEET_LOG}) f
                qualify row_number() over (partition by database, schema, tbl, user_id order by lsn desc) = 1) l where op <> 'd'"""
 
 
-def fleet_target(spark, sf_dir):
-    """One mixed stream applied to the tables of a fleet: one target, whose key tells the table."""
-    target = KeyedTarget(workspace(spark, "fleet"), [*TABLE, "user_id"])
-    mixed = change_stream(spark, sf_dir).select(
+def fleet_log(changes):
+    return changes.select(
         F.concat(F.lit("db"), (F.col("user_id") % 25).cast("string")).alias("database"),
         F.col("event_type").alias("schema"),
         F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("tbl"),
         "user_id", "op", "lsn", "value",
     )
-    stream_apply(mixed, target, every=None).awaitTermination()
+
+
+def fleet_target(spark, sf_dir):
+    """One mixed stream applied to the tables of a fleet: one target, whose key tells the table."""
+    target = KeyedTarget(workspace(spark, "fleet"), [*TABLE, "user_id"], buckets=16, count_by=TABLE)
+    stream_apply(fleet_log(change_stream(spark, sf_dir)), target, every=None).awaitTermination()
     return target
 
 
@@ -256,6 +270,85 @@ def fleet_apply(spark, sf_dir):
     return fleet_target(spark, sf_dir).read(spark)
 
 
+@register(f"select database, schema, tbl, count(*) as n from ({FLEET_STATE}) f group by all")
+def fleet_counts(spark, sf_dir):
+    """The rows of every table of a fleet, from what the merges counted."""
+    return fleet_target(spark, sf_dir).counts(spark)
+
+
+# Tables of users by hash, with their whole histories. What the target missed: the changes of the second quarter.
+USER_LOG = f"""
+select 'db' || cast(user_id % 5 as varchar) as database, 's' || cast(user_id % 3 as varchar) as schema,
+       'u' || cast(user_id % 7 as varchar) as tbl, user_id, op, lsn, event_type, value from {text(rel.CHANGES)} c"""
+
+ASKED = "schema = 's1' and database <> 'db4'"
+
+REPAIRED = f"""
+select database, schema, tbl, user_id, event_type, value from (
+    select * from ({USER_LOG}) u, (select max(event_id) as last from events) m
+    where ({ASKED}) or lsn <= last // 4 or lsn > last // 2
+    qualify row_number() over (partition by user_id order by lsn desc) = 1) l where op <> 'd'"""
+
+
+def user_log(changes):
+    numbered = lambda letter, n: F.concat(F.lit(letter), (F.col("user_id") % n).cast("string"))
+    return changes.select(
+        numbered("db", 5).alias("database"), numbered("s", 3).alias("schema"), numbered("u", 7).alias("tbl"),
+        "user_id", "op", "lsn", "event_type", "value",
+    )
+
+
+def state_at(log, position):
+    known = ch.latest_per_key(log.filter(F.col("lsn") <= position), [*TABLE, "user_id"], ["lsn"])
+    return ch.drop_deleted(known).drop("op", "lsn")
+
+
+def snapshot_signals(log):
+    """Signals that ask for tables again, as requests."""
+    tables = log.select(*TABLE).distinct()
+    raised = tables.filter(ASKED).withColumn("created_at", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return sig.snapshot_requests(sig.signals_for(raised), tables)
+
+
+@register(REPAIRED)
+def resnapshot_live(spark, sf_dir):
+    """Tables that missed a part of their changes, read again by request while the stream and the source move on."""
+    log = user_log(relation(spark, sf_dir, rel.CHANGES))
+    last = log.agg(F.max("lsn")).first()[0]
+    target = KeyedTarget(workspace(spark, "repaired"), [*TABLE, "user_id"], buckets=16)
+    load_snapshot(state_at(log, last // 4), target, "initial")
+    landing, at = workspace(spark, "landing"), [last // 2]
+
+    def advance():
+        """The source moves on by an eighth of the log, and the stream follows it."""
+        before, at[0] = at[0], min(last, at[0] + last // 8 + 1)
+        log.filter((F.col("lsn") > before) & (F.col("lsn") <= at[0])).write.mode("append").parquet(landing)
+        stream_apply(read_changes(spark, landing, log.schema), target, every=None, merge_records=1 << 40, merge_batches=3).awaitTermination()
+
+    def source():
+        """Rows are read some time after the mark before them, and the stream may be ahead of them by then."""
+        advance()
+        return state_at(log, at[0])
+
+    resnapshot(snapshot_signals(log), source, lambda: at[0], target, "again", chunk_size=20, chunks_per_window=8)
+    while at[0] < last:
+        advance()
+    return target.read(spark).select(*TABLE, "user_id", "event_type", "value")
+
+
+@register(f"""
+select database, schema, tbl, chunk, min(user_id) as lo, max(user_id) as hi, count(*) as n from (
+    select *, (row_number() over (order by database, schema, tbl, user_id) - 1) // 20 as chunk from (
+        select distinct database, schema, tbl, user_id from ({USER_LOG}) u where {ASKED}) k) c
+group by all""")
+def resnapshot_chunks(spark, sf_dir):
+    """The chunks of all requested tables of a fleet, from their signals."""
+    log = user_log(relation(spark, sf_dir, rel.CHANGES))
+    rows = log.select(*TABLE, "user_id").distinct()
+    plan = request_chunks(snapshot_signals(log), rows, ["user_id"], 20)
+    return plan.select(*TABLE, "chunk", F.col("lo.user_id").alias("lo"), F.col("hi.user_id").alias("hi"), "n")
+
+
 CORRECTED = """
 select o_orderkey, cast(o_totalprice as decimal(12,2)) as amount, o_orderstatus from orders where o_orderstatus <> 'F'
 union all select o_orderkey, cast(o_custkey % 100 as decimal(12,2)), null from orders where o_orderstatus = 'F'"""
@@ -265,7 +358,7 @@ union all select o_orderkey, cast(o_custkey % 100 as decimal(12,2)), null from o
 def drift_of_numbers(spark, sf_dir):
     """Batches whose amounts are decimals, or integers, and whose keys are wider than the table's."""
     orders = scan(spark, f"{sf_dir}/orders.parquet")
-    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"])
+    target = KeyedTarget(workspace(spark, "target"), ["o_orderkey"], buckets=16)
     head = ["o_orderkey", "'u' as op"]
     target.buffer(orders.selectExpr(*head, "0L as lsn", "o_custkey as amount", "o_orderstatus"), 0)
     target.merge(spark)

@@ -8,10 +8,10 @@ from driftline.functions.names import TABLE, ledger_key
 from driftline.operators import ledger as led
 from driftline.operators import signals as sig
 from driftline.sessions import workspace
-from driftline.streaming.expiry import expirations, stream_expirations
+from driftline.streaming.expiry import ORDER, expirations, stream_expirations
 from driftline.streaming.target import KeyedTarget
 from workloads import relations as rel
-from workloads.change_queries import event_stream
+from workloads.change_queries import FLEET_LOG, FLEET_STATE, event_stream, fleet_log, fleet_target
 from workloads.registry import register
 from workloads.relations import relation, text
 
@@ -86,6 +86,20 @@ def reconcile_counts(spark, sf_dir):
     return reconciled(spark, sf_dir, ledger(spark, sf_dir))
 
 
+@register(f"""
+select e.database, e.schema, e.tbl, expected, n as actual,
+       case when n is null then 'target_missing' when n = expected then 'matched' else 'pending' end as status
+from (select database, schema, tbl, count(distinct user_id) as expected from ({FLEET_LOG}) f group by all) e
+left join (select database, schema, tbl, count(*) as n from ({FLEET_STATE}) s group by all) t
+  on t.database = e.database and t.schema = e.schema and t.tbl = e.tbl""")
+def reconcile_fleet(spark, sf_dir):
+    """Counts of all keys ever seen against the counts that a fleet's merges left; no row is read for them."""
+    log = fleet_log(relation(spark, sf_dir, rel.CHANGES))
+    seen = log.groupBy(*TABLE).agg(F.count_distinct("user_id").alias("row_count"))
+    counts = led.ledger_put(empty_ledger(spark), seen, NOW, 0)
+    return led.reconcile(counts, fleet_target(spark, sf_dir).counts(spark), NOW)
+
+
 # One snapshot signal for each table of the ledger, raised when its count was captured.
 LEDGER_SIGNALS = f"""
 (select database, 'snap_' || schema || '_' || tbl || '_' || cast(floor(epoch(captured_at)) as bigint) as id,
@@ -219,7 +233,7 @@ from turns where e <= (select max(s) from puts) and (following is null or e < fo
 def expiry_stream(spark, sf_dir):
     """Deletes of entries whose time to live runs out, from the stream that puts them; the last put decides."""
     puts = spark.sql(rel.SIGNAL_TABLES, events=event_stream(spark, sf_dir))
-    target = KeyedTarget(workspace(spark, "entries"), TABLE)
+    target = KeyedTarget(workspace(spark, "entries"), TABLE, ORDER, buckets=16)
     path = workspace(spark, "expiry")
     stream_expirations(puts, target, path, "created_at", F.col("ttl_seconds") * 24).awaitTermination()
     ended = expirations(spark, path, TABLE)

@@ -35,7 +35,7 @@ select database, schema, tbl, 'yb_' || database || '_' || schema || '_' || tbl a
        'yb_' || database || '_' || schema || '_' || tbl || '.' || schema || '.' || tbl as topic,
        'yb-source-' || database || '-' || schema || '-' || tbl as source_pipeline,
        'bq-sink-' || database || '-' || tbl as sink_pipeline, target_schema, target_table,
-       case when target_schema is null or target_table is null then 'target schema and table must be specified' end as error,
+       case when target_schema is null or target_table is null then 'target_incomplete' end as error,
        case when target_schema is null or target_table is null then 'failed' else 'ok' end as status
 from {PARSED} p"""
 
@@ -164,15 +164,44 @@ def scan_counters(spark, sf_dir):
     return state.scan_counters(sync.sync_plan(fleet(spark, sf_dir)))
 
 
+# Targets as they were named when the pipelines started; some annotations have vanished or moved since.
+REMEMBERED = f"""
+select database, schema, tbl, 'old_' || database as target_schema, tbl as target_table from {text(rel.TARGETS)} t where contains(database, '1')"""
+
+RETIRED = f"""
+select f.*, coalesce(r.target_schema || '.' || r.target_table, f.target_schema || '.' || f.target_table) as target,
+       'yb-source-' || f.database || '-' || f.schema || '-' || f.tbl as source, 'bq-sink-' || f.database || '-' || f.tbl as sink
+from ({FLEET}) f left join ({REMEMBERED}) r on r.database = f.database and r.schema = f.schema and r.tbl = f.tbl"""
+
+
 @register(f"""
-select database, schema, tbl, 1 as step, 'target' as object from ({FLEET}) f
-  where not coalesce(enabled, false) and target_exists
-union all
-select database, schema, tbl, 2, 'source' from ({FLEET}) f where not coalesce(enabled, false) and source_exists
-union all
-select database, schema, tbl, 3, 'sink' from ({FLEET}) f where not coalesce(enabled, false) and sink_exists""")
+with fleet as ({RETIRED}), off as (select * from fleet where not coalesce(enabled, false)),
+     kept as (select distinct sink from fleet where enabled)
+select database, schema, tbl, 1 as step, 'target' as object, target as name, false as shared from off where target_exists
+union all select database, schema, tbl, 2, 'source', source, false from off where source_exists
+union all select database, schema, tbl, 3, 'sink', sink, sink in (select sink from kept) from off where sink_exists""")
 def retire_plan(spark, sf_dir):
-    return sync.retire_plan(fleet(spark, sf_dir))
+    remembered = relation(spark, sf_dir, rel.TARGETS).filter(F.contains("database", F.lit("1")))
+    targets = remembered.select(*TABLE, F.concat(F.lit("old_"), "database").alias("target_schema"), F.col("tbl").alias("target_table"))
+    return sync.retire_plan(fleet(spark, sf_dir), targets)
+
+
+@register(f"""
+with fleet as (select database, schema, case when k.custkey % 3 = 0 then 'shared' else tbl end as tbl, coalesce(enabled, false) as enabled
+               from (select p.*, c.c_custkey as custkey from {PARSED} p join {text(rel.CATALOG)} c on {on("p")}) k),
+     counted as (select database, schema, tbl, bool_or(enabled) as enabled from fleet group by all)
+select database, schema, tbl, 'bq-sink-' || database || '-' || tbl as name,
+       exists (select 1 from counted o where o.enabled and o.database = c.database and o.tbl = c.tbl) as shared
+from counted c where not enabled""")
+def retire_shared(spark, sf_dir):
+    """Sinks to retire, and whether another table still writes through one of that name."""
+    tables = parse_annotations(relation(spark, sf_dir, rel.CATALOG)).withColumn("tbl", F.when(F.col("c_custkey") % 3 == 0, "shared").otherwise(F.col("tbl")))
+    on = F.bool_or(F.coalesce("annotation.enabled", F.lit(False)))
+    fleet = tables.groupBy(*TABLE).agg(on.alias("_on"))
+    flags = {"target_exists": F.lit(False), "source_exists": F.lit(False), "sink_exists": F.lit(True)}
+    annotation = F.struct(F.col("_on").alias("enabled"), F.lit("w").alias("target_schema"), F.lit("t").alias("target_table"))
+    plan = sync.retire_plan(fleet.withColumn("annotation", annotation).withColumns(flags))
+    return plan.select(*TABLE, "name", "shared")
 
 
 # -- health ----------------------------------------------------------------------------------------
