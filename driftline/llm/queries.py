@@ -258,7 +258,40 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
 
-@register()
+LANGUAGE_SQL = r"""
+with steps as (
+    select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t
+    from (select unnest(range(256)) as i)
+), docs as (
+    select doc_id, lang, text, xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: unicode(x)::bigint),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 = 2 as held_out
+    from documents, steps
+), words as (
+    select doc_id, word, count(*) as n from (
+        select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) as word from docs where regexp_matches(text, '\p{L}')) group by all
+), parts as (
+    select doc_id, n, substr(' ' || word || ' ', i, size) as gram from words, (values (1), (2), (3)) s(size), unnest(range(1, length(word) + 4 - size)) u(i)
+), counts as (
+    select doc_id, gram, sum(n) as n from parts where gram <> ' ' group by all
+), own as (
+    select doc_id, gram, row_number() over (partition by doc_id order by n desc, gram) - 1 as place from counts qualify place < 400
+), learned as (
+    select lang, gram, row_number() over (partition by lang order by sum(n) desc, gram) - 1 as place
+    from counts join docs using (doc_id) where not held_out and lang is not null group by lang, gram qualify place < 400
+), sizes as (
+    select doc_id, count(*) as size from own group by doc_id
+), away as (
+    select doc_id, lang, 400 * any_value(size) + sum(abs(own.place - learned.place) - 400) as away
+    from own join learned using (gram) join sizes using (doc_id) group by doc_id, lang
+), nearest as (
+    select * from away qualify row_number() over (partition by doc_id order by away, lang) = 1
+)
+select doc_id, held_out, coalesce(n.lang, case when size > 0 then (select min(lang) from learned) end, 'und') as lang_pred, coalesce(1 - away::double / (400 * size), 0) as score
+from docs left join nearest n using (doc_id) left join sizes using (doc_id)
+"""
+
+
+@register(LANGUAGE_SQL)
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = rank_profiles.learn_profiles(docs, learn=fold("doc_id", 4) != 2)

@@ -140,11 +140,11 @@ class Best:
                 self.floor[first + i] = s[order[-1]]
 
 
-def _blocks(queries: list[dict[int, int]], weight: np.ndarray) -> list[tuple[int, np.ndarray, list[dict[int, int]]]]:
-    """First item, compact vocabulary and items of each block; terms without weight add nothing."""
+def _blocks(queries: list[dict[int, int]], weight: np.ndarray, size: int) -> list[tuple[int, np.ndarray, list[dict[int, int]]]]:
+    """First item, compact vocabulary and items of each block of ``size``; terms without weight add nothing."""
     out = []
-    for a in range(0, len(queries), ITEMS):
-        some = [{t: n for t, n in q.items() if weight[t]} for q in queries[a : a + ITEMS]]
+    for a in range(0, len(queries), size):
+        some = [{t: n for t, n in q.items() if weight[t]} for q in queries[a : a + size]]
         own = np.unique(np.fromiter((t for q in some for t in q), np.int64))
         if len(own):
             out.append((a, own, some))
@@ -171,7 +171,7 @@ def best_documents(counts: DataFrame, queries: list[dict[int, int]], weight: np.
         best = Best(len(queries), k)
         # (first item, terms, factors as float64 or as integers) of every tile, in the order of items
         work = []
-        for first, own, some in _blocks(queries, weight):
+        for first, own, some in _blocks(queries, weight, ITEMS):
             for a in range(0, len(own), TERMS):
                 factors = _factors(own[a : a + TERMS], some, weight)
                 for b, e, fits in tiles(factors, limit=limit):
