@@ -7,17 +7,18 @@ token, by a look at the few pieces that end there, and its number of tokens, whi
 plus one. Whether two pieces stay apart is found by merging them once, and remembered.
 
 Spaces are written as a mark and a text gets one in front. No piece goes on from another character into a mark,
-nor contains a line feed or tab, so a text is cut there, the cuts are counted on their own, and a task remembers
-the counts of the prefixes of each cut that it has met. The cost of a text is a look-up for each word, also where
+nor contains a line feed or tab, so a text is cut there, and between letters and other signs if no piece holds both.
+The cuts are counted on their own, and a task remembers the counts of the prefixes of each cut that it has met. The cost of a text is a look-up for each word, also where
 a truncation or a budget is asked for: nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ from driftline.llm.common import in_tasks, slices
 MARK = "▁"
 #: A run of marks with what follows it up to the next mark, line feed or tab; the latter stand alone.
 CUT = re.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]")
+#: The same with a cut between Latin letters and other signs, for vocabularies without a piece that holds both.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+FINE_CUT = re.compile(f"{MARK}+(?:[{LETTERS}]+|[^{MARK}\n\t{LETTERS}]*)|[{LETTERS}]+|[^{MARK}\n\t{LETTERS}]+|[\n\t]")
 #: Cuts, and characters of cuts, that a task remembers before it starts anew.
 MOST_CUTS, MOST_CHARS = 400_000, 8_000_000
-#: Characters of a cut whose state is remembered and shared by all cuts that start with them.
-HEAD = 6
 #: Pairs of pieces that a task remembers.
 MOST_PAIRS = 2_000_000
+_NEVER = float("-inf")
 
 
 class Pieces:
@@ -50,37 +53,79 @@ class Pieces:
                 self.score[model.id_to_piece(i)] = model.get_score(i)
         if any(re.search(f"[^{MARK}]{MARK}|[\n\t]", p) for p in self.score):
             raise ValueError("pieces that go on into a mark, a line feed or a tab cannot be counted by cuts")
-        self.longest = max(map(len, self.score))
+        mixed = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{MARK}{LETTERS}][{LETTERS}]")
+        self.cut = CUT if any(map(mixed.search, self.score)) else FINE_CUT
+        endings = defaultdict(set)
+        for p in self.score:
+            endings[p[-3:]].add(len(p))
+        #: The sizes of the pieces of three characters and more by their last three, the largest first.
+        self.endings = {end: tuple(sorted(n, reverse=True)) for end, n in endings.items() if len(end) == 3}
+        self.sizes: dict[str, tuple[int, ...]] = {}
         self.stays: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.met: dict[str, Sequence[int]] = {}
+        self.ends: dict[str, int] = {}
         self.met_chars = 0
-        self.heads: dict[str, tuple[list[str], list[int]]] = {}
+
+    def cuts(self, text: str) -> list[str]:
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text: the best neighbours are merged, the leftmost first, while any can be."""
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return parts
+        self._merge(parts, -1)
+        return parts
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether two pieces stay as they are when they are merged together."""
+        parts = [*left, *right]
+        return self._merge(parts, len(left) - 1) and len(parts) == 2
+
+    def _merge(self, parts: list[str], border: int) -> bool:
+        """Merges in place; False as soon as the pair number ``border`` at the outset would be merged."""
+        score = self.score.get
+        pairs = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == _NEVER:
+                break
+            at = pairs.index(best)
+            if at == border:
+                return False
+            if at < border:
+                border -= 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], _NEVER)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], _NEVER)
+        return True
 
     def cost(self, piece: str) -> int:
         """1, or the number of bytes of a character outside the vocabulary."""
         return 1 if piece in self.score else len(piece.encode())
 
+    def _sizes(self, end: str) -> tuple[int, ...]:
+        """The sizes of the pieces that may end with three characters."""
+        found = self.sizes.get(end)
+        if found is None:
+            if len(self.sizes) >= MOST_PAIRS:
+                self.sizes.clear()
+            found = self.sizes[end] = (*self.endings.get(end, ()), *([2] if end[1:] in self.score else []), 1)
+        return found
+
     def _go_on(self, cut: str, last: list[str], count: list[int]) -> None:
         """Extends the last pieces and the counts of the first prefixes of a cut to all of them."""
-        score, stays, longest = self.score, self.stays, self.longest
+        score, stays, sizes = self.score, self.stays, self.sizes.get
         for i in range(len(last), len(cut) + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            own = (sizes(end) or self._sizes(end)) if i >= 3 and (end := cut[i - 3 : i]) else range(i, 0, -1)
+            for n in own:
+                if n > i:
+                    continue
+                j = i - n
                 piece = cut[j:i]
-                if piece not in score and j < i - 1:
+                if n > 1 and piece not in score:
                     continue
                 if j:
                     key = (last[j], piece)
@@ -88,7 +133,7 @@ class Pieces:
                     if ok is None:
                         if len(stays) >= MOST_PAIRS:
                             stays.clear()
-                        ok = stays[key] = self.merge(last[j] + piece) == [last[j], piece]
+                        ok = stays[key] = self.apart(last[j], piece)
                 else:
                     ok = self.whole.get(piece)
                     if ok is None:
@@ -100,41 +145,36 @@ class Pieces:
             else:
                 raise AssertionError(f"no last piece in {cut[:i]!r}")
 
-    def prefixes(self, cut: str) -> Sequence[int]:
-        """The number of tokens of each prefix of a cut, from the empty one on."""
-        start = cut[:HEAD]
-        known = self.heads.get(start)
-        if known is None:
-            known = [""], [0]
-            self._go_on(start, *known)
-            self.heads[start] = known
-        last, count = known
-        if len(cut) > HEAD:
-            last, count = last[:], count[:]
+    def learn(self, cuts: Iterable[str]) -> None:
+        """Counts the prefixes of the cuts that are new. Taken in order, each goes on from what it shares with the one
+        before, so that a beginning is counted once for all cuts that have it."""
+        if len(self.met) > MOST_CUTS or self.met_chars > MOST_CHARS:
+            self.met.clear()
+            self.ends.clear()
+            self.met_chars = 0
+        met, ends, before = self.met, self.ends, ""
+        last, count = [""], [0]
+        for cut in sorted(set(cuts).difference(met)):
+            shared = 0
+            for x, y in zip(before, cut, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], count[shared + 1 :]
             self._go_on(cut, last, count)
-        return bytes(count) if max(count) < 256 else tuple(count)
+            try:
+                met[cut] = bytes(count)
+            except ValueError:  # more than 255 tokens
+                met[cut] = tuple(count)
+            ends[cut] = count[-1]
+            self.met_chars += len(cut)
+            before = cut
 
     def counts(self, cuts: list[str]) -> list[Sequence[int]]:
         """The prefix counts of each cut."""
-        met = self.met
-        found = list(map(met.get, cuts))
-        if None in found:
-            if len(met) > MOST_CUTS or self.met_chars > MOST_CHARS:
-                met.clear()
-                self.heads.clear()
-                self.met_chars = 0
-            for i, have in enumerate(found):
-                if have is None:
-                    cut = cuts[i]
-                    if (counted := met.get(cut)) is None:
-                        counted = met[cut] = self.prefixes(cut)
-                        self.met_chars += len(cut)
-                    found[i] = counted
-        return found
-
-
-def cuts(text: str) -> list[str]:
-    return CUT.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not self.met.keys() >= set(cuts):
+            self.learn(cuts)
+        return list(map(self.met.__getitem__, cuts))
 
 
 @lru_cache(maxsize=1)
@@ -145,12 +185,18 @@ def pieces(path: str) -> Pieces:
 
 def total(vocabulary: Pieces, text: str, limit: int) -> tuple[int, int]:
     """The number of tokens of a text, and the length of its longest prefix of at most ``limit`` tokens."""
-    counted = vocabulary.counts(cuts(text))
-    n = sum([c[-1] for c in counted])
+    own = vocabulary.cuts(text)
+    vocabulary.learn(own)
+    return _total(vocabulary, text, own, limit)
+
+
+def _total(vocabulary: Pieces, text: str, own: list[str], limit: int) -> tuple[int, int]:
+    """The same for a text whose cuts are known."""
+    n = sum(map(vocabulary.ends.__getitem__, own))
     if n <= limit:
         return n, len(text)
     at = tokens = 0
-    for c in counted:
+    for c in map(vocabulary.met.__getitem__, own):
         if tokens + c[-1] > limit:
             at += max(i for i, k in enumerate(c) if tokens + k <= limit)
             break
@@ -163,7 +209,7 @@ def every_prefix(vocabulary: Pieces, text: str) -> np.ndarray:
     """The number of tokens of each prefix of a text, by its length in code points from 0 on."""
     if not text:
         return np.zeros(1, np.int32)
-    counted = vocabulary.counts(cuts(text))
+    counted = vocabulary.counts(vocabulary.cuts(text))
     before = accumulate((c[-1] for c in counted), initial=0)
     parts = [np.frombuffer(c, np.uint8)[1:].astype(np.int32) + k if isinstance(c, bytes) else np.array(c[1:], np.int32) + k for c, k in zip(counted, before)]
     found = np.concatenate(parts)  # place 0 is the mark in front
@@ -181,8 +227,12 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 32 << 20):
-            found = [total(pieces(path), t or "", limit) for t in batch.column(1).to_pylist()]
+        vocabulary = pieces(path)
+        for batch in slices(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cut = [vocabulary.cuts(t) for t in texts]
+            vocabulary.learn(chain.from_iterable(cut))
+            found = [_total(vocabulary, t, own, limit) for t, own in zip(texts, cut, strict=True)]
             n = np.array([x for x, _ in found], np.int64)
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
