@@ -7,11 +7,11 @@ word, until no word has a pair left. Rows of a round hold only words that still
 a word is its rows of the last round. Ids are decoded by a join with the vocabulary and an aggregation of the
 bytes in order of place.
 
-Memory is bounded by the batch: texts are taken in cuts of some megabytes, the words that a task remembers are
-limited in bytes, and the rounds of one recursive query in rows. Words of more than ``LONG`` bytes, whose rounds
-would pile up in it, run as a loop of statements that keeps one round only. It contracts all pairs of least rank
-of a round at once, from left to right, if no pair with the token they make has a lower rank: then the leftmost
-is followed by the next one anyway, and the result is the same.
+Memory is bounded by the batch: texts are taken in cuts of some megabytes and a longer one in portions of its words,
+the words that a task remembers are limited in bytes, the rounds of one recursive query in rows, and ids are decoded
+in windows. Words of more than ``LONG`` bytes, whose rounds would pile up, are contracted pair by pair from a heap of
+ranks and places: each step looks at the two neighbours of the pair it contracts, so the time of a word grows with its
+length and not with its square.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import in_tasks, slices
 
-#: Bytes from which on a word is contracted by a loop instead of a recursive query.
+#: Bytes from which on a word is contracted from a heap instead of by a recursive query.
 LONG = 2048
+#: Words of a portion of a long text, and ids of a window of the decoder.
+PORTION, WINDOW = 500_000, 1 << 18
 #: Rows of all rounds of one recursive query: at most the sum of the squares of its words' bytes.
 ROUND_ROWS = 2 << 20
 #: Words and bytes of words that a task remembers before it starts anew.
@@ -60,33 +64,6 @@ RECURSION = """
     select r.word, r.token from rounds r join last l on l.word = r.word and l.round = r.round order by r.word, r.place
 """
 
-#: One contraction of the word in ``state``: of the pairs with the least rank the leftmost.
-STEP = """
-    with pair as (
-        select s.word, s.place, s.token, lead(s.place) over w as after, lead(s.token) over w as follower
-        from state s window w as (partition by s.word order by s.place)
-    ), best as (
-        select p.word, arg_min((p.place, p.after, m.merged), (m.merged, p.place)) as b
-        from pair p join merges m on m.l = p.token and m.r = p.follower group by p.word
-    )
-    select s.word, s.place, case when s.place = b.b[1] then b.b[3] else s.token end as token
-    from state s join best b on b.word = s.word where s.place <> b.b[2]
-"""
-
-#: The same for one word, with every pair of least rank that does not overlap one taken before it.
-STEP_ALL = """
-    with pair as (
-        select place, token, lead(place) over w as after, lead(token) over w as follower,
-               row_number() over w as n from state window w as (order by place)
-    ), least as (select place, after, n, n - row_number() over (order by n) as run from pair p
-        join merges m on m.l = p.token and m.r = p.follower where m.merged = {merged}
-    ), pick as (select place, after from least
-        qualify (row_number() over (partition by run order by n)) % 2 = 1)
-    select s.place, case when k.place is null then s.token else {merged} end as token
-    from state s left join pick k on k.place = s.place where s.place not in (select after from pick)
-"""
-
-
 def ranks(path: str) -> dict[bytes, int]:
     """The tokens of a rank file."""
     with open(path, "rb") as f:
@@ -98,6 +75,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         self.words_of = regex.compile(pattern).findall
+        self.matches = regex.compile(pattern).finditer
         vocabulary = ranks(path)
         self.whole = vocabulary
         merges = [
@@ -115,8 +93,8 @@ class Codec:
         self.con.execute("create table merges as select * from made; create table vocabulary as select * from tokens")
         self.con.unregister("made")
         self.con.unregister("tokens")
-        sinks = "select distinct greatest(l, r) from merges where greatest(l, r) > merged"
-        self.sinks = {x for (x,) in self.con.execute(sinks).fetchall()}
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.merges = merges
         self.byte = np.full(256, -1, np.int32)
         for b in range(256):
             self.byte[b] = vocabulary.get(bytes([b]), -1)
@@ -160,18 +138,31 @@ class Codec:
         found = self.con.execute(RECURSION).fetchnumpy()
         return found["word"], found["token"]
 
-    def _looped(self, word: bytes) -> np.ndarray:
-        rows = self._rows([word])  # noqa: F841  read by name below
-        self.con.execute("create or replace temp table state as select * from rows")
-        least = """select min(m.merged) from (select token, lead(token) over (order by place) as follower from state) p
-                   join merges m on m.l = p.token and m.r = p.follower"""
-        while (merged := self.con.execute(least).fetchone()[0]) is not None:
-            step = STEP if merged in self.sinks else STEP_ALL.format(merged=merged)
-            self.con.execute("create or replace temp table next_state as " + step)
-            self.con.execute("drop table state; alter table next_state rename to state")
-            if merged not in self.sinks:
-                self.con.execute("alter table state add column word integer default 0")
-        return self.con.execute("select token from state order by place").fetchnumpy()["token"].astype(np.int32)
+    def _long(self, word: bytes) -> np.ndarray:
+        """A word contracted pair by pair: of the pairs with the least rank the leftmost. A pair is found again by its place
+        and tokens, which both must still be there."""
+        if not self.pairs:
+            self.pairs = {(a, b): m for a, b, m in self.merges}
+        rank = self.pairs.get
+        token = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        after = [*range(1, len(token)), -1]
+        before = [-1, *range(len(token) - 1)]
+        heap = [(m, i) for i, pair in enumerate(zip(token, token[1:], strict=False)) if (m := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            merged, i = heappop(heap)
+            j = after[i]
+            if j < 0 or token[i] < 0 or rank((token[i], token[j])) != merged:
+                continue
+            token[i], token[j] = merged, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (m := rank((merged, token[k]))) is not None:
+                    heappush(heap, (m, i))
+            if (h := before[i]) >= 0 and (m := rank((token[h], merged))) is not None:
+                heappush(heap, (m, h))
+        return np.array([t for t in token if t >= 0], np.int32)
 
     def learn(self, words: set[str]) -> None:
         """Adds the ids of words that are not known yet."""
@@ -189,7 +180,7 @@ class Codec:
             elif len(b) <= LONG:
                 short.append((w, b))
             else:
-                token = self._looped(b)
+                token = self._long(b)
                 self._keep([w], token, np.array([len(token)]))
         self._keep(known, np.array(known_ids, np.int32), np.ones(len(known), np.int64))
         at = 0
@@ -205,7 +196,13 @@ class Codec:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the number of each."""
-        cut = [self.words_of(t) for t in texts]
+        if len(texts) == 1 and len(texts[0]) > PORTION:
+            found = (m.group() for m in self.matches(texts[0]))
+            ids = [self._encode([words])[0] for words in iter(lambda: list(islice(found, PORTION)), [])]
+            return np.concatenate(ids), np.array([sum(map(len, ids))])
+        return self._encode([self.words_of(t) for t in texts])
+
+    def _encode(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         self.learn(set().union(*cut))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         number = np.fromiter((i for words in cut for i in map(self.met.__getitem__, words)), np.int64, int(counts.sum()))
@@ -220,17 +217,19 @@ class Codec:
 
         The vocabulary holds bytes as the characters of the same numbers."""
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        rows = pa.table({"text": text, "place": np.arange(len(ids), dtype=np.int32), "token": ids})  # noqa: F841
-        found = self.con.execute(
-            """select r.text, string_agg(v.bytes, '' order by r.place), count(*)
-               from rows r join vocabulary v on v.token = r.token group by r.text"""
-        ).fetchall()
-        if sum(n for _, _, n in found) != len(ids):
-            raise ValueError("an id is not in the vocabulary")
-        out = [b""] * len(sizes)
-        for i, text_, _ in found:
-            out[i] = text_.encode("latin-1")
-        return out
+        out: list[list[bytes]] = [[] for _ in sizes]
+        for at in range(0, len(ids), WINDOW):
+            own = ids[at : at + WINDOW]
+            rows = pa.table({"text": text[at : at + WINDOW], "place": np.arange(len(own), dtype=np.int32), "token": own})  # noqa: F841
+            found = self.con.execute(
+                """select r.text, string_agg(v.bytes, '' order by r.place), count(*)
+                   from rows r join vocabulary v on v.token = r.token group by r.text"""
+            ).fetchall()
+            if sum(n for _, _, n in found) != len(own):
+                raise ValueError("an id is not in the vocabulary")
+            for i, part, _ in found:
+                out[i].append(part.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
 
 @contextmanager
