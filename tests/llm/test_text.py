@@ -42,10 +42,9 @@ def test_bpe_equals_the_library(spark, sf, docs, encoding):
 
 
 def test_bpe_of_odd_rows(odd, none, encoding):
-    small = odd.filter("doc_id is null or doc_id <> 4")
-    encoded = bpe.encode(small, RANKS)
-    assert Counter((r.id, tuple(r.ids)) for r in encoded.collect()) == Counter((i, tuple(encoding.encode_ordinary(t))) for i, t in _texts(small))
-    assert Counter((r.id, bytes(r.decoded)) for r in bpe.decode(encoded, RANKS).collect()) == Counter((i, t.encode()) for i, t in _texts(small))
+    encoded = bpe.encode(odd, RANKS)
+    assert Counter((r.id, tuple(r.ids)) for r in encoded.collect()) == Counter((i, tuple(encoding.encode_ordinary(t))) for i, t in _texts(odd))
+    assert Counter((r.id, bytes(r.decoded)) for r in bpe.decode(encoded, RANKS).collect()) == Counter((i, t.encode()) for i, t in _texts(odd))
     assert bpe.encode(none, RANKS).count() == bpe.round_trip(none, RANKS).count() == 0
 
 
@@ -60,6 +59,30 @@ def test_bpe_of_long_words(encoding):
         codec.decode(np.array([10**6], np.int32), np.array([1]))
 
 
+def test_bpe_of_a_text_of_many_megabytes_and_a_word_of_one(encoding):
+    rng = random.Random(1)
+    codec = bpe.Codec(RANKS)
+    text = (" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 9))) for _ in range(20_000)) + "\n") * 260
+    assert len(text) > 24 << 20
+    ids, sizes = codec.encode([text])
+    assert codec.decode(ids, sizes) == [text.encode()] and ids.tolist() == encoding.encode_ordinary(text)
+    word = "".join(rng.choices("etaoinshr", k=1_000_000))
+    ids, sizes = codec.encode([word])
+    assert codec.decode(ids, sizes) == [word.encode()]
+    word = word[:8_000]
+    assert codec.encode([word])[0].tolist() == encoding.encode_ordinary(word)
+
+
+def test_bpe_decodes_across_windows(monkeypatch, encoding):
+    monkeypatch.setattr(bpe, "WINDOW", 7)
+    monkeypatch.setattr(bpe, "PORTION", 5)
+    codec = bpe.Codec(RANKS)
+    texts = ["", "日本語 and more words than one window holds", "", "x", "né" * 9]
+    ids, sizes = codec.encode(texts)
+    assert codec.decode(ids, sizes) == [t.encode() for t in texts]
+    assert codec.encode(texts[1:2])[0].tolist() == encoding.encode_ordinary(texts[1])
+
+
 def test_bpe_forgets_and_goes_on(monkeypatch, docs, encoding):
     monkeypatch.setattr(bpe, "MOST_WORDS", 500)
     codec = bpe.Codec(RANKS)
