@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -36,13 +37,32 @@ _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 MARK = "data-main"
 
 
+class Element:
+    """An open element: its description, and the element around it. Elements are shared by the blocks in them, so a page
+    takes room in proportion to its length, however deep it is nested. ``told`` is what a model knows of it."""
+
+    __slots__ = ("around", "description", "told")
+
+    def __init__(self, around: Element | None, description: str) -> None:
+        self.around, self.description, self.told = around, description, None
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    inside: Element | None
     linked: int
     main: str | None = None
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The descriptions of the elements around the block, the outermost first."""
+        found, at = [], self.inside
+        while at is not None:
+            found.append(at.description)
+            at = at.around
+        return tuple(found[::-1])
+
 
 def _describe(tag: str, attributes: str) -> tuple[str, str | None]:
     """An element as its tag and the tokens of its attributes, and its mark, if it has one."""
@@ -67,44 +87,44 @@ def leaf_blocks(html: str) -> list[Block]:
     supplied as far as HTML allows them to be left out; end tags that close nothing are ignored. Elements that are not
     text of the page end with an element around them, and do not cut the line they stand in.
     """
-    stack: list[tuple[str, str, str | None]] = []  # tag, description, mark
+    stack: list[tuple[str, Element, str | None]] = []  # tag, element, innermost mark
+    open_tags: Counter[str] = Counter()
+    outer_skips: list[int] = []  # the places of elements that are skipped
     found: list[Block] = []
     parts: list[str] = []
     described: dict[tuple[str, str], tuple[str, str | None]] = {}
     linked = 0
     in_link = False
-    skip = 0
-
-    def skipped() -> int:
-        """The place of the outermost element that is skipped."""
-        return next(i for i, (t, _, _) in enumerate(stack) if t in SKIPPED)
 
     def flush() -> None:
         nonlocal linked, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                own = stack[: skipped()] if skip else stack  # nothing is added within skipped elements
-                mark = next((m for _, _, m in reversed(own) if m is not None), None)
-                found.append(Block(text, tuple([d for _, d, _ in own]), min(linked, len(text)), mark))
+                n = outer_skips[0] if outer_skips else len(stack)  # nothing is added within skipped elements
+                _, inside, mark = stack[n - 1] if n else ("", None, None)
+                found.append(Block(text, inside, min(linked, len(text)), mark))
             parts.clear()
         linked, in_link = 0, False
 
     def close(tag: str, until: tuple[str, ...] = ()) -> None:
-        nonlocal skip
+        if not open_tags[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                if not skip or i < (first := skipped()) or i == first and tag not in APART:
+                if not outer_skips or i < outer_skips[0] or i == outer_skips[0] and tag not in APART:
                     flush()
-                skip -= sum(t in SKIPPED for t, _, _ in stack[i:])
+                open_tags.subtract(t for t, _, _ in stack[i:])
                 del stack[i:]
+                while outer_skips and outer_skips[-1] >= i:
+                    outer_skips.pop()
                 return
             if stack[i][0] in until:
                 return
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not skip:
+        if text and not outer_skips:
             if "&" in text:
                 text = unescape(text)
             parts.append(text)
@@ -126,7 +146,7 @@ def leaf_blocks(html: str) -> list[Block]:
         tag, ends = name.lower(), bool(m[1] or m[4])
         attributes = (m[3] if m[2] else m[6]) or ""
         if attributes.endswith("/"):
-            if not ends and (tag == "svg" or skip and any(t == "svg" for t, _, _ in stack)):
+            if not ends and (tag == "svg" or open_tags["svg"]):
                 continue
             attributes = attributes[:-1]
         if tag in RAW:
@@ -135,19 +155,19 @@ def leaf_blocks(html: str) -> list[Block]:
                 at = end.end() if end else len(html)
             continue
         if tag in INLINE:
-            if tag == "a" and (ends or not skip):
+            if tag == "a" and (ends or not outer_skips):
                 in_link = not ends
             continue
         if tag in ("br", "wbr"):
-            if not skip and tag == "br":
+            if not outer_skips and tag == "br":
                 parts.append(" ")
             continue
         if tag in VOID:
-            if tag == "hr" and not skip:
+            if tag == "hr" and not outer_skips:
                 flush()
             continue
         if ends:
-            if tag == "p" and not skip and not any(t == "p" for t, _, _ in stack):
+            if tag == "p" and not outer_skips and not open_tags["p"]:
                 flush()
             close(tag, ("table",) if tag in ("p", "div", "li") else ())
             continue
@@ -160,12 +180,15 @@ def leaf_blocks(html: str) -> list[Block]:
             close("head")
         if tag in ("button", "select"):
             close(tag)
-        if not skip and tag not in APART:
+        if not outer_skips and tag not in APART:
             flush()
         key = (tag, attributes)
         if (known := described.get(key)) is None:
             known = described[key] = _describe(tag, attributes)
-        stack.append((tag, *known))
-        skip += tag in SKIPPED
+        if tag in SKIPPED:
+            outer_skips.append(len(stack))
+        outer, mark = (stack[-1][1], stack[-1][2]) if stack else (None, None)
+        stack.append((tag, Element(outer, known[0]), mark if known[1] is None else known[1]))
+        open_tags[tag] += 1
     flush()
     return found

@@ -7,11 +7,12 @@ has labelled in this way can be used instead of, or along with, the ones made he
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterable
 
 from driftline.llm.blocks import TOKEN, Block, leaf_blocks
 
-PAGES = 900
+PAGES = 1200
 SYLLABLES = "an be ci do el fa gu ho in ja ke li mo nu or pa qui re so tu ve wi xa ya zo".split()
 
 #: Parts of a page that are not main: elements they are made of, and names that sites give them.
@@ -29,6 +30,10 @@ AROUND = {
     "byline": (["div", "p", "footer"], "author-bio about-author author-box meta-footer post-meta post-footer entry-footer"),
 }
 MAIN = "content post entry article story post-content article-body entry-content main-content text body page-content main post-body article-content articlebody rich-text prose blog-post single"
+#: Names of elements around both, and what a layout has or lacks.
+WRAPPERS = "wrapper container page wrap outer layout grid row site"
+COLUMNS = "col cols column eight grid md lg span inner center root app shell"
+HAVING = "layout-with-sidebar has-comments has-sidebar no-ads with-menu page-with-header no-sidebar has-footer"
 COMMENT = "comment reply comment-body review response comment-content user-comment post-reply"
 
 #: Tokens of names that tell a part around an article, by kind; those that articles have too are left out.
@@ -36,8 +41,10 @@ KIND_OF = {
     token.lower(): kind
     for kind, names in [*((k, n) for k, (_, n) in AROUND.items()), ("comments", COMMENT)]
     for token in TOKEN.findall(names)
-    if token not in TOKEN.findall(MAIN)
+    if token not in TOKEN.findall(f"{MAIN} {WRAPPERS} {COLUMNS}")
 }
+#: Tokens that tell nothing by themselves.
+NEUTRAL = frozenset(token.lower() for token in TOKEN.findall(f"{WRAPPERS} {COLUMNS}")) - frozenset(token.lower() for token in TOKEN.findall(MAIN))
 MAIN_TOKENS = frozenset(token.lower() for token in TOKEN.findall(MAIN))
 
 
@@ -45,6 +52,7 @@ class _Writer:
     def __init__(self, rng: random.Random) -> None:
         self.rng = rng
         self.named = rng.random() > 0.12  # some sites use names that say nothing
+        self.bare = rng.random() < 0.3  # and some use neither names nor elements that say what they are
         self.odd = [self.word() for _ in range(12)]
 
     def word(self) -> str:
@@ -71,6 +79,8 @@ class _Writer:
         return out
 
     def names(self, names: str) -> str:
+        if self.bare:
+            return ""
         chosen = self.rng.choice(names.split()) if self.named else self.rng.choice(self.odd)
         chosen = self.rng.choice([chosen, chosen, f"{self.rng.choice(self.odd)} {chosen}", f"{chosen}-{self.rng.choice(self.odd)}"])
         return f' {self.rng.choice(["class", "class", "id"])}="{chosen}"'
@@ -84,19 +94,25 @@ class _Writer:
 
     def around(self, kind: str) -> str:
         tags, names = AROUND[kind]
+        if self.bare and kind not in ("header", "menu", "related", "share", "footer") and self.rng.random() < 0.85:
+            return ""  # prose that nothing tells from that of the article
+        if self.bare:
+            tags = [t for t in tags if t in ("div", "p", "ul", "ol", "td")] or ["div"]
         tag = self.rng.choice(tags)
         semantic = tag in ("nav", "aside", "footer", "header", "form")
         attributes = "" if semantic and self.rng.random() < 0.5 else self.names(names)
         if kind in ("notice", "menu") and self.rng.random() < 0.15:
             attributes += ' role="alert"' if kind == "notice" else ' role="navigation"'
         r = self.rng.random()
-        if kind in ("menu", "related", "share", "sidebar") and r < 0.7:
+        if kind == "menu" and self.bare and r < 0.5:
+            inner = self.rng.choice([" | ", "<br>", " ", " - "]).join(self.link(2) for _ in range(self.rng.randint(2, 8)))
+        elif kind in ("menu", "related", "share", "sidebar") and r < 0.7:
             items = [f"<li>{self.link(7 if kind != 'menu' else 2)}</li>" for _ in range(self.rng.randint(2, 8))]
             inner = "".join(items) if tag == "ul" else f"<ul>{''.join(items)}</ul>"
             if kind in ("related", "sidebar") and tag != "ul":
                 inner = self.heading() + inner
         elif kind == "comments":
-            child = "li" if tag in ("ol", "ul") else self.rng.choice(["div", "article", "div", "li"])
+            child = "li" if tag in ("ol", "ul") else self.rng.choice(["div", "div" if self.bare else "article", "div", "li"])
             inner = "" if tag in ("ol", "ul") else self.heading()
             for _ in range(self.rng.randint(1, 6)):
                 body = f"<p>{self.prose()}</p>" * self.rng.randint(1, 2) if self.rng.random() < 0.7 else self.prose()
@@ -124,7 +140,8 @@ class _Writer:
         if title and self.rng.random() < 0.2:
             title = f"<header>{title}</header>"
         parts = [title]
-        plain = self.rng.random() < 0.1
+        loose = self.bare and self.rng.random() < 0.6  # no element around the text
+        plain = not loose and self.rng.random() < 0.1
         for _ in range(self.rng.choice([1, 1, 2, 3, 5, 8, 12])):
             r = self.rng.random()
             if plain:
@@ -154,8 +171,12 @@ class _Writer:
                 parts.insert(self.rng.randint(1, len(parts)), self.around(kind))
         if self.rng.random() < 0.06:
             parts.append(self.around("comments"))
+        if loose:
+            return "".join(p if "data-main" in p else re.sub(r"^<(\w+)", r'<\1 data-main="1"', p) for p in parts)
         inner = "".join(parts)
         r = self.rng.random()
+        if self.bare:
+            r = 0.62 + 0.38 * r if r < 0.6 else 0.96
         names = self.names(MAIN) if self.rng.random() < 0.6 else ""
         if r < 0.35:
             out = f'<article data-main="1"{names}>{inner}</article>'
@@ -164,7 +185,7 @@ class _Writer:
         elif r < 0.62:
             out = f'<main><article data-main="1"{names}>{inner}</article></main>'
         elif r < 0.9:
-            out = f'<div data-main="1"{self.names(MAIN)}>{inner}</div>'
+            out = f'<div data-main="1"{self.names(self.rng.choice([MAIN, MAIN, COLUMNS]))}>{inner}</div>'
         elif r < 0.95:
             out = f'<section data-main="1"{names}>{inner}</section>'
         else:
@@ -172,15 +193,25 @@ class _Writer:
         return out
 
     def page(self) -> str:
-        some = lambda kind, p: self.around(kind) if self.rng.random() < p else ""
+        share = self.rng.choice([0.0, 0.4, 0.8]) if self.bare else 1.0
+        some = lambda kind, p: self.around(kind) if self.rng.random() < p * share else ""
         before = [some("header", 0.6), some("menu", 0.8), some("notice", 0.4), some("advert", 0.4), some("menu", 0.2), some("sidebar", 0.2), some("form", 0.15)]
         after = [some("share", 0.2), some("byline", 0.15), some("related", 0.35), some("comments", 0.45), some("sidebar", 0.3), some("form", 0.25), some("advert", 0.2), some("notice", 0.2), some("footer", 0.8)]
         if self.rng.random() < 0.3:
             self.rng.shuffle(before)
+        if self.bare and self.rng.random() < 0.4:  # columns of a table
+            cell = lambda parts: f"<td>{''.join(parts)}</td>" if any(parts) else ""
+            if self.rng.random() < 0.6:
+                links = self.rng.choice([" | ", "<br>", " ", "<br><br>"]).join(self.link(2) for _ in range(self.rng.randint(2, 8)))
+                before = [f'<div data-main="0">{links}</div>' if self.rng.random() < 0.3 else f'<td data-main="0">{links}</td>']
+            wide = before and before[0].startswith("<td")
+            body = f"<table><tr>{before[0] if wide else cell(before)}<td>{self.main()}</td>{cell(after)}</tr></table>"
+            return f"<html><body>{body}</body></html>"
         body = "".join(before) + self.main() + "".join(after)
         for _ in range(self.rng.choice([0, 0, 1, 2])):
             tag = self.rng.choice(["div", "div", "section"])
-            body = f"<{tag}{self.names('wrapper container page wrap outer layout grid row site') if self.rng.random() < 0.7 else ''}>{body}</{tag}>"
+            names = self.rng.choice([WRAPPERS, WRAPPERS, COLUMNS, HAVING])
+            body = f"<{tag}{self.names(names) if self.rng.random() < 0.7 else ''}>{body}</{tag}>"
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>"
 
 
