@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.operators.changes import drop_deleted, latest_per_key
 from driftline.sessions import workspace
 
 CHUNK_SIZE = 10_000
-KEYS_PER_RANGE = 10_000_000
+# Keys of a range: at most about so many, and at least so many unless one range holds them all.
+KEYS_PER_RANGE, KEYS_PER_SMALL_RANGE = 10_000_000, 1_000
+RANGES_PER_PARTITION, MOST_RANGES = 4, 1 << 14
+MOST_PRECISION = 65_535
 BEFORE_STREAM = -1
 
 _POSITION_BITS = 33  # monotonically_increasing_id() is the row number plus the partition number times 2^33
@@ -24,46 +28,96 @@ def snapshot_plan(
 ) -> DataFrame:
     """Chunk number, first key (``lo``), last key (``hi``) and row count; empty for an empty table.
 
-    With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled. Keys are
-    range-partitioned and numbered within their partition; a partition's offset is the size of all
-    partitions before it. The numbered keys are written to the shared folder, because both passes must see the
-    same partition borders, also after a lost executor. ``key`` is the table's primary key, hence unique and never
-    hot. ``partitions`` is the number of ranges: by default as many as keep some ten million keys in each, and no less than
-    the session's number of shuffle partitions. No chunk holds keys that differ in the first columns ``within``: where
-    they change a chunk is cut in two, which keep its number.
+    With several key columns ``lo`` and ``hi`` are records. Only the key is read and shuffled: it falls into ranges, is
+    numbered within its range, and a range starts where the sizes of all ranges before it end. ``key`` is the table's
+    primary key, hence unique and never hot. ``partitions`` is the number of ranges: by default some for each of the
+    session's shuffle partitions, and as many as keep some ten million keys in each. No chunk holds keys that differ in the
+    first columns ``within``: where they change a chunk is cut in two, which keep its number.
+
+    The borders between ranges of whole numbers are quantiles of a sketch, taken in a pass of its own; no key is
+    written. For keys of other types Spark finds the borders, and the numbered keys are written to the shared folder:
+    all passes must see the same borders, also after a lost executor.
     """
-    spark = df.sparkSession
     named = F.col(key) if isinstance(key, str) else F.struct(*key)
-    ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / KEYS_PER_RANGE))
-    part = F.spark_partition_id().cast("bigint")
-    path = workspace(spark, "snapshot-keys")
-    (
-        df.select(named.alias("_key"))
-        .repartitionByRange(ranges, "_key")
-        .sortWithinPartitions("_key")
-        .select("_key", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part, _POSITION_BITS)).alias("_pos"))
-        .write.parquet(path)
-    )
-    keys = spark.read.parquet(path)
-    # One row per range partition, at most as many as the ranges asked for: small enough for one
+    keys = df.select(named.alias("_key"))
+    whole = isinstance(keys.schema["_key"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    numbered = (_numbered_by_sketch if whole else _numbered_by_sort)(keys, partitions)
+    # One row per range, at most as many as were asked for: small enough for one
     # window and for a broadcast by construction.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    most = (1 << _POSITION_BITS) - 1
-    size = F.when(F.col("_size") <= most, F.col("_size")).otherwise(F.raise_error(F.lit(f"a range holds more than {most} keys: ask for more partitions")))
-    starts = (
-        keys.groupBy("_part")
-        .agg(F.count("*").alias("_size"))
-        .select("_part", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("_start"))
-    )
+    starts = numbered.sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     chunk = F.expr(f"(_start + _pos) div {int(chunk_size)}")
     return (
-        keys.join(F.broadcast(starts), "_part")
+        numbered.keys.join(F.broadcast(starts), "_part")
         .groupBy(*[F.col(f"_key.{c}").alias(f"_{c}") for c in within], chunk.alias("chunk"))
         .agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.count("*").alias("n"))
         .select("chunk", "lo", "hi", "n")
     )
 
 
+class _Numbered(NamedTuple):
+    """Keys with their range ``_part`` and their place ``_pos`` in it from 0 on, and the ``_size`` of each range."""
+
+    keys: DataFrame
+    sizes: DataFrame
+
+
+def _ranges(keys: DataFrame, n: int) -> int:
+    """Some ranges for each shuffle partition, so that these are even, but not for a handful of keys each."""
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(n / KEYS_PER_RANGE), min(RANGES_PER_PARTITION * partitions, n // KEYS_PER_SMALL_RANGE))
+
+
+def _numbered_by_sketch(keys: DataFrame, partitions: int | None) -> _Numbered:
+    # Largest sketch: a rank is wrong by some hundredth of a percent at most, and ranges by about their size.
+    keys = keys.select(F.col("_key").cast("bigint").alias("_long"), "_key")
+    n = keys.agg(F.count("*")).first()[0] if partitions is None else 0
+    ranges = min(partitions or _ranges(keys, n), MOST_RANGES)
+    if ranges > 1:
+        precision = min(MOST_PRECISION, max(200, 16 * ranges))
+        sketch = keys.agg(F.kll_sketch_agg_bigint("_long", precision).alias("s"))
+        ranks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        found = sketch.select(F.when(F.kll_sketch_get_n_bigint("s") > 0, F.kll_sketch_get_quantile_bigint("s", ranks))).first()[0]
+        part = _range_of(F.col("_long"), sorted(set(found or [])))
+    else:
+        part = F.lit(0)
+    placed = keys.select("_key", part.cast("bigint").alias("_part"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    in_range = Window.partitionBy("_part").orderBy("_key")
+    return _Numbered(placed.withColumn("_pos", F.row_number().over(in_range).cast("bigint") - 1), sizes)
+
+
+def _range_of(key: Column, borders: list[int]) -> Column:
+    """How many of the rising borders lie at or below the key, found in two steps of about the root of their number."""
+    if not borders:
+        return F.lit(0)
+    width = math.isqrt(len(borders) - 1) + 1
+    groups = [borders[i : i + width] for i in range(0, len(borders), width)]
+    text = lambda numbers: f"array({','.join(f'{b}L' for b in numbers)})"
+    below = lambda numbers: F.size(F.filter(numbers, lambda b: b <= key))
+    full = below(F.expr(text([g[0] for g in groups]))) - 1
+    group = F.expr(f"array({','.join(map(text, groups))})")
+    return F.when(full < 0, 0).otherwise(full * width + below(F.get(group, full)))
+
+
+def _numbered_by_sort(keys: DataFrame, partitions: int | None) -> _Numbered:
+    spark = keys.sparkSession
+    ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys.count() / KEYS_PER_RANGE))
+    part = F.spark_partition_id().cast("bigint")
+    path = workspace(spark, "snapshot-keys")
+    (
+        keys.repartitionByRange(ranges, "_key")
+        .sortWithinPartitions("_key")
+        .select("_key", part.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(part, _POSITION_BITS)).alias("_pos"))
+        .write.parquet(path)
+    )
+    written = spark.read.parquet(path)
+    most = (1 << _POSITION_BITS) - 1
+    n = F.count("*")
+    size = F.when(n <= most, n).otherwise(F.raise_error(F.lit(f"a range holds more than {most} keys: ask for more partitions")))
+    return _Numbered(written, written.groupBy("_part").agg(size.alias("_size")))
+
+
 def snapshot_chunk(df: DataFrame, key: str | Sequence[str], lo: Any, hi: Any) -> DataFrame:
     """The rows of one chunk; the range of the (first) key column reaches the scan."""
     if isinstance(key, str):

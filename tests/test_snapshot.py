@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators.snapshot import snapshot_chunk, snapshot_plan
 from driftline.sources.tables import range_bounds, ranges, scan_jdbc
@@ -79,3 +80,30 @@ def test_text_keys_need_a_byte_order(spark):
 def test_number_of_ranges(spark):
     plan = snapshot_plan(spark.range(1000), "id", 100, partitions=3)
     assert sorted((r.chunk, r.lo, r.hi) for r in plan.collect()) == [(i, 100 * i, 100 * i + 99) for i in range(10)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+def test_whole_numbers_are_not_written(spark, monkeypatch, kind):
+    """Skewed, negative and extreme keys, in many ranges; numbering needs no folder."""
+    from driftline.operators import snapshot as module
+
+    monkeypatch.setattr(module, "workspace", lambda *a: pytest.fail("keys are written"))
+    monkeypatch.setattr(module, "KEYS_PER_SMALL_RANGE", 10)
+    rng = random.Random(5)
+    top = 2**63 - 1 if kind == "bigint" else 2**31 - 1
+    keys = sorted({*(rng.randrange(-50, 400) for _ in range(500)), *(rng.randrange(-top, top) for _ in range(400)), top, -top - 1})
+    df = spark.createDataFrame([(k,) for k in keys], f"id {kind}").repartition(3)
+    want = [(i // 7, keys[i], keys[min(i + 7, len(keys)) - 1], min(7, len(keys) - i)) for i in range(0, len(keys), 7)]
+    for partitions in (None, 1, 2, 3, 50):
+        assert sorted(tuple(r) for r in snapshot_plan(df, "id", 7, partitions).collect()) == want
+
+
+def test_range_of_a_key(spark):
+    from driftline.operators.snapshot import _range_of
+
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 10, 100, 101):
+        borders = sorted(rng.sample(range(-300, 300), n))
+        keys = spark.range(-310, 310)
+        got = {r.id: r.part for r in keys.select("id", _range_of(F.col("id"), borders).alias("part")).collect()}
+        assert got == {k: sum(b <= k for b in borders) for k in range(-310, 310)}
