@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from driftline.functions.annotations import parse_annotations
 from driftline.operators.catalog import with_existence
+from driftline.operators.catalog import discover_tables
 from driftline.plans import health, routes, state, sync
 from driftline.sessions import workspace
 from driftline.sources.changes import read_changes
+from driftline.sources.fleet import for_all
+from driftline.sources.live import relations
 from driftline.streaming.apply import stream_route
 from workloads import relations as rel
 from workloads.catalog_queries import annotated
@@ -103,6 +106,63 @@ def fleet_union(spark, sf_dir):
     return plan.join(tables.select("database", "tbl", "annotation.enabled"), ["database", "tbl"])
 
 
+# Of the feeds some cannot be read: their files are damaged, or they have none.
+FEED_STATE = """
+case when schema = 'furniture' and length(database) = 3 then 'damaged' when schema = 'building' and database > 'db2' then 'absent' else 'ok' end"""
+
+FEED_SUMS = f"""
+select database, schema, tbl, count(*) as n, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents, max({FEED_STATE}) as state
+from {text(rel.FEED_ROWS)} f group by database, schema, tbl"""
+
+
+@register(f"""
+select database, schema, tbl, case when state = 'ok' then cents end as cents, case when state = 'ok' then 'ok' else 'failed' end as status,
+       case state when 'absent' then 'missing' when 'damaged' then 'read 0 of ' || n || ' rows' end as error
+from ({FEED_SUMS}) s""")
+def fleet_read(spark, sf_dir):
+    """One job over the feeds of all databases, with the outcome of each; damaged and absent ones do not stop the rest."""
+    feeds = relation(spark, sf_dir, rel.FEED_ROWS).withColumn("state", F.expr(FEED_STATE))
+    inventory = feeds.groupBy(*TABLE).agg(F.count("*").alias("n"))
+    path = workspace(spark, "feeds")
+    feeds.filter("state = 'ok'").drop("state").repartition(*TABLE).write.partitionBy(*TABLE).parquet(path)
+    damaged = feeds.filter("state = 'damaged'").select(*TABLE).distinct().withColumn("value", F.lit("no columns here"))
+    damaged.coalesce(1).write.mode("append").partitionBy(*TABLE).text(path)
+    databases = [r[0] for r in inventory.select("database").distinct().collect()]
+    sums = lambda rows: rows.groupBy(*TABLE).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
+    return for_all(spark, {d: f"{path}/database={d}" for d in databases}, inventory, "o_orderkey bigint, o_totalprice double", sums)
+
+
+@register(f"""
+select database as schema, schema as tbl, enabled, target_schema, target_table, 'BASE TABLE' as table_type
+from {annotated(text(rel.FEEDS))} f where database <> 'db7'""")
+def live_catalog(spark, sf_dir):
+    """The feeds as tables of the session, with their annotations as comments: discovered from the session's catalog."""
+    feeds = relation(spark, sf_dir, rel.FEEDS).collect()
+    path = workspace(spark, "live")
+    run = path.rpartition("-")[2][:12]
+    try:
+        for database in sorted({f.database for f in feeds}):
+            spark.sql(f"create database live_{run}_{database} location '{path}/{database}'")
+        for f in feeds:
+            name = f"live_{run}_{f.database}.{f.schema}"
+            if f.database == "db7":
+                spark.sql(f"create view {name} comment {_quoted(f.comment)} as select 1 as id")
+            else:
+                spark.sql(f"create table {name} (id bigint, at timestamp) using parquet comment {_quoted(f.comment)}")
+        found = relations(spark, [f"live_{run}_{d}" for d in sorted({f.database for f in feeds})])
+        tables = parse_annotations(discover_tables(found.tables, found.classes, found.namespaces))
+        kinds = found.tables.select(*TABLE, "table_type")
+        named = tables.join(kinds, TABLE).select(F.regexp_replace("schema", "^live_[^_]*_", "").alias("schema"), "tbl", "annotation.*", "table_type")
+        return named.select("schema", "tbl", "enabled", "target_schema", "target_table", "table_type")
+    finally:
+        for database in {f.database for f in feeds}:
+            spark.sql(f"drop database if exists live_{run}_{database} cascade")
+
+
+def _quoted(comment):
+    return "'" + comment.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # -- pipelines -------------------------------------------------------------------------------------
 
 STATUS = f"""
