@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.names import SERVER, SINK_PIPELINE, SOURCE_PIPELINE, TABLE, TOPIC, named
 
 # The problem that the sync plan names, too.
 INCOMPLETE = "target_incomplete"
+BUCKET = "_bucket"
 
 
 def routes(tables: DataFrame) -> DataFrame:
@@ -56,15 +58,31 @@ def route(changes: DataFrame, plan: DataFrame) -> DataFrame:
     return changes.join(valid, list(TABLE))
 
 
-def write_routed(changes: DataFrame, path: str, batch_id: int) -> None:
-    """One folder per target, written in one job rather than one per table.
+def write_routed(changes: DataFrame, path: str, batch_id: int, buckets: int | None = None) -> None:
+    """Routed changes written in one job rather than one per table.
 
-    Rebalancing by target keeps the number of files low and splits the target that takes the most. A
-    micro-batch that is replayed replaces what it wrote before.
+    One folder per target, or with ``buckets`` so many folders at most, whatever the number of targets: a stream of a
+    fleet then leaves no file per target and micro-batch. Within a bucket rows are sorted by target, so that a reader of
+    one skips the others by the statistics of the files. Rebalancing keeps the number of files low and splits the folder
+    that takes the most. A micro-batch that is replayed replaces what it wrote before.
     """
     target = ["target_schema", "target_table"]
-    balanced = changes.hint("rebalance", *[F.col(c) for c in target])
-    balanced.write.mode("overwrite").partitionBy(*target).parquet(f"{path}/batch={batch_id}")
+    folders = target
+    if buckets is not None:
+        folders = [BUCKET]
+        changes = changes.withColumn(BUCKET, F.pmod(F.xxhash64(*target), F.lit(buckets)))
+    balanced = changes.hint("rebalance", *[F.col(c) for c in folders])
+    if buckets is not None:
+        balanced = balanced.sortWithinPartitions(BUCKET, *target)
+    balanced.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/batch={batch_id}")
+
+
+def read_routed(spark: SparkSession, path: str, schema: T.StructType | str, target: tuple[str, str] | None = None) -> DataFrame:
+    """The changes of all micro-batches, or those of one target (schema, table)."""
+    rows = spark.read.schema(schema).parquet(path).drop("batch", BUCKET)
+    if target is None:
+        return rows
+    return rows.filter((F.col("target_schema") == target[0]) & (F.col("target_table") == target[1]))
 
 
 def collisions(plan: DataFrame, name: str = "sink_pipeline") -> DataFrame:

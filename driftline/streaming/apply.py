@@ -20,6 +20,8 @@ from driftline.streaming.target import KeyedTarget
 
 # Fixed value: seconds between merges.
 MERGE_INTERVAL = "60 seconds"
+# Folders of a micro-batch of a routed stream.
+ROUTE_BUCKETS = 16
 
 
 def stream_apply(
@@ -134,11 +136,14 @@ def load_snapshot(rows: DataFrame, target: KeyedTarget, origin: str, chunk: int
     target.buffer(records, chunk, origin)
 
 
-def stream_route(changes: DataFrame, plan: DataFrame, path: str, every: str | None = MERGE_INTERVAL) -> StreamingQuery:
-    """Split a mixed stream by target: each micro-batch is written once, one folder per target."""
+def stream_route(
+    changes: DataFrame, plan: DataFrame, path: str, every: str | None = MERGE_INTERVAL, buckets: int | None = ROUTE_BUCKETS
+) -> StreamingQuery:
+    """Split a mixed stream by target: each micro-batch is written once, in ``buckets`` folders at most, or with None
+    in one folder per target."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_routed(route(batch, plan), path, batch_id)
+        write_routed(route(batch, plan), path, batch_id, buckets)
 
     return _start(changes, write, f"{path}/_checkpoint", every)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.operators.changes import normalise
+from driftline.operators.changes import normalise, unexpected_records
 from driftline.operators.schema import ordered
 from driftline.streaming.commits import attempt, commit, committed, latest
 
@@ -38,8 +40,11 @@ def replace_all(df: DataFrame, path: str, allow_empty: bool = False) -> int:
 def backfill(target: DataFrame, path: str, types: dict[str, str], columns: str | list[str]) -> int:
     """Load a source back from its target: records made relational, then all rows replaced.
 
-    ``types`` are the source's column types, ``columns`` its columns in order.
+    ``types`` are the source's column types, ``columns`` its columns in order. Records in columns that are not of a JSON
+    type come as JSON text, with a warning that names the columns.
     """
+    if odd := unexpected_records(target, types):
+        logging.getLogger(__name__).warning("records in columns that are not of a JSON type: %s", ", ".join(odd))
     return replace_all(ordered(normalise(target, types), columns), path)
 
 

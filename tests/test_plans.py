@@ -221,3 +221,28 @@ def test_retirement_names_the_objects(spark):
     remembered = spark.createDataFrame([("d", "s", "vanished", "w", "v"), ("d", "s", "moved", "old", "t")], f"{TABLE}, target_schema string, target_table string")
     named = {r.tbl: r.name for r in sync.retire_plan(tables, remembered).collect() if r.object == "target"}
     assert named == {"off": "w.t", "vanished": "w.v", "half": None, "moved": "old.t"}
+
+
+def test_routed_batches_leave_few_files_whatever_the_number_of_targets(spark, tmp_path):
+    tables = spark.range(60).selectExpr(
+        "'d' as database", "'s' as schema", "concat('t', id) as tbl",
+        "named_struct('enabled', true, 'target_schema', 'wh', 'target_table', concat('t', id)) as annotation",
+    )
+    changes = spark.range(600).selectExpr("'d' as database", "'s' as schema", "concat('t', id % 60) as tbl", "id")
+    routed = routes.route(changes, routes.routes(tables)).select("target_schema", "target_table", "id")
+    for batch in (0, 1, 1):
+        routes.write_routed(routed, f"{tmp_path}/r", batch, buckets=4)
+    assert len(list((tmp_path / "r").rglob("*.parquet"))) <= 2 * 4
+    rows = routes.read_routed(spark, f"{tmp_path}/r", routed.schema)
+    assert rows.columns == routed.columns and rows.count() == 1_200
+    one = routes.read_routed(spark, f"{tmp_path}/r", routed.schema, ("wh", "t7"))
+    assert sorted(r.id for r in one.collect()) == sorted([*range(7, 600, 60)] * 2)
+
+
+def test_backfill_warns_of_records_in_plain_columns(spark, tmp_path, caplog):
+    from driftline.streaming.batch import backfill, current
+
+    rows = spark.sql("select 1 as id, named_struct('a', 1) as doc, named_struct('b', 2) as note")
+    backfill(rows, f"{tmp_path}/b", {"id": "int", "doc": "jsonb", "note": "text"}, "id, doc, note")
+    assert tuple(current(spark, f"{tmp_path}/b").first()) == (1, '{"a":1}', '{"b":2}')
+    assert [r.getMessage() for r in caplog.records if "JSON" in r.getMessage()] == ["records in columns that are not of a JSON type: note"]

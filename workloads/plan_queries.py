@@ -81,7 +81,7 @@ def route_stream(spark, sf_dir):
     path = workspace(spark, "routed")
     stream_route(mixed, plan, path, every=None).awaitTermination()
     rows = f"{mixed.drop('tbl').schema.toDDL()}, tbl string, target_schema string, target_table string"
-    return spark.read.schema(rows).parquet(path).drop("batch")
+    return routes.read_routed(spark, path, rows)
 
 
 @register(f"""
