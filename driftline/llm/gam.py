@@ -201,15 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     """A model from the labelled documents that ``learn`` (of the id) admits, at most ``sample`` of them.
 
     Labels other than 0 and 1 are left out; an id with several labels counts by the least, and one with several
-    documents by the first of their texts in order.
+    documents by the least of their features.
     """
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn)
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("double").alias("__label"))
     rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    chosen = F.broadcast(rows)  # at most ``sample`` ids
-    own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
-    one = own.join(chosen, F.col("__doc") == F.col("__id")).groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
-    found = features(one, "__id", "__text").join(F.broadcast(rows), F.col("id") == F.col("__id"))
+    chosen = F.broadcast(rows.select("__id"))  # at most ``sample`` ids
+    found = features(docs.join(chosen, docs[id_col] == chosen["__id"], "left_semi"), id_col, text_col)
+    found = found.groupBy("id").agg(F.min("x").alias("x")).join(F.broadcast(rows), F.col("id") == F.col("__id"))
     got = found.select("__id", "__label", "x").toArrow().sort_by([("__id", "ascending")])
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -210,13 +210,13 @@ def test_mixed_rows_hold_what_is_taken(docs, odd):
 def con(sf):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     return con
 
 
 def test_counterparts_have_rows(con):
-    assert set(COUNTERPARTS) == {"op5_mixing", "op9_revisits"}
+    assert set(COUNTERPARTS) == {"op5_mixing", "op9_revisits", "op11_ranked_search", "op12_spelling_variants", "op13_language_id"}
     for sql in COUNTERPARTS.values():
         assert con.execute(f"select count(*) from ({sql})").fetchone()[0] > 0
 
