@@ -17,6 +17,8 @@ CHUNK_SIZE = 10_000
 # Keys of a range: at most about so many, and at least so many unless one range holds them all.
 KEYS_PER_RANGE, KEYS_PER_SMALL_RANGE = 10_000_000, 1_000
 RANGES_PER_PARTITION, MOST_RANGES = 4, 1 << 14
+# Borders that one tree of comparisons tells apart.
+MOST_BRANCHES = 256
 MOST_PRECISION = 65_535
 BEFORE_STREAM = -1
 
@@ -87,17 +89,17 @@ def _numbered_by_sketch(keys: DataFrame, partitions: int | None) -> _Numbered:
     return _Numbered(placed.withColumn("_pos", F.row_number().over(in_range).cast("bigint") - 1), sizes)
 
 
-def _range_of(key: Column, borders: list[int]) -> Column:
-    """How many of the rising borders lie at or below the key, found in two steps of about the root of their number."""
+def _range_of(key: Column, borders: list[int], first: int = 0, most: int = MOST_BRANCHES) -> Column:
+    """How many of the rising borders lie at or below the key, plus ``first``: halved by a tree of comparisons, which is
+    compiled, and where there are too many for one, by a look through those that a branch leaves."""
     if not borders:
-        return F.lit(0)
-    width = math.isqrt(len(borders) - 1) + 1
-    groups = [borders[i : i + width] for i in range(0, len(borders), width)]
-    text = lambda numbers: f"array({','.join(f'{b}L' for b in numbers)})"
-    below = lambda numbers: F.size(F.filter(numbers, lambda b: b <= key))
-    full = below(F.expr(text([g[0] for g in groups]))) - 1
-    group = F.expr(f"array({','.join(map(text, groups))})")
-    return F.when(full < 0, 0).otherwise(full * width + below(F.get(group, full)))
+        return F.lit(first)
+    if most < 2 and len(borders) > 1:
+        left = F.expr(f"array({','.join(f'{b}L' for b in borders)})")
+        return F.size(F.filter(left, lambda b: b <= key)) + first
+    at = len(borders) // 2
+    below, above = _range_of(key, borders[:at], first, most // 2), _range_of(key, borders[at + 1 :], first + at + 1, most // 2)
+    return F.when(key < F.lit(borders[at]).cast("bigint"), below).otherwise(above)
 
 
 def _numbered_by_sort(keys: DataFrame, partitions: int | None) -> _Numbered:

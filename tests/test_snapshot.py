@@ -102,8 +102,10 @@ def test_range_of_a_key(spark):
     from driftline.operators.snapshot import _range_of
 
     rng = random.Random(1)
-    for n in (0, 1, 2, 3, 10, 100, 101):
+    for n, most in ((0, 256), (1, 256), (2, 256), (3, 256), (10, 256), (100, 256), (101, 1), (100, 4), (301, 64), (77, 2)):
         borders = sorted(rng.sample(range(-300, 300), n))
         keys = spark.range(-310, 310)
-        got = {r.id: r.part for r in keys.select("id", _range_of(F.col("id"), borders).alias("part")).collect()}
+        part = _range_of(F.col("id"), borders, most=most)
+        got = {r.id: r.part for r in keys.select("id", part.alias("part")).collect()}
         assert got == {k: sum(b <= k for b in borders) for k in range(-310, 310)}
+        assert keys.filter(F.isnull("id") & (part > 0)).count() == 0
