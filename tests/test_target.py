@@ -326,6 +326,24 @@ def test_entries_expire_as_the_stream_moves_on(spark, tmp_path):
     assert {r.k for r in target.read(spark).collect()} == {"b", "c", "z2", "end", "kept"}
 
 
+def test_keys_of_a_group_share_their_state_and_one_timer(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema = "k string, n bigint, at timestamp_ntz, ttl int"
+    target = KeyedTarget(f"{tmp_path}/entries", ["k", "n"], ORDER, buckets=2)
+    first = [(f"k{i % 7}" if i % 7 else None, i, at(i + 50 * t), 20) for i in range(60) for t in range(3)]
+    for rows in (first, [("clock", 0, at(1_000), None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        puts = read_changes(spark, f"{tmp_path}/in", schema)
+        query = stream_expirations(puts, target, f"{tmp_path}/out", "at", F.col("ttl"), groups=5)
+        query.awaitTermination()
+        stateful = [s for p in query.recentProgress for s in p.stateOperators]
+        assert max(s.numRowsTotal for s in stateful) <= 5 and max(s.customMetrics["numRegisteredTimers"] for s in stateful) <= 5
+    micros = int(datetime(2024, 1, 1, tzinfo=UTC).timestamp()) * 1_000_000
+    got = sorted((r.k or "", r.n, (r.lsn - micros) // 1_000_000) for r in expirations(spark, f"{tmp_path}/out", ["k", "n"]).collect())
+    assert got == sorted((k or "", n, int((t - at(0)).total_seconds()) + 20) for k, n, t, _ in first)
+    assert [(r.k, r.n) for r in target.read(spark).collect()] == [("clock", 0)]
+
+
 def expired(puts, clock):
     """By the definition: ends before the next put of the key, up to the clock; and the entries that live on."""
     puts = sorted({s: e for s, e in sorted(puts, key=lambda p: (p[0], p[1] is not None, p[1] or 0))}.items())
