@@ -25,8 +25,10 @@ from driftline.streaming.apply import load_snapshot
 from driftline.streaming.commits import attempt, commit, entries, exists
 from driftline.streaming.target import KeyedTarget
 
-# Chunks that are read in one window, and so by one job.
+# Chunks that are read in one window, and so by one job: at least so many, and more if that made too many windows.
 CHUNKS_PER_WINDOW = 1_000
+# A window may cost a pass over the source, so their number does not grow with it.
+MOST_WINDOWS = 16
 
 _PLANS = "folder string, low bigint, schema string, plan bigint"
 
@@ -70,6 +72,8 @@ def resnapshot(
     in the target's order. The target's key tells the table. Windows are batches of the origin ``name``: after a
     crash the call is repeated under the same name, keeps its plan, and skips the windows that are in. Streams may
     buffer and merge meanwhile. ``window_read`` is told each window.
+
+    A window has ``chunks_per_window`` chunks, or as many more as keep the windows within ``MOST_WINDOWS``.
     """
     keys = [k for k in target.keys if k not in TABLE]
     if target.keys != [*TABLE, *keys] or len(target.order) != 1:
@@ -80,7 +84,9 @@ def resnapshot(
     plan, low = _plan(requests, source, position, target, name, keys, chunk_size)
     key = F.struct(*[F.col(c) for c in TABLE], *[F.col(f"lo.{k}") for k in keys])
     last = F.struct(*[F.col(c) for c in TABLE], *[F.col(f"hi.{k}") for k in keys])
-    number = F.floor(F.col("chunk") / chunks_per_window).alias("number")
+    chunks = (plan.agg(F.max("chunk")).first()[0] or 0) + 1
+    width = max(chunks_per_window, -(-chunks // MOST_WINDOWS))
+    number = F.floor(F.col("chunk") / width).alias("number")
     # One row per window.
     windows = plan.groupBy(number).agg(F.min(key).alias("lo"), F.max(last).alias("hi")).orderBy("number").collect()
     asked = plan.select(*TABLE).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.signals import signals_for, snapshot_requests
 from driftline.streaming.apply import load_snapshot
-from driftline.streaming.resnapshot import chunk_in_window, request_chunks, resnapshot
+from driftline.streaming.resnapshot import MOST_WINDOWS, chunk_in_window, request_chunks, resnapshot
 from driftline.streaming.target import KeyedTarget
 
 LOG = "database string, schema string, tbl string, id bigint, op string, lsn bigint, v string"
@@ -122,6 +122,20 @@ def test_a_requested_table_that_is_empty_now(spark, tmp_path):
         resnapshot(requests(spark, TABLES[:1]), lambda: nothing, lambda: 5, target, "a/b")
 
 
+def test_the_number_of_windows_is_bounded(spark, tmp_path):
+    """However many chunks there are, the source is read for few windows, which bring every row."""
+    rows = spark.createDataFrame([(*t, k, "new") for t in TABLES for k in range(40)], ROWS)
+    target = KeyedTarget(f"{tmp_path}/t", KEYS, buckets=2)
+    load_snapshot(rows.withColumn("v", F.lit("old")), target, "initial")
+    windows = []
+    asked = requests(spark, TABLES[:2])
+    n = resnapshot(asked, lambda: rows, lambda: 5, target, "again", chunk_size=1, chunks_per_window=2, window_read=windows.append)
+    assert n == len(windows) == MOST_WINDOWS < 80 / 2
+    assert all(a.hi < b.lo for a, b in zip(windows, windows[1:], strict=False))
+    assert read(target, spark) == {(*t, k): "old" if t == TABLES[2] else "new" for t in TABLES for k in range(40)}
+    assert resnapshot(asked, lambda: rows, lambda: 9, target, "again", chunk_size=1, chunks_per_window=2) == n  # nothing is read again
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_windows_for_a_target_that_goes_by_arrival(spark, seed):
     """What a window leaves of its chunk, put into the stream at the high mark, gives what the log gives."""

@@ -321,6 +321,8 @@ def resnapshot_live(spark, sf_dir):
 
     def advance():
         """The source moves on by an eighth of the log, and the stream follows it."""
+        if at[0] == last:
+            return
         before, at[0] = at[0], min(last, at[0] + last // 8 + 1)
         log.filter((F.col("lsn") > before) & (F.col("lsn") <= at[0])).write.mode("append").parquet(landing)
         stream_apply(read_changes(spark, landing, log.schema), target, every=None, merge_records=1 << 40, merge_batches=3).awaitTermination()
