@@ -37,6 +37,8 @@ from driftline.llm.common import in_tasks, slices
 LONG = 2048
 #: Words of a portion of a long text, and ids of a window of the decoder.
 PORTION, WINDOW = 500_000, 1 << 18
+#: Bytes of the texts that are encoded at a time: their words, as Python's strings, take some twenty times as much.
+SLICE = 1 << 20
 #: Rows of all rounds of one recursive query: at most the sum of the squares of its words' bytes.
 ROUND_ROWS = 2 << 20
 #: Words and bytes of words that a task remembers before it starts anew.
@@ -256,14 +258,14 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) per row; a null or empty text has no ids. Other columns are not looked at."""
+    return in_tasks(_rows(df, id_col, text_col), lambda batches: _encoded(batches, path), "id long, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with codec(path) as held:
-            for batch in slices(batches, 1):
-                ids = _lists(*held.encode(_texts(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
-    return in_tasks(_rows(df, id_col, text_col), run, "id long, ids array<int>")
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    with codec(path) as held:
+        for batch in slices(batches, 1, SLICE):
+            ids = _lists(*held.encode(_texts(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

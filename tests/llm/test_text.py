@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 from collections import Counter
+from contextlib import nullcontext
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -285,3 +287,20 @@ def test_trie_finds_pairs_in_their_context_only():
     log, weight = trie.look_up(words[[0, 0, 0, 1, 2, 2]], words[[0, 1, 2, 0, 1, 2]])
     assert np.allclose(log, [-1, np.nan, -2, np.nan, -3, np.nan], atol=1e-3, equal_nan=True)
     assert np.allclose(weight, [-0.5, -0.5, -0.5, np.nan, -0.7, -0.7], atol=1e-3, equal_nan=True)
+
+
+def test_texts_are_encoded_in_small_slices(monkeypatch):
+    """Beside the executor's heap there is room for the words of a megabyte, not of a whole batch."""
+    taken = []
+
+    class Held:
+        def encode(self, texts):
+            taken.append(sum(map(len, texts)))
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+
+    monkeypatch.setattr(bpe, "codec", lambda path: nullcontext(Held()))
+    texts = ["a word " * 20_000] * 60 + [None, "b" * 3_000_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    out = [i for part in bpe._encoded(iter([batch]), "") for i in part.column(0).to_pylist()]
+    assert out == list(range(len(texts))) and sum(taken) == sum(len(t or "") for t in texts)
+    assert max(n for n in taken if n != 3_000_000) <= 1 << 20 and len(taken) >= 9
